@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import fingerprint, quality
+import public_tokenizers
+
+from . import bpe, fingerprint, quality, simhash, tokenfile
 from .common import table
 
 QUERIES: dict = {}
@@ -27,3 +29,18 @@ def op1(spark, sf_dir):
 @query("op2_quality_classifier")
 def op2(spark, sf_dir):
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_bpe_lexicon")
+def op5(spark, sf_dir):
+    return bpe.result(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op7_token_files")
+def op7(spark, sf_dir):
+    return tokenfile.result(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op9_simhash_near_dedup")
+def op9(spark, sf_dir):
+    return simhash.result(table(spark, sf_dir, "documents"))
