@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, fingerprint, quality, simhash, tokenfile
+from . import bpe, fingerprint, langid, quality, simhash, tokenfile
 from .common import table
 
 QUERIES: dict = {}
@@ -44,3 +44,8 @@ def op7(spark, sf_dir):
 @query("op9_simhash_near_dedup")
 def op9(spark, sf_dir):
     return simhash.result(table(spark, sf_dir, "documents"))
+
+
+@query("op10_language_id")
+def op10(spark, sf_dir):
+    return langid.result(table(spark, sf_dir, "documents"))
