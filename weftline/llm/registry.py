@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, fingerprint, langid, quality, simhash, tokenfile
+from . import bpe, fingerprint, langid, ngram, quality, simhash, tokenfile
 from .common import table
 
 QUERIES: dict = {}
@@ -49,3 +49,8 @@ def op9(spark, sf_dir):
 @query("op10_language_id")
 def op10(spark, sf_dir):
     return langid.result(table(spark, sf_dir, "documents"))
+
+
+@query("op8_lm_scoring")
+def op8(spark, sf_dir):
+    return ngram.result(table(spark, sf_dir, "documents"))
