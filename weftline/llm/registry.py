@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, fingerprint, langid, ngram, quality, simhash, tokenfile
+from . import bpe, decontaminate, fingerprint, langid, ngram, quality, simhash, tokenfile
 from .common import table
 
 QUERIES: dict = {}
@@ -54,3 +54,8 @@ def op10(spark, sf_dir):
 @query("op8_lm_scoring")
 def op8(spark, sf_dir):
     return ngram.result(table(spark, sf_dir, "documents"))
+
+
+@query("op4_benchmark_decontamination", decontaminate.SQL)
+def op4(spark, sf_dir):
+    return decontaminate.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
