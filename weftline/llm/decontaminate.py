@@ -82,11 +82,12 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     prints = benchmark_fingerprints(benchmark)
     bound = prints.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.expr("size(item)")), F.lit(0)).alias("w"), F.collect_set(F.when(F.col("span") < WINDOW, F.col("span"))).alias("short")).first()
     texts = docs.select(_key().alias("key"), _text_hash().alias("text_hash"), words("text").alias("words"))
+    # explode_outer: an inner explode would have its filter pushed below, where words are cut anew for every gram.
     marked = texts.withColumn("h", F.expr(grams("words", GRAM))).withColumn("fps", document_fingerprints(sorted(bound["short"])))
     if bound["n"] <= BROADCAST_FINGERPRINTS and bound["w"] <= BROADCAST_WORDS:
-        found = marked.select("key", "text_hash", "words", F.explode("fps").alias("fp")).join(F.broadcast(prints), "fp")
+        found = marked.select("key", "text_hash", "words", F.explode_outer("fps").alias("fp")).join(F.broadcast(prints), "fp")
     else:
-        pairs = marked.select("key", "text_hash", F.explode("fps").alias("fp")).join(prints.select("fp", "item_id", "item", "k", "span"), "fp")
+        pairs = marked.select("key", "text_hash", F.explode_outer("fps").alias("fp")).join(prints.select("fp", "item_id", "item", "k", "span"), "fp")
         found = pairs.join(texts, ["key", "text_hash"])
     checked = found.select("key", "text_hash", "item_id", "span", _verified().alias("at")).where("size(at) > 0")
     return checked.groupBy("key", "text_hash").agg(
@@ -139,10 +140,10 @@ WITH d AS (
   SELECT DISTINCT item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[i : i + least(len(w), {WINDOW}) - 1], ' ') AS gram
   FROM (SELECT *, unnest(range(1, len(w) - least(len(w), {WINDOW}) + 2)) AS i FROM b WHERE len(w) > 0)
 ), lengths AS (SELECT DISTINCT n FROM spans),
-at AS (
+grams AS (
   SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS gram
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, lengths WHERE len(w) >= n)
-), found AS (SELECT doc_id, item_id, n, i FROM at JOIN spans USING (n, gram)),
+), found AS (SELECT doc_id, item_id, n, i FROM grams JOIN spans USING (n, gram)),
 marks AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, n, i FROM found)) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
