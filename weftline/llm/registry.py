@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, fingerprint, langid, ngram, quality, simhash, tokenfile
+from . import bpe, decontaminate, fingerprint, langid, ngram, pii, quality, simhash, tokenfile
 from .common import table
 
 QUERIES: dict = {}
@@ -59,3 +59,8 @@ def op8(spark, sf_dir):
 @query("op4_benchmark_decontamination", decontaminate.SQL)
 def op4(spark, sf_dir):
     return decontaminate.result(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_pii_sanitisation")
+def op6(spark, sf_dir):
+    return pii.result(table(spark, sf_dir, "documents"))
