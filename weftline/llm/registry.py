@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, fingerprint, langid, ngram, pii, quality, simhash, tokenfile
+from . import bpe, decontaminate, fingerprint, langid, ngram, phrases, pii, quality, simhash, tokenfile
 from .common import table
 
 QUERIES: dict = {}
@@ -64,3 +64,8 @@ def op4(spark, sf_dir):
 @query("op6_pii_sanitisation")
 def op6(spark, sf_dir):
     return pii.result(table(spark, sf_dir, "documents"))
+
+
+@query("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    return phrases.result(table(spark, sf_dir, "documents"))
