@@ -6,5 +6,8 @@ A plan module lists ``QUERIES`` (name -> callable(spark, sf_dir)) and
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import signals
+
+MODULES = (signals,)
+QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}
