@@ -56,15 +56,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: While a table is written: shuffle files go when it ends, and Arrow batches stay small.
+WRITE_CONF = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
 def write(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+    before = {k: spark.conf.get(k) for k in WRITE_CONF}
+    for k, v in WRITE_CONF.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def partitions(spark: SparkSession) -> int:

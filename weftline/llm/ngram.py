@@ -41,8 +41,9 @@ from .textops import column_bytes, lower, mix, prefix_hash, slices, span_hash, w
 
 END = np.uint64(0x454E44)
 BEGIN = np.uint64(0x424547)
-#: Tokens that a task gathers before it sends their sums.
-FLUSH = 1_500_000
+#: Distinct bigrams that a task gathers before it sends their sums, and buckets in one batch of them.
+FLUSH = 2_000_000
+BATCH_BUCKETS = 8
 SMOOTH = 0.1
 
 
@@ -110,31 +111,37 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _gather(bits: int):
-    def flush(us, vs):
-        u, v = np.concatenate(us), np.concatenate(vs)
-        key, at, n = _reduce(pair_hash(u, v), np.ones(len(u), np.int64))
+    def flush(parts):
+        u, v, n = (np.concatenate(x) for x in zip(*parts))
+        parts.clear()
+        key, at, n = _reduce(pair_hash(u, v), n)
         u, v = u[at], v[at]
         rows = []
         for bucket, a, b in _cut(key, bits):
             order = np.argsort(u[a:b])
             after, place = np.unique(v[a:b][order], return_inverse=True)
             rows.append((bucket, pack_sorted(u[a:b][order]), pack_sorted(after), pack(place), pack(n[a:b][order]), b""))
-        return _rows(rows)
+            if len(rows) >= BATCH_BUCKETS:
+                yield _rows(rows)
+                rows = []
+        if rows:
+            yield _rows(rows)
 
     def run(batches):
-        us, vs, held = [], [], 0
+        parts, held = [], 0
         for batch in batches:
             offsets, data = column_bytes(batch.column(0))
             for a, b in slices(offsets):
                 h, row = token_stream(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                us.append(contexts(h, row))
-                vs.append(h)
-                held += len(h)
+                u = contexts(h, row)
+                _, at, n = _reduce(pair_hash(u, h), np.ones(len(u), np.uint32))
+                parts.append((u[at], h[at], n))
+                held += len(n)
                 if held >= FLUSH:
-                    yield flush(us, vs)
-                    us, vs, held = [], [], 0
+                    yield from flush(parts)
+                    parts, held = [], 0
         if held:
-            yield flush(us, vs)
+            yield from flush(parts)
 
     return run
 
@@ -301,7 +308,7 @@ def train(docs: DataFrame, folder: str | None = None) -> Model:
     folder = folder or new_path(spark, "ngrams")
     files = local_path(folder)
     n = partitions(spark)
-    pair_bits, word_bits = _bits(2 * n), _bits(n // 2)
+    pair_bits, word_bits = _bits(n), _bits(n // 2)
     counted = doc_text(docs).select("text").mapInArrow(_gather(pair_bits), PARTS)
     merged = counted.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_bigrams(files, word_bits), PARTS)
     write(merged, f"{folder}/sent")
