@@ -15,7 +15,7 @@ from weftline.operators import copula, raster
 
 UNITS, BINS, WIDTH, STEP, BIN_MS = 8, 720, 100, 50, 3_600_000
 WINDOWS = len(raster.window_starts(BINS, WIDTH, STEP))
-ROIS, FRAMES = 8, 500
+ROIS = 8
 
 
 def read(spark, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +42,7 @@ def scores(spark, sf_dir: str, ties: str = "ordinal") -> DataFrame:
 
 
 def series(spark, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "embeddings").where(F.col("vec_id") < FRAMES)
+    rows = read(spark, sf_dir, "embeddings")
     return rows.select(F.col("vec_id").alias("t"), F.posexplode(F.slice("embedding", 1, ROIS)).alias("roi", "v")).select("roi", "t", F.col("v").cast("double").alias("v"))
 
 
@@ -75,7 +75,7 @@ TRIPLETS = """, triplets AS (
   FROM pairs p JOIN pairs q ON p.win_id = q.win_id AND p.i = q.i AND p.j < q.j JOIN pairs s ON s.win_id = p.win_id AND s.i = p.j AND s.j = q.j)"""
 CORE = "(0.5 * ln((1 + 2*a*b*c - a*a - b*b - c*c) / ((1 - a*a) * (1 - b*b) * (1 - c*c))))"
 SERIES = f"""raw AS (
-  SELECT vec_id AS t, unnest(range({ROIS})) AS roi, unnest(embedding[1:{ROIS}]) AS v FROM embeddings WHERE vec_id < {FRAMES}), std AS (
+  SELECT vec_id AS t, unnest(range({ROIS})) AS roi, unnest(embedding[1:{ROIS}]) AS v FROM embeddings), std AS (
   SELECT CAST(roi AS INT) AS roi, t, (CAST(v AS DOUBLE) - avg(CAST(v AS DOUBLE)) OVER (PARTITION BY roi)) / stddev_pop(CAST(v AS DOUBLE)) OVER (PARTITION BY roi) AS v FROM raw)"""
 EDGES = SERIES + """, ep AS (
   SELECT x.t, x.roi AS i, y.roi AS j, x.v AS vi, y.v AS vj, x.v * y.v AS p FROM std x JOIN std y ON x.t = y.t AND x.roi < y.roi), edges AS (
