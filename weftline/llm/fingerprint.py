@@ -138,7 +138,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     n = max(2, partitions(spark))
     ids = rows.select(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("double").alias("at"))
     cuts = ids.approxQuantile("at", [i / n for i in range(1, n)], 0.2 / n)
-    splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="at", outputCol="bucket")
     keyed = cut.transform(rows.withColumn("at", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).cast("double")))
     keyed = keyed.select(F.col("bucket").cast("int").alias("bucket"), "doc_id", "text")
