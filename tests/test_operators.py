@@ -209,3 +209,31 @@ def test_mixture_information_of_apart_classes():
 def test_linear_conditional_is_nonnegative():
     x, z = RNG.normal(size=(100, 1)), RNG.normal(size=(100, 1))
     assert multivariate.linear_conditional(x + 0.1 * RNG.normal(size=(100, 1)), x, z) > 0.5
+
+
+def test_evenly_spaced_rows(spark):
+    df = spark.createDataFrame([("a", i) for i in range(11)] + [("b", i) for i in range(2)], "g string, t int")
+    got = features.evenly_spaced(df, ["g"], "t", 4).collect()
+    assert sorted(r.t for r in got if r.g == "a") == [int(x) for x in np.linspace(0, 10, 4)]
+    assert sum(r.g == "b" for r in got) == 2
+
+
+def test_permuted_block_keeps_each_group(spark):
+    df = spark.createDataFrame([(i, "ab"[i % 2], float(i)) for i in range(40)], "id int, g string, x double")
+    got = features.permuted_block(df, ["x"], ["g"], "id", 3).collect()
+    for g in "ab":
+        assert sorted(r.x for r in got if r.g == g) == sorted(float(i) for i in range(40) if "ab"[i % 2] == g)
+    assert any(r.x != r.id for r in got)
+
+
+def test_nplets_of_three_are_triplets(spark):
+    z = _scores(spark, RNG.normal(size=(50, 4)))
+    three = {tuple(r.members): r.omega for r in multivariate.nplets(z, 4).where("size = 3").collect()}
+    want = {(r.i, r.j, r.k): r.omega for r in interaction.omega(copula.pair_correlations(z), 50).collect()}
+    assert three == pytest.approx(want) and len(interaction.top_groups(multivariate.nplets(z, 4), 1).where("size = 4").collect()) == 1
+
+
+def test_percentile_interval(spark):
+    df = spark.createDataFrame([(1, float(x)) for x in range(-5, 6)] + [(2, float(x)) for x in range(1, 12)], "g int, v double")
+    got = {r.g: r.significant for r in interaction.percentile_interval(df, ["g"], "v").collect()}
+    assert got == {1: False, 2: True}

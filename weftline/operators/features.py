@@ -57,3 +57,20 @@ def ablations(blocks: dict[str, list[str]], compat: bool = False, extra: list[st
         held = held + [c for c in columns if c not in held]
         out[f"A{n}"] = held + [c for c in (extra or []) if compat and c not in held]
     return out | {"ALL": held + [c for c in (extra or []) if c not in held]}
+
+
+def evenly_spaced(df: DataFrame, by: list[str], order: str, k: int) -> DataFrame:
+    """``k`` rows of each group at positions ``floor(i (n - 1) / (k - 1))``; all rows of a shorter group."""
+    group = Window.partitionBy(*by)
+    placed = df.withColumn("_i", F.row_number().over(group.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(group))
+    # Row i is taken if some step lands on it: the first step at or after it is the only one that can.
+    step = F.ceil(F.col("_i") * (k - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
+    hit = (F.col("_n") <= k) | ((step <= k - 1) & (F.floor(step * (F.col("_n") - 1) / (k - 1)) == F.col("_i")))
+    return placed.where(hit).drop("_i", "_n")
+
+
+def permuted_block(df: DataFrame, columns: list[str], by: list[str], key: str, seed: int = 0) -> DataFrame:
+    """``df`` with the rows of ``columns`` dealt anew within each group, together, in an order given by a hash of the key."""
+    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(key)))
+    dealt = df.select(*by, *columns, F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), key), key)).alias("_n"))
+    return rows.drop(*columns).join(dealt, [*by, "_n"]).drop("_n").select(*df.columns)

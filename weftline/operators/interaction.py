@@ -124,3 +124,16 @@ def thresholds(tested: DataFrame, by: list[str], value: str = "delta") -> DataFr
     return marked.groupBy(*by).agg(
         F.max("_found").alias("n_discoveries"), F.min(F.when(F.col("_place") <= F.col("_found"), F.col(value))).alias("tau"), F.min(F.when(F.col("discovery"), F.col(value))).alias("tau_mask")
     )
+
+
+def top_groups(values: DataFrame, n: int) -> DataFrame:
+    """The ``n`` most positive and ``n`` most negative groups of each window and size."""
+    sign = F.when(F.col("omega") > 0, 1).when(F.col("omega") < 0, -1)
+    order = Window.partitionBy("win_id", "size", "sign").orderBy(F.desc(F.abs("omega")), "members")
+    return values.withColumn("sign", sign).where("sign IS NOT NULL").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
+def percentile_interval(replicates: DataFrame, by: list[str], value: str, alpha: float = 0.05) -> DataFrame:
+    """Exact percentile interval of bootstrap replicates, and whether it leaves out zero."""
+    low, high = F.percentile(value, F.lit(alpha / 2)), F.percentile(value, F.lit(1 - alpha / 2))
+    return replicates.groupBy(*by).agg(low.alias("low"), high.alias("high")).withColumn("significant", ~((F.col("low") <= 0) & (F.col("high") >= 0)))

@@ -136,3 +136,19 @@ def lagged_triplets(scores: DataFrame, order: int = 1) -> DataFrame:
         return pd.DataFrame(rows, columns=["win_id", "target", "i", "j", "domega"])
 
     return scores.groupBy("win_id").applyInPandas(one, "win_id int, target int, i int, j int, domega double")
+
+
+def nplets(scores: DataFrame, largest: int = 4) -> DataFrame:
+    """``(win_id, size, members, omega)`` of all groups of three to ``largest`` units, from each window's covariance matrix."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        from itertools import combinations
+
+        wide = pdf.pivot(index="t", columns="unit", values="z").sort_index(axis=1)
+        cov, units, rows = np.cov(wide.to_numpy().T), wide.columns.to_numpy(), []
+        for size in range(3, min(largest, len(units)) + 1):
+            for c in combinations(range(len(units)), size):
+                rows.append((pdf.win_id.iloc[0], size, [int(units[i]) for i in c], o_information(_part(cov, list(c)), len(wide))))
+        return pd.DataFrame(rows, columns=["win_id", "size", "members", "omega"])
+
+    return scores.groupBy("win_id").applyInPandas(one, "win_id int, size int, members array<int>, omega double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import numeric
 from weftline.functions.numeric import rounded as r6
-from weftline.operators import copula, features, metrics, models, multivariate, raster, topology
+from weftline.operators import copula, features, interaction, metrics, models, multivariate, raster, topology
 from weftline.streaming import streams
 
 from . import tables as T
@@ -277,6 +277,30 @@ def _spins(spark, d):
     return raster.spins(T.full(spark, d))
 
 
+@query("omega_nplets")
+def omega_nplets(spark, d):
+    """Groups of three to five units: the strongest of each size and sign."""
+    z = T.scores(spark, d).select("win_id", "unit", "t", "z")
+    return interaction.top_groups(multivariate.nplets(z, 5), 5).withColumn("omega", r6(F.col("omega")))
+
+
+@query("boot_interval")
+def boot_interval(spark, d):
+    """Percentile intervals of triplet interactions over block bootstrap replicates."""
+    drawn = interaction.bootstrap_pairs(interaction.block_sums(T.scores(spark, d), 10), interaction.picks(spark, T.WINDOWS, T.WIDTH // 10, 20))
+    out = interaction.percentile_interval(interaction.omega(drawn, T.WIDTH, by=["win_id", "rep"]), ["win_id", "i", "j", "k"], "omega")
+    return out.withColumns({"low": r6(F.col("low")), "high": r6(F.col("high"))})
+
+
+@query("block_importance")
+def block_importance(spark, d):
+    """Average precision lost when scores are dealt anew within sources."""
+    preds = T.predictions(spark, d)
+    shuffled = features.permuted_block(preds, ["p"], ["source"], "doc_id", 1)
+    base = metrics.average_precision(preds).select(F.col("pr_auc").alias("base"))
+    return base.crossJoin(metrics.average_precision(shuffled)).select(r6(F.col("base") - F.col("pr_auc")).alias("importance"))
+
+
 @query("ising_fit")
 def ising_fit(spark, d):
     return models.ising_fit(_spins(spark, d))
