@@ -37,11 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, partitions, written
+from .common import discard, doc_text, partitions, written
 from .textops import column_bytes, mix, prefix_hash, slices, span_hash
 
 SPAN = 100
-GRAM = 24
+#: Bytes of a trigger. Longer ones are shared less often by chance, so fewer phrases have to be ranked window by window.
+GRAM = 40
 
 
 def rolling(prefix: np.ndarray, n: int, k: int) -> np.ndarray:
@@ -206,11 +207,13 @@ def repeated(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     triggers = written(triggers.where("n > 1").select("a", "several", "first"), "triggers")
     seen = phrases.join(triggers, "a").select("uid", "s", "m", "again", "several", "first", F.when(F.col("several"), F.col("a")).alias("a"), F.when(F.col("several"), F.col("p")).alias("p"))
     seen = written(seen, "phrases")
+    discard(triggers)
     single = seen.where("NOT several AND (again OR uid <> first)").select("uid", "s", "m", F.lit(WHOLE).alias("kind"))
     several = seen.where("several").select("uid", "s", "m", "again", "a", "p")
     dictionary = written(several.groupBy("a", "p").agg(F.min("uid").alias("first")), "dictionary")
     placed = several.join(dictionary, ["a", "p"]).select("uid", "s", "m", F.when(F.expr("again OR uid <> first"), WHOLE).otherwise(ENTRY).alias("kind"))
     marks = written(single.unionByName(placed), "marks")
+    discard(seen, dictionary)
     entries = marks.where(F.col("kind") == ENTRY).groupBy("uid").agg(F.collect_list(F.struct("s", "m")).alias("entries"))
     ranked = text.join(entries, "uid").select("uid", "text", "entries").mapInArrow(_windows, "w long, uid long, s int")
     new = ranked.groupBy("w").agg(F.min("uid").alias("uid"), F.min_by("s", "uid").alias("s")).select("uid", "s", F.lit(1).alias("m"), F.lit(NEW).alias("kind"))
