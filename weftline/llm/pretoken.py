@@ -50,10 +50,14 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
-def _run_starts(kind: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    cuts = np.flatnonzero(kind[1:] != kind[:-1]) + 1
-    edge = np.unique(np.concatenate([rows[:-1], cuts]))
-    return edge[edge < len(kind)]
+def _run_starts(kind: np.ndarray, rows: np.ndarray, also: np.ndarray | None = None) -> np.ndarray:
+    """Where a class or a row begins, and wherever ``also`` says."""
+    starts = np.ones(len(kind), bool)
+    starts[1:] = kind[1:] != kind[:-1]
+    starts[rows[rows < len(kind)]] = True
+    if also is not None:
+        starts |= also
+    return np.flatnonzero(starts)
 
 
 def byte_level_spans(text: str, cp: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,9 +125,7 @@ def word_spans(text: str, cp: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray,
         z = np.zeros(0, np.int64)
         return z, z
     kind = classes()[cp]
-    start = _run_starts(kind, rows)
-    extra = np.flatnonzero(kind == NUMBER)
-    start = np.union1d(start, extra)
+    start = _run_starts(kind, rows, kind == NUMBER)
     end = np.append(start[1:], n)
     keep = kind[start] != SPACE
     return _split_endings(text, cp, rows, start[keep], end[keep])
@@ -136,7 +138,7 @@ def hashes(cp: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
 class WordCache:
     """Results by word hash; emptied beyond ``limit`` words so that a task's memory stays bounded."""
 
-    def __init__(self, encode, limit: int = 150_000):
+    def __init__(self, encode, limit: int = 300_000):
         self.encode, self.limit = encode, limit
         self.index: dict[int, int] = {}
         self.values: list = []

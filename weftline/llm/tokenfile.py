@@ -36,6 +36,9 @@ from .common import doc_text, local_path, new_path, partitions, write
 from .pretoken import WordCache, code_points, decoded_slices, word_spans
 
 END_ID = 2
+#: How the vocabulary marks the last piece of a word; words that the library encodes at once.
+END_OF_WORD = "</w>"
+LINE_WORDS = 64
 _NULL_ID = -(1 << 63)
 
 
@@ -52,11 +55,23 @@ class WordTokenizer:
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for t, i in self.library.get_vocab().items() if t.endswith(END_OF_WORD)]] = True
         self.cache = WordCache(self._words)
         self.special_values = {name: np.array([i], np.uint32) for name, i in self.special.items()}
 
     def _words(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.library.encode_batch(words, add_special_tokens=False)]
+        """The library encodes words by the line; where a word ends shows in its last id."""
+        out: list[np.ndarray] = []
+        lines = [words[i : i + LINE_WORDS] for i in range(0, len(words), LINE_WORDS)]
+        for line, found in zip(lines, self.library.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            ids = np.array(found.ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(line) and ends[-1] == len(ids):
+                out.extend(ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()))
+            else:
+                out.extend(np.array(x.ids, np.uint32) for x in self.library.encode_batch_fast(line, add_special_tokens=False))
+        return out
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without special strings."""
