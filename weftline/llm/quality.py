@@ -41,9 +41,10 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     kind = np.where(_SPACE[data], 0, np.where(_ALNUM[data], 1, 2)).astype(np.uint8)
     if not len(kind):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    cuts = np.flatnonzero(kind[1:] != kind[:-1]) + 1
-    edge = np.unique(np.concatenate([offsets[:-1], cuts]))
-    edge = edge[edge < len(kind)]
+    begins = np.ones(len(kind), bool)
+    begins[1:] = kind[1:] != kind[:-1]
+    begins[offsets[offsets < len(kind)]] = True
+    edge = np.flatnonzero(begins)
     end = np.append(edge[1:], len(kind))
     keep = kind[edge] > 0
     start, end = edge[keep], end[keep]
@@ -59,7 +60,8 @@ def features(column: pa.Array):
         same = row[1:] == row[:-1]
         pair = mix(h[:-1] * np.uint64(3) + h[1:])[same]
         key = np.concatenate([row, row[1:][same]]) << BITS | (np.concatenate([h, pair]) >> np.uint64(64 - BITS)).astype(np.int64)
-        key = np.unique(key)
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
         yield a, b - a, key >> BITS, key & (_SLOTS - 1)
 
 
