@@ -225,7 +225,7 @@ def diagram_indicators(diagram: DataFrame, directions: int = 50) -> DataFrame:
     return x.join(y, ["t", "kind", "d", "n"]).groupBy("t", "kind").agg((F.sum(F.abs(F.col("x") - F.col("y"))) / directions).alias("distance"))
 
 
-def rips_edges(points: DataFrame, limit: float, cell: str = "x0") -> DataFrame:
+def rips_edges(points: DataFrame, limit: float) -> DataFrame:
     """``(a, b, d)``: pairs of points ``(id, v array)`` within ``limit``, through a grid on the first coordinate."""
     keyed = points.withColumn("_c", F.floor(F.element_at("v", 1) / limit).cast("long"))
     left = keyed.select(F.col("id").alias("a"), F.col("v").alias("va"), F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_c"))

@@ -220,7 +220,7 @@ def group_kfold(spark, d):
     return preds.join(F.broadcast(table), "source").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("groups"))
 
 
-@query("kfold_blocks", "SELECT CAST(CASE WHEN i < 2 * 34 THEN i // 34 ELSE (i - 68) // 33 + 2 END AS INT) AS fold_first, CAST((i >= 33) AS INT) + CAST((i >= 66) AS INT) AS fold_linspace, count(*) AS n, min(vec_id) AS low FROM (SELECT vec_id, vec_id % 101 AS i FROM embeddings) GROUP BY 1, 2")
+@query("kfold_blocks", "SELECT CAST(CASE WHEN i < 2 * 34 THEN i // 34 ELSE (i - 68) // 33 + 2 END AS INT) AS fold_first, CAST((i >= 33) AS INT) + CAST((i >= 67) AS INT) AS fold_linspace, count(*) AS n, min(vec_id) AS low FROM (SELECT vec_id, vec_id % 101 AS i FROM embeddings) GROUP BY 1, 2")
 def kfold_blocks(spark, d):
     i = (F.col("vec_id") % 101).cast("int")
     # 101 positions in 3 folds: 34, 34, 33 by the first rule; bounds at 33 and 67 by the second.
@@ -228,9 +228,6 @@ def kfold_blocks(spark, d):
     return rows.groupBy("fold_first", "fold_linspace").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("low"))
 
 
-ORACLES["kfold_blocks"] = ORACLES["kfold_blocks"].replace("i >= 66", "i >= 67")
-
-
 @query("deformed_sigmoid", f"WITH x AS (SELECT event_id, value / 50 - 1 AS x, ((event_id % 9) - 4) / 10.0::DOUBLE AS g FROM events), l AS (SELECT *, CASE WHEN g = 0 THEN x ELSE ln(greatest(1 + g * x, 1e-6)) / g END AS a, CASE WHEN g = 0 THEN -x ELSE ln(greatest(1 - g * x, 1e-6)) / g END AS b FROM x) SELECT event_id, {R6.format('1 / (1 + exp(-least(greatest(a - b, -700), 700)))')} AS p FROM l")
 def deformed_sigmoid(spark, d):
     x, g = F.col("value") / 50 - 1, ((F.col("event_id") % 9) - 4) / 10.0
