@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_or_shuffled, written
+
 GRAM = 5
 WINDOW = 10
 #: Fingerprint rows of a benchmark that may be broadcast (each carries its item's words).
@@ -64,31 +66,51 @@ def document_fingerprints(short_lengths: list[int]) -> Column:
     return found
 
 
+#: Words on each side of a hit that a window around it can reach, and the most that a hit carries.
+REACH = WINDOW - GRAM
+LOCAL = REACH + 2 * WINDOW - GRAM
+
+
+def _places(k: int) -> str:
+    """SQL: ``(p, fp, k, lo, local)`` of the k-grams of ``words`` whose hash is in ``fps``, with the words around them."""
+    return (
+        f"transform(filter(transform(g{k}, (x, i) -> struct(x AS fp, i + 1 AS p)), z -> array_contains(fps, z.fp)), "
+        f"z -> struct(z.p AS p, z.fp AS fp, {k} AS gram, greatest(1, z.p - {REACH}) AS lo, slice(words, greatest(1, z.p - {REACH}), {LOCAL}) AS local))"
+    )
+
+
 def _verified() -> Column:
-    """Zero-based starts in ``words`` of the item's windows around the fingerprint hits of a row."""
-    here = "filter(sequence(1, size(words) - k + 1), p -> xxhash64(k, slice(words, p, k)) = fp)"
+    """Zero-based starts in the document of the item's windows that a hit extends to."""
     there = "filter(sequence(1, size(item) - k + 1), q -> xxhash64(k, slice(item, q, k)) = fp)"
-    starts = (
-        f"flatten(transform({here}, p -> flatten(transform({there}, q -> transform("
-        "filter(sequence(greatest(1, q - span + k), least(q, size(item) - span + 1)), w -> "
-        "p - q + w >= 1 AND p - q + w + span - 1 <= size(words) AND slice(words, p - q + w, span) = slice(item, w, span)), "
-        "w -> p - q + w - 1)))))"
+    return F.expr(
+        f"flatten(transform({there}, q -> transform(filter(sequence(greatest(1, q - span + k), least(q, size(item) - span + 1)), "
+        "w -> p - q + w >= lo AND p - q + w + span <= lo + size(local) AND slice(local, p - q + w - lo + 1, span) = slice(item, w, span)), w -> p - q + w - 1)))"
     )
-    return F.expr(f"array_distinct({starts})")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``(key, text_hash, starts, item_ids)`` of the documents with verified windows; starts are ``(start, span)`` pairs."""
+    """``(key, text_hash, starts, item_ids)`` of the documents with verified windows; starts are ``(start, span)`` pairs.
+
+    Kept hashes are joined without the words, so a hit is a small row however
+    long its document is. Only documents with a hit are read again; each hit
+    then takes the few words around it along.
+    """
     prints = benchmark_fingerprints(benchmark)
     bound = prints.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.expr("size(item)")), F.lit(0)).alias("w"), F.collect_set(F.when(F.col("span") < WINDOW, F.col("span"))).alias("short")).first()
+    small = bound["n"] <= BROADCAST_FINGERPRINTS and bound["w"] <= BROADCAST_WORDS
+    short = sorted(bound["short"])
+    side = lambda df: F.broadcast(df) if small else df
     texts = docs.select(_key().alias("key"), _text_hash().alias("text_hash"), words("text").alias("words"))
+    marked = texts.withColumn("h", F.expr(grams("words", GRAM))).select("key", "text_hash", document_fingerprints(short).alias("fps"))
     # explode_outer: an inner explode would have its filter pushed below, where words are cut anew for every gram.
-    marked = texts.withColumn("h", F.expr(grams("words", GRAM))).withColumn("fps", document_fingerprints(sorted(bound["short"])))
-    if bound["n"] <= BROADCAST_FINGERPRINTS and bound["w"] <= BROADCAST_WORDS:
-        found = marked.select("key", "text_hash", "words", F.explode_outer("fps").alias("fp")).join(F.broadcast(prints), "fp")
-    else:
-        pairs = marked.select("key", "text_hash", F.explode_outer("fps").alias("fp")).join(prints.select("fp", "item_id", "item", "k", "span"), "fp")
-        found = pairs.join(texts, ["key", "text_hash"])
+    kept_hashes = marked.select("key", "text_hash", F.explode_outer("fps").alias("fp"))
+    met = written(kept_hashes.join(side(prints.select("fp").distinct()), "fp").groupBy("key", "text_hash").agg(F.collect_set("fp").alias("fps")), "met")
+    again = texts.join(small_or_shuffled(met), ["key", "text_hash"])
+    lengths = sorted({GRAM, *short})
+    spelled = again.withColumns({f"g{k}": F.expr(grams("words", k)) for k in lengths})
+    places = F.expr(f"concat({', '.join(_places(k) for k in lengths)})")
+    located = spelled.select("key", "text_hash", places.alias("places")).select("key", "text_hash", F.explode_outer("places").alias("z")).select("key", "text_hash", "z.*")
+    found = located.join(side(prints), "fp").where("gram = k")
     checked = found.select("key", "text_hash", "item_id", "span", _verified().alias("at")).where("size(at) > 0")
     return checked.groupBy("key", "text_hash").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.expr("transform(at, s -> struct(s AS start, span AS span))"))))).alias("starts"),
