@@ -10,7 +10,8 @@ length; then a match is a plain run.
 The protected entities are the base values. For every term near one (words in a
 window of characters on both sides) the corpus tells how strongly it reveals
 the entity: ``n(t, e)``, in how many different contexts the term stands near
-it, against ``n(t)``, all occurrences of the term. A term with at least
+it, against ``n(t)``, all occurrences of the term (or all contexts that it
+stands in, over all entities, if they are more). A term with at least
 ``SUPPORT`` such contexts, of which ``n(t, e) / n(t)`` is at least ``SHARE``,
 and a pointwise mutual information of ``BITS`` or more, is disclosing: its
 occurrences everywhere become spans of kind ``term``. Copies of a passage are
@@ -124,7 +125,11 @@ def with_base(docs: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, based: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """``(terms, occurrences)``: disclosing ``(term)`` and ``(key, text_hash, term, n)`` of all candidates; None if there is no candidate."""
     near = based.select(F.explode("near").alias("c")).select("c.entity", "c.context", F.explode("c.terms").alias("term")).distinct()
-    support = written(near.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT), "support")
+    near = written(near, "near")
+    everywhere = near.groupBy("term").agg(F.count(F.lit(1)).alias("n_ctx"))
+    support = near.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("n_te")).where(F.col("n_te") >= SUPPORT)
+    # A term that stands near many entities can't reach the share with any, so it needn't be counted.
+    support = written(support.join(everywhere, "term").where(F.col("n_te") / F.col("n_ctx") >= SHARE), "support")
     n = support.count()
     if not n:
         return None
@@ -137,7 +142,7 @@ def disclosing_terms(docs: DataFrame, based: DataFrame) -> tuple[DataFrame, Data
     words = docs.agg(F.sum(F.length("text"))).first()[0] or 1  # the corpus size that entity frequencies are set against
     often = seen.groupBy("term").agg(F.sum("n").alias("n_t"))
     entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    share = F.col("n_te") / F.col("n_t")
+    share = F.col("n_te") / F.greatest("n_t", "n_ctx")
     bits = F.log2(share / (F.col("n_e") / F.lit(float(words))))
     terms = support.join(often, "term").join(entities, "entity").where((share >= SHARE) & (bits >= BITS)).select("term").distinct()
     return written(terms, "terms"), seen
