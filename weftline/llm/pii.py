@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, written
+from .common import BROADCAST_ROWS, small_or_shuffled, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Characters on each side of a base span that form its context.
@@ -153,7 +153,7 @@ def term_spans(docs: DataFrame, terms: DataFrame, seen: DataFrame) -> DataFrame:
     held = seen.join(terms, "term", "left_semi").groupBy("key", "text_hash").agg(F.collect_set("term").alias("terms"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    found = rows.join(held, ["key", "text_hash"]).dropDuplicates(["key", "text_hash"])
+    found = rows.join(small_or_shuffled(written(held, "held")), ["key", "text_hash"]).dropDuplicates(["key", "text_hash"])
     marks = F.filter(_spans(F.col("text"), None, TERM, F.lit(True)), lambda m: F.array_contains("terms", F.lower(m["value"])))
     return found.select("key", "text_hash", F.transform(marks, _ranked(KINDS.index("term"))).alias("marks"))
 
