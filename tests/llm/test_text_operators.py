@@ -15,7 +15,7 @@ import xxhash
 public_tokenizers = pytest.importorskip("public_tokenizers")
 from tokenizers import Tokenizer  # noqa: E402
 
-from weftline.llm import bpe, common, decontaminate, fingerprint, graph, langid, ngram, phrases, pii, pretoken, quality, registry, simhash, textops, tokenfile  # noqa: E402
+from weftline.llm import bpe, common, decontaminate, fingerprint, graph, langid, nearcopies, ngram, phrases, pii, pretoken, quality, registry, simhash, textops, tokenfile  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, uid int, fp string, key int"
 R = random.Random(7)
@@ -387,6 +387,62 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100}
 
 
+def shingles_brute(text, k=5):
+    words = lowered(text).split()
+    return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def near_groups_brute(texts, similarity=0.8):
+    """``(labels, pairs)`` by all pairs."""
+    sets, label = [shingles_brute(t) for t in texts], list(range(len(texts)))
+    pairs = []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a == b or (a and b and len(a & b) / len(a | b) >= similarity):
+                pairs.append((i, j))
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    return label, pairs
+
+
+def edited(words, edits, r):
+    words = list(words)
+    for _ in range(edits):
+        words[r.randrange(len(words))] = "w%d" % r.randrange(10**6)
+    return words
+
+
+@pytest.mark.parametrize("cap", [1, 8])
+def test_near_copies_against_brute_force(spark, cap):
+    r = random.Random(11)
+    base = [["v%d" % r.randrange(5000) for _ in range(r.choice([60, 150, 400]))] for _ in range(30)]
+    texts = [" ".join(edited(w, e, r)) for w in base for e in range(0, max(2, len(w) // 40 + 1))]
+    crowd = edited(base[0], 0, r)
+    for _ in range(25):  # a chain whose ends are no near copies, in crowded cells
+        texts.append(" ".join(crowd))
+        crowd = edited(crowd, 1, r)
+    texts += [None, "", " ", "one two", "One  two", "one three", texts[0]]
+    want, pairs = near_groups_brute(texts)
+    sets = [shingles_brute(t) for t in texts]
+    assert sum(0.8 <= len(sets[i] & sets[j]) / len(sets[i] | sets[j]) < 0.95 for i, j in pairs if sets[i]) > 20
+    got = {x.doc_id: x.label for x in nearcopies.near_copies(frame(spark, texts), cap=cap).collect()}
+    assert len(got) == len(texts)
+    assert [want.index(x) for x in want] == [[got[i] for i in range(len(texts))].index(got[j]) for j in range(len(texts))]
+    assert nearcopies.near_copies(frame(spark, [])).count() == 0
+
+
+def test_pipeline_drops_near_copies_of_similarity_above_four_fifths(spark):
+    import corpus_pipeline
+
+    r = random.Random(3)
+    words = ["v%d" % i for i in range(200)]
+    texts = [" ".join(words), " ".join(words[:60] + ["x"] + words[61:140] + ["y"] + words[141:]), " ".join(edited(words, 40, r))]
+    a, b, c = map(shingles_brute, texts)
+    assert 0.8 <= len(a & b) / len(a | b) < 0.95 and len(a & c) / len(a | c) < 0.5
+    assert {x.doc_id for x in corpus_pipeline.one_of_each_group(spark, frame(spark, texts), "").collect()} == {0, 2}
+
+
 def test_gradients_through_time():
     net = langid.Network(["a", "b"])
     for layer in (net.left, net.right):
