@@ -258,6 +258,20 @@ def test_pii_terms_that_reveal_an_address(spark):
     assert pii.result(frame(spark, [])).count() == 0
 
 
+def test_pii_terms_count_contexts_not_copies(spark):
+    filler = ["the weather was fine and nothing else happened in town that day number %d" % i for i in range(60)]
+    near = [f"note {i * 37} from quasimodo please reply to bell@tower.org before {i * 91} ends" for i in range(6)]
+    rows = {r.doc_id: r.spans for r in pii.result(frame(spark, filler + near + [near[0]] * 7)).collect()}
+    assert all("term" in rows[60 + i] for i in range(13)) and not any(rows[i] for i in range(60))
+    # A passage away from the entity, in documents that differ elsewhere, is one context as well.
+    passage = "one two three four five six seven eight quasimodo nine ten eleven twelve thirteen fourteen fifteen sixteen"
+    rows = {r.doc_id: r.spans for r in pii.result(frame(spark, filler + near + [f"start{i} {passage} stop{i}" for i in range(20)])).collect()}
+    assert all("term" in rows[66 + i] for i in range(20))
+    # Different contexts away from the entity still count.
+    rows = {r.doc_id: r.spans for r in pii.result(frame(spark, filler + near + [f"w{i} quasimodo rang v{i}" for i in range(20)])).collect()}
+    assert not any("term" in rows[66 + i] for i in range(20))
+
+
 def test_word_tokenizer_equals_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)

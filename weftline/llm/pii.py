@@ -10,12 +10,13 @@ length; then a match is a plain run.
 The protected entities are the base values. For every term near one (words in a
 window of characters on both sides) the corpus tells how strongly it reveals
 the entity: ``n(t, e)``, in how many different contexts the term stands near
-it, against ``n(t)``, all occurrences of the term (or all contexts that it
-stands in, over all entities, if they are more). A term with at least
-``SUPPORT`` such contexts, of which ``n(t, e) / n(t)`` is at least ``SHARE``,
-and a pointwise mutual information of ``BITS`` or more, is disclosing: its
-occurrences everywhere become spans of kind ``term``. Copies of a passage are
-one context.
+it, against ``n(t)``, all different contexts of the term: those near any entity
+and, for occurrences near none, those of ``AROUND`` words on both sides. A term
+with at least ``SUPPORT`` such contexts, of which ``n(t, e) / n(t)`` is at least
+``SHARE``, and a pointwise mutual information of ``BITS`` or more, is
+disclosing: its occurrences everywhere become spans of kind ``term``. Copies of
+a passage are one context. The corpus has one possible context at each character
+of its different texts.
 
 Defined results: a null text is the empty text and has no spans; repeated rows
 get equal results; an empty table gives an empty result; other columns pass
@@ -32,6 +33,8 @@ from .common import BROADCAST_ROWS, small_or_shuffled, written
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Characters on each side of a base span that form its context.
 NEAR = 48
+#: Words on each side of a term that form its context where no base span is near.
+AROUND = 7
 SUPPORT = 3
 SHARE = 0.5
 BITS = 8.0
@@ -122,8 +125,33 @@ def with_base(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", "text_hash", "base", F.transform("base", context).alias("near"))
 
 
+def _far(text: Column, base: Column) -> Column:
+    """``text`` without the base values and the whole words that ``with_base`` takes as their contexts."""
+
+    def step(a, m):
+        left = F.greatest(F.lit(0), m["start"] - NEAR)
+        before = F.substr(text, left + 1, m["start"] - left)
+        after = F.substr(text, m["end"] + 1, F.lit(NEAR))
+        first = left + F.length(F.regexp_extract(before, r"^[\p{L}\p{N}]++", 0))
+        last = m["end"] + F.length(F.regexp_replace(after, r"[\p{L}\p{N}]++$", ""))
+        piece = F.substr(text, a["at"] + 1, F.greatest(F.lit(0), first - a["at"]))
+        return F.struct(F.greatest(a["at"], last).alias("at"), F.concat_ws(" ", a["out"], piece).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(base, start, step, lambda a: F.concat_ws(" ", a["out"], F.substr(text, a["at"] + 1, F.length(text))))
+
+
+def _contexts(x: Column) -> Column:
+    """Array of ``(term, context)`` of the words of ``x``; the words are bound to a name, so they are cut once."""
+
+    def each(ws):
+        return F.transform(ws, lambda w, i: F.struct(w.alias("term"), F.xxhash64(F.slice(ws, F.greatest(F.lit(1), i + 1 - AROUND), F.least(i, F.lit(AROUND)) + 1 + AROUND)).alias("context")))
+
+    return F.element_at(F.transform(F.array(_words(x)), each), 1)
+
+
 def disclosing_terms(docs: DataFrame, based: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """``(terms, occurrences)``: disclosing ``(term)`` and ``(key, text_hash, term, n)`` of all candidates; None if there is no candidate."""
+    """``(terms, occurrences)``: disclosing ``(term)`` and ``(key, text_hash, term)`` of all candidates; None if there is no candidate."""
     near = based.select(F.explode("near").alias("c")).select("c.entity", "c.context", F.explode("c.terms").alias("term")).distinct()
     near = written(near, "near")
     everywhere = near.groupBy("term").agg(F.count(F.lit(1)).alias("n_ctx"))
@@ -136,15 +164,20 @@ def disclosing_terms(docs: DataFrame, based: DataFrame) -> tuple[DataFrame, Data
     candidates = support.select("term").distinct()
     candidates = F.broadcast(candidates) if n <= BROADCAST_ROWS else candidates
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    far = F.element_at(F.transform(F.array(base_spans(text)), lambda base: F.when(F.size(base) > 0, _far(text, base)).otherwise(text)), 1)
     # explode_outer: an inner explode would have its filter pushed below and cut words twice.
-    said = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), F.xxhash64(text).alias("text_hash"), F.explode_outer(_words(text)).alias("term"))
-    seen = written(said.join(candidates, "term").groupBy("key", "text_hash", "term").agg(F.count(F.lit(1)).alias("n")), "seen")
-    words = docs.agg(F.sum(F.length("text"))).first()[0] or 1  # the corpus size that entity frequencies are set against
-    often = seen.groupBy("term").agg(F.sum("n").alias("n_t"))
+    said = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"), F.xxhash64(text).alias("text_hash"), F.explode_outer(_contexts(far)).alias("c"))
+    said = said.select("key", "text_hash", "c.term", "c.context")
+    away = written(said.join(candidates, "term").distinct(), "away")
+    beside = based.select("key", "text_hash", F.explode("near").alias("c")).select("key", "text_hash", F.explode("c.terms").alias("term")).join(candidates, "term")
+    seen = away.select("key", "text_hash", "term").unionByName(beside.select("key", "text_hash", "term"))
+    # The corpus size that entity frequencies are set against: possible contexts, copies once.
+    places = docs.select(F.xxhash64(text).alias("text_hash"), F.length(text).alias("n")).distinct().agg(F.sum("n")).first()[0] or 1
+    often = away.select("term", "context").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_far"))
     entities = near.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    share = F.col("n_te") / F.greatest("n_t", "n_ctx")
-    bits = F.log2(share / (F.col("n_e") / F.lit(float(words))))
-    terms = support.join(often, "term").join(entities, "entity").where((share >= SHARE) & (bits >= BITS)).select("term").distinct()
+    share = F.col("n_te") / (F.col("n_ctx") + F.coalesce("n_far", F.lit(0)))
+    bits = F.log2(share / (F.col("n_e") / F.lit(float(places))))
+    terms = support.join(often, "term", "left").join(entities, "entity").where((share >= SHARE) & (bits >= BITS)).select("term").distinct()
     return written(terms, "terms"), seen
 
 
