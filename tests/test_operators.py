@@ -237,3 +237,15 @@ def test_percentile_interval(spark):
     df = spark.createDataFrame([(1, float(x)) for x in range(-5, 6)] + [(2, float(x)) for x in range(1, 12)], "g int, v double")
     got = {r.g: r.significant for r in interaction.percentile_interval(df, ["g"], "v").collect()}
     assert got == {1: False, 2: True}
+
+
+def test_registered_curved_fits_take_all_gammas(monkeypatch):
+    from weftline.plans import structure
+
+    taken = []
+    monkeypatch.setattr(structure, "_spins", lambda spark, d: None)
+    monkeypatch.setattr(structure.models, "curved_fit", lambda spins, gammas: taken.append(gammas))
+    monkeypatch.setattr(structure.models, "select_gamma", lambda grid: grid)
+    structure.curved_fit(None, "")
+    structure.gamma_select(None, "")
+    assert taken == [(-0.4, -0.3, -0.2, -0.1, 0.0, 0.1, 0.2, 0.3, 0.4)] * 2

@@ -310,12 +310,12 @@ def gibbs_surrogate(spark, d):
 
 @query("curved_fit")
 def curved_fit(spark, d):
-    return models.curved_fit(_spins(spark, d), (-0.2, 0.0, 0.2))
+    return models.curved_fit(_spins(spark, d), models.GAMMAS)
 
 
 @query("gamma_select")
 def gamma_select(spark, d):
-    return models.select_gamma(models.curved_fit(_spins(spark, d), (-0.2, 0.0, 0.2)))
+    return models.select_gamma(models.curved_fit(_spins(spark, d), models.GAMMAS))
 
 
 @query("classifier_eval")
