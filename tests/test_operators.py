@@ -249,3 +249,13 @@ def test_registered_curved_fits_take_all_gammas(monkeypatch):
     structure.curved_fit(None, "")
     structure.gamma_select(None, "")
     assert taken == [(-0.4, -0.3, -0.2, -0.1, 0.0, 0.1, 0.2, 0.3, 0.4)] * 2
+
+
+def test_registered_interval_takes_all_replicates(spark, data, monkeypatch):
+    from weftline.plans import structure
+
+    taken = []
+    picks = structure.interaction.picks
+    monkeypatch.setattr(structure.interaction, "picks", lambda spark, windows, blocks, reps: taken.append(reps) or picks(spark, windows, blocks, reps))
+    assert set(structure.boot_interval(spark, data).columns) >= {"win_id", "i", "j", "k", "low", "high"}
+    assert taken == [100]

@@ -284,7 +284,7 @@ def omega_nplets(spark, d):
 @query("boot_interval")
 def boot_interval(spark, d):
     """Percentile intervals of triplet interactions over block bootstrap replicates."""
-    drawn = interaction.bootstrap_pairs(interaction.block_sums(T.scores(spark, d), 10), interaction.picks(spark, T.WINDOWS, T.WIDTH // 10, 20))
+    drawn = interaction.bootstrap_pairs(interaction.block_sums(T.scores(spark, d), 10), interaction.picks(spark, T.WINDOWS, T.WIDTH // 10, 100))
     out = interaction.percentile_interval(interaction.omega(drawn, T.WIDTH, by=["win_id", "rep"]), ["win_id", "i", "j", "k"], "omega")
     return out.withColumns({"low": r6(F.col("low")), "high": r6(F.col("high"))})
 
