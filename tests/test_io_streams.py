@@ -46,17 +46,17 @@ def test_late_rows_are_dropped_and_bursts_close(spark, tmp_path):
     df = spark.createDataFrame([(t, "u") for t in ts], "s string, u string").select(F.col("s").cast("timestamp").alias("ts"), "u")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     found = streams.bursts(_stream(spark, tmp_path / "in", "ts timestamp, u string"), "ts", ["u"], "10 seconds", "1 minute")
-    rows = streams.run_available(found, "bursts_t", str(tmp_path / "c1")).collect()
+    rows = streams.run_available(found, "append", str(tmp_path / "c1")).collect()
     assert [(r.u, r.n) for r in rows] == [("u", 3)]
     counted = streams.binned(_stream(spark, tmp_path / "in", "ts timestamp, u string"), "ts", ["u"], "1 minute", "1 minute")
-    assert [r.c for r in streams.run_available(counted, "bins_t", str(tmp_path / "c2")).collect()] == [3]
+    assert [r.c for r in streams.run_available(counted, "append", str(tmp_path / "c2")).collect()] == [3]
 
 
 def test_device_state_merges(spark, tmp_path):
     rows = [("d", "a", "1"), ("d", "b", "2"), ("d", "a", None)]
     spark.createDataFrame(rows, "device string, key string, value string").coalesce(1).write.parquet(str(tmp_path / "in"))
     states = streams.device_states(_stream(spark, tmp_path / "in", "device string, key string, value string"))
-    got = streams.run_available(states, "states_t", str(tmp_path / "c"), "update").collect()
+    got = streams.run_available(states, "update", str(tmp_path / "c")).collect()
     assert got[-1].state == ["b=2"]
 
 

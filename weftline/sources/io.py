@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.raster import quantized
@@ -42,20 +42,42 @@ def duration_ms(events: DataFrame, forced: int | None = None) -> DataFrame:
     return events.groupBy("recording_id").agg((F.lit(forced) if forced is not None else F.max("t_ms")).alias("duration_ms"))
 
 
+def numbered_lines(spark: SparkSession, path: str, keep: Column | None = None) -> DataFrame:
+    """``(path, n, line)``: the trimmed lines that aren't blank (and that ``keep`` takes), numbered from 0 in each file.
+
+    Files are read in blocks; a line's number is its place in its block on top of the lines of the blocks before.
+    """
+    raw = spark.read.text(path).select(F.trim(F.regexp_replace("value", r"\r$", "")).alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    kept = raw.where(F.col("line") != "").withColumn("id", F.monotonically_increasing_id())
+    kept = kept.where(keep) if keep is not None else kept
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = kept.groupBy("path", "block").agg(F.count(F.lit(1)).alias("c")).select("path", "block", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("path", "block").orderBy("id")) - 1
+    return kept.withColumn("own", own).join(counts, ["path", "block"]).select("path", (F.col("before") + F.col("own")).alias("n"), "line")
+
+
 def series_columns(spark: SparkSession, path: str) -> DataFrame:
     """``(roi, t, v)`` of a text matrix whose rows are times and columns are series."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("t", "line"))
-    return lines.select("t", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("roi", "x")).select("roi", "t", F.col("x").cast("double").alias("v"))
+    lines = numbered_lines(spark, path)
+    return lines.select("n", F.posexplode(F.split("line", r"\s+")).alias("roi", "x")).select("roi", F.col("n").cast("int").alias("t"), F.col("x").cast("double").alias("v"))
 
 
 def boundary_text(spark: SparkSession, path: str) -> DataFrame:
     """``(col, dim, rows)`` of an ascii boundary matrix: a dimension and row indices a line, ``#`` comments."""
-    lines = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"))
-    kept = lines.select(F.posexplode(F.filter("lines", lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#"))).alias("col", "line"))
-    numbers = kept.select(F.col("col").cast("long").alias("col"), F.split(F.trim("line"), r"\s+").cast("array<long>").alias("n"))
+    kept = numbered_lines(spark, path, ~F.col("line").startswith("#"))
+    numbers = kept.select(F.col("n").cast("long").alias("col"), F.split("line", r"\s+").cast("array<long>").alias("n"))
     return numbers.select("col", F.element_at("n", 1).cast("int").alias("dim"), F.slice("n", F.lit(2), F.size("n")).alias("rows"))
 
 
+def positions(recordings: DataFrame) -> DataFrame:
+    """``(recording_id, unit_id, x_um, y_um)`` of rows with ``positions``, an array of pairs by unit or two arrays of coordinates; none if it has another shape."""
+    p = F.col("positions")
+    turned = (F.size(p) == 2) & (F.size(F.element_at(p, 1)) != 2)
+    pairs = F.when(turned, F.arrays_zip(F.element_at(p, 1).alias("x"), F.element_at(p, 2).alias("y"))).when(F.forall(p, lambda q: F.size(q) == 2), F.transform(p, lambda q: F.struct(q[0].alias("x"), q[1].alias("y"))))
+    flat = recordings.select("recording_id", F.posexplode(pairs).alias("unit_id", "q"))
+    return flat.select("recording_id", "unit_id", F.col("q.x").cast("float").alias("x_um"), F.col("q.y").cast("float").alias("y_um"))
+
+
 def boundary_binary(spark: SparkSession, path: str) -> DataFrame:
     """The same of int64 files: number of columns, then dimension, length and rows of each."""
 
@@ -77,9 +99,8 @@ def boundary_binary(spark: SparkSession, path: str) -> DataFrame:
 
 def pairs_text(spark: SparkSession, path: str) -> DataFrame:
     """``(birth, death)`` of a pair file: the number of pairs, then a pair a line."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("n", "line")).where("n > 0 AND trim(line) <> ''")
-    two = F.split(F.trim("line"), r"\s+").cast("array<long>")
-    return lines.select(F.element_at(two, 1).alias("birth"), F.element_at(two, 2).alias("death"))
+    two = F.split("line", r"\s+").cast("array<long>")
+    return numbered_lines(spark, path).where("n > 0").select(F.element_at(two, 1).alias("birth"), F.element_at(two, 2).alias("death"))
 
 
 def write_partitioned(df: DataFrame, path: str, by: list[str], settings: dict | None = None) -> None:

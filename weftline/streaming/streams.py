@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +59,27 @@ def device_states(changes: DataFrame) -> DataFrame:
     )
 
 
-def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Everything there is now, into a memory table (for tests and small results)."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share; a temporary folder in local sessions without one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="weftline-")
+    return found.rstrip("/")
+
+
+def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Everything there is now, as Parquet files that the executors write, read again.
+
+    In complete mode a batch replaces the one before it, else it is added.
+    """
+    spark = stream.sparkSession
+    folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{0 if mode == 'complete' else number}")
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/out")
