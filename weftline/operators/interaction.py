@@ -81,7 +81,7 @@ def picks(spark, windows: int, blocks: int, reps: int) -> DataFrame:
 def bootstrap_pairs(sums: DataFrame, drawn: DataFrame) -> DataFrame:
     """``(win_id, rep, i, j, r)``: correlations of the resampled blocks, from weighted block sums."""
     w = F.col("times")
-    total = sums.join(F.broadcast(drawn), ["win_id", "block"]).groupBy("win_id", "rep", "i", "j").agg(
+    total = sums.join(drawn, ["win_id", "block"]).groupBy("win_id", "rep", "i", "j").agg(
         *[F.sum(w * F.col(c)).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")]
     )
     n = F.col("n")
@@ -101,11 +101,11 @@ def shifted(full: DataFrame, perms: int, width: int, least: int) -> DataFrame:
     return spread.withColumn("t", ((F.col("t") + amount) % width).cast("int"))
 
 
-def permutation_p(observed: DataFrame, null: DataFrame, perms: int, value: str = "omega") -> DataFrame:
-    """``(1 + #{null >= observed}) / (perms + 1)``, upper tail, per triplet."""
+def permutation_p(observed: DataFrame, null: DataFrame, perms: int, value: str = "omega", same: float = 0.0) -> DataFrame:
+    """``(1 + #{null >= observed}) / (perms + 1)``, upper tail, per triplet; values less than ``same`` apart are equal."""
     keys = ["win_id", "i", "j", "k"]
     joined = null.select(*keys, F.col(value).alias("_null")).join(observed.select(*keys, value), keys)
-    return joined.groupBy(*keys).agg(F.first(value).alias(value), ((F.count_if(F.col("_null") >= F.col(value)) + 1) / (perms + 1)).alias("p"))
+    return joined.groupBy(*keys).agg(F.first(value).alias(value), ((F.count_if(F.col("_null") >= F.col(value) - same) + 1) / (perms + 1)).alias("p"))
 
 
 def benjamini_hochberg(values: DataFrame, by: list[str], q: float = 0.05, p: str = "p", order: list[str] | None = None) -> DataFrame:

@@ -158,36 +158,53 @@ def delta_omega(spark, d):
     return _delta(spark, d).select("win_id", "i", "j", "k", r6(F.col("omega")).alias("omega"), r6(F.col("delta")).alias("delta"))
 
 
-BLOCKS, REPS, PERMS = N // 10, 20, 10
-BOOT = T.ORDINAL + f""", draws AS (SELECT w.i AS win_id, b.i AS rep, ((w.i * 7919 + b.i * 104729 + d.i * 1299709 + b.i * d.i * d.i) % 2147483647) % {BLOCKS} AS block
-  FROM range({T.WINDOWS}) w(i), range({REPS}) b(i), range({BLOCKS}) d(i)), bpairs AS (
-  SELECT w.win_id, w.rep, x.unit AS i, y.unit AS j, corr(x.z, y.z) AS r FROM draws w JOIN scores x ON x.win_id = w.win_id AND x.t // 10 = w.block JOIN scores y ON y.win_id = x.win_id AND y.t = x.t AND x.unit < y.unit GROUP BY 1, 2, 3, 4), bt AS (
-  SELECT p.win_id, p.rep, p.i, p.j, q.j AS k, p.r AS a, q.r AS b, s.r AS c FROM bpairs p JOIN bpairs q ON p.win_id = q.win_id AND p.rep = q.rep AND p.i = q.i AND p.j < q.j
-  JOIN bpairs s ON s.win_id = p.win_id AND s.rep = p.rep AND s.i = p.j AND s.j = q.j)"""
+#: Replicates, permutations and false discovery rate that the method takes by default.
+BLOCKS, REPS, PERMS, Q = N // 10, 100, 50, 0.1
+#: Values that differ by less are equal: a roll of all units by one amount gives the observed value up to rounding.
+SAME = 1e-9
+
+
+def _boot_sql(scores: str, tag: str) -> str:
+    return f"""{tag}pairs AS (
+  SELECT w.win_id, w.rep, x.unit AS i, y.unit AS j, corr(x.z, y.z) AS r
+  FROM draws w JOIN {scores} x ON x.win_id = w.win_id AND x.t // 10 = w.block JOIN {scores} y ON y.win_id = x.win_id AND y.t = x.t AND x.unit < y.unit
+  GROUP BY 1, 2, 3, 4), {tag}t AS (
+  SELECT p.win_id, p.rep, p.i, p.j, q.j AS k, p.r AS a, q.r AS b, s.r AS c
+  FROM {tag}pairs p JOIN {tag}pairs q ON p.win_id = q.win_id AND p.rep = q.rep AND p.i = q.i AND p.j < q.j
+  JOIN {tag}pairs s ON s.win_id = p.win_id AND s.rep = p.rep AND s.i = p.j AND s.j = q.j)"""
+
+
+DRAWS = f"""draws AS (
+  SELECT w.i AS win_id, b.i AS rep, ((w.i * 7919 + b.i * 104729 + d.i * 1299709 + b.i * d.i * d.i) % 2147483647) % {BLOCKS} AS block
+  FROM range({T.WINDOWS}) w(i), range({REPS}) b(i), range({BLOCKS}) d(i))"""
+BOOT = f"{T.ORDINAL}, {DRAWS}, {_boot_sql('scores', 'b')}"
+
+
+def _bootstrapped(spark, scores):
+    """``omega`` of each replicate; the same blocks are drawn for all scores of a window."""
+    drawn = interaction.bootstrap_pairs(interaction.block_sums(scores, 10), interaction.picks(spark, T.WINDOWS, BLOCKS, REPS))
+    return interaction.omega(drawn, N, by=["win_id", "rep"])
 
 
 @query("block_boot_se", f"WITH {BOOT} SELECT CAST(win_id AS INT) AS win_id, i, j, k, {R6.format(f'stddev_samp({GC})')} AS se FROM bt GROUP BY 1, 2, 3, 4")
 def block_boot_se(spark, d):
-    sums = interaction.block_sums(T.scores(spark, d), 10)
-    drawn = interaction.bootstrap_pairs(sums, interaction.picks(spark, T.WINDOWS, BLOCKS, REPS))
-    om = interaction.omega(drawn, N, by=["win_id", "rep"])
-    return om.groupBy("win_id", "i", "j", "k").agg(r6(F.stddev_samp("omega")).alias("se"))
+    return _bootstrapped(spark, T.scores(spark, d)).groupBy("win_id", "i", "j", "k").agg(r6(F.stddev_samp("omega")).alias("se"))
 
 
 PSQL = OMEGA + f""", mv AS (SELECT d.win_id, p.i AS perm, d.unit, CAST((d.t + 10 + (d.win_id * 31 + p.i * 131 + d.unit * 1009 + p.i * d.unit * d.unit) % {N - 10}) % {N} AS INT) AS t, d.z FROM scores d, range({PERMS}) p(i)), np AS (
   SELECT x.win_id, x.perm, x.unit AS i, y.unit AS j, corr(x.z, y.z) AS r FROM mv x JOIN mv y ON x.win_id = y.win_id AND x.perm = y.perm AND x.t = y.t AND x.unit < y.unit GROUP BY 1, 2, 3, 4), nt AS (
   SELECT p.win_id, p.i, p.j, q.j AS k, p.r AS a, q.r AS b, s.r AS c FROM np p JOIN np q ON p.win_id = q.win_id AND p.perm = q.perm AND p.i = q.i AND p.j < q.j JOIN np s ON s.win_id = p.win_id AND s.perm = p.perm AND s.i = p.j AND s.j = q.j), nom AS (
   SELECT win_id, i, j, k, {GC} AS null_omega FROM nt), pv AS (
-  SELECT win_id, i, j, k, any_value(omega) AS omega, (1 + count(*) FILTER (null_omega >= omega)) / CAST({PERMS + 1} AS DOUBLE) AS p FROM nom JOIN om USING (win_id, i, j, k) GROUP BY 1, 2, 3, 4), bh AS (
+  SELECT win_id, i, j, k, any_value(omega) AS omega, (1 + count(*) FILTER (null_omega >= omega - {SAME})) / CAST({PERMS + 1} AS DOUBLE) AS p FROM nom JOIN om USING (win_id, i, j, k) GROUP BY 1, 2, 3, 4), bh AS (
   SELECT *, CAST(row_number() OVER o AS INT) AS rank, count(*) OVER (PARTITION BY win_id) AS m FROM pv WINDOW o AS (PARTITION BY win_id ORDER BY p, i, j, k)), cut AS (
-  SELECT *, max(CASE WHEN p <= 0.2 * rank / m THEN p END) OVER (PARTITION BY win_id) AS cutoff FROM bh)"""
+  SELECT *, max(CASE WHEN p <= {Q} * rank / m THEN p END) OVER (PARTITION BY win_id) AS cutoff FROM bh)"""
 
 
 def _tested(spark, d):
     """Scores are ranked once and rolled after: a roll keeps ranks, and ties keep their order."""
     z = T.scores(spark, d).select("win_id", "unit", "t", "z")
     null = interaction.omega(copula.pair_correlations(interaction.shifted(z, PERMS, N, 10), by=["win_id", "perm"]), N, by=["win_id", "perm"])
-    return interaction.permutation_p(_omega(spark, d), null, PERMS)
+    return interaction.permutation_p(_omega(spark, d), null, PERMS, same=SAME)
 
 
 @query("shift_null_pvalue", f"WITH {PSQL} SELECT win_id, i, j, k, {R6.format('omega')} AS omega, {R6.format('p')} AS p FROM pv")
@@ -196,7 +213,7 @@ def shift_null_pvalue(spark, d):
 
 
 def _fdr(spark, d):
-    return interaction.benjamini_hochberg(_tested(spark, d), ["win_id"], q=0.2, order=["i", "j", "k"])
+    return interaction.benjamini_hochberg(_tested(spark, d), ["win_id"], q=Q, order=["i", "j", "k"])
 
 
 @query("bh_fdr", f"WITH {PSQL} SELECT win_id, i, j, k, rank, {R6.format('p')} AS p, coalesce(p <= cutoff, FALSE) AS discovery FROM cut")
@@ -204,7 +221,36 @@ def bh_fdr(spark, d):
     return _fdr(spark, d).select("win_id", "i", "j", "k", "rank", r6(F.col("p")).alias("p"), "discovery")
 
 
-@query("fdr_tau", f"WITH {PSQL}, tt AS (SELECT *, coalesce(p <= cutoff, FALSE) AS hit, row_number() OVER (PARTITION BY win_id ORDER BY omega DESC) AS place, sum(CAST(coalesce(p <= cutoff, FALSE) AS INT)) OVER (PARTITION BY win_id) AS found FROM cut) SELECT win_id, CAST(max(found) AS BIGINT) AS n_discoveries, {R6.format('min(CASE WHEN place <= found THEN omega END)')} AS tau, {R6.format('min(CASE WHEN hit THEN omega END)')} AS tau_mask FROM tt GROUP BY 1")
+# The p-values of delta are those of omega: both sides lose the same surrogate value. The threshold is one of delta.
+TAU = f"""WITH {DELTA}, {PSQL[len(OMEGA) + 2 :]}, tt AS (
+  SELECT cut.win_id, delta, coalesce(p <= cutoff, FALSE) AS hit, row_number() OVER (PARTITION BY cut.win_id ORDER BY delta DESC) AS place,
+    sum(CAST(coalesce(p <= cutoff, FALSE) AS INT)) OVER (PARTITION BY cut.win_id) AS found
+  FROM cut JOIN (SELECT win_id, i, j, k, delta FROM de) USING (win_id, i, j, k))
+SELECT win_id, CAST(max(found) AS BIGINT) AS n_discoveries, {R6.format('min(CASE WHEN place <= found THEN delta END)')} AS tau, {R6.format('min(CASE WHEN hit THEN delta END)')} AS tau_mask
+FROM tt GROUP BY 1"""
+
+
+@query("fdr_tau", TAU)
 def fdr_tau(spark, d):
-    out = interaction.thresholds(_fdr(spark, d), ["win_id"], "omega")
+    tested = _fdr(spark, d).join(_delta(spark, d).select("win_id", "i", "j", "k", "delta"), ["win_id", "i", "j", "k"])
+    out = interaction.thresholds(tested, ["win_id"], "delta")
     return out.select("win_id", "n_discoveries", r6(F.col("tau")).alias("tau"), r6(F.col("tau_mask")).alias("tau_mask"))
+
+
+DELTA_SE = f"""WITH {SURROGATE}, scores AS (
+  SELECT win_id, unit, t, c, {T.probit_sql("p")} AS z
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY win_id, unit ORDER BY c, t) AS DOUBLE) / {N + 1} AS p FROM dense)), {DRAWS},
+  {_boot_sql('scores', 'b')}, {_boot_sql('sscores', 'sb')}, bo AS (SELECT win_id, rep, i, j, k, {GC} AS o FROM bt), so AS (SELECT win_id, rep, i, j, k, {GC} AS o FROM sbt)
+SELECT CAST(bo.win_id AS INT) AS win_id, i, j, k, {R6.format('stddev_samp(bo.o)')} AS se_omega, {R6.format('stddev_samp(bo.o - so.o)')} AS se_delta
+FROM bo JOIN so USING (win_id, rep, i, j, k) GROUP BY 1, 2, 3, 4"""
+
+
+@query("delta_omega_se", DELTA_SE)
+def delta_omega_se(spark, d):
+    """Standard errors over the same resampled blocks of the recording and its surrogate."""
+    moved = interaction.shifted(T.full(spark, d), 1, N, 10).select("win_id", "unit", "t", "c")
+    null = _bootstrapped(spark, copula.normal_scores(moved, ["win_id", "unit"])).withColumnRenamed("omega", "surrogate")
+    both = _bootstrapped(spark, T.scores(spark, d)).join(null, ["win_id", "rep", "i", "j", "k"])
+    return both.groupBy("win_id", "i", "j", "k").agg(r6(F.stddev_samp("omega")).alias("se_omega"), r6(F.stddev_samp(F.col("omega") - F.col("surrogate"))).alias("se_delta"))
+
+
