@@ -1,3 +1,4 @@
+import inspect
 import itertools
 import math
 from statistics import NormalDist
@@ -10,6 +11,7 @@ from weftline.functions import numeric
 from weftline.operators import copula, features, interaction, metrics, models, multivariate, raster, topology
 
 RNG = np.random.default_rng(0)
+models_curved_fit = models.curved_fit
 
 
 def test_probit_equals_inverse_normal(spark):
@@ -32,7 +34,7 @@ def test_deformed_functions(spark):
     row = spark.range(1).select(
         numeric.deformed_sigmoid(F.lit(0.7), F.lit(0.0)).alias("a"), numeric.deformed_sigmoid(F.lit(0.7), F.lit(0.2)).alias("b"), numeric.gamma_tag(F.lit(-0.2)).alias("t"), numeric.coherence_sign(F.lit(-1.0), F.lit(-2.0)).alias("s"), numeric.coherence_sign(F.lit(0.0), F.lit(2.0)).alias("z")
     ).first()
-    assert row.a == pytest.approx(1 / (1 + math.exp(-1.4)))
+    assert row.a == pytest.approx(1 / (1 + math.exp(-0.7)))
     x = (1 + 0.14) ** 5 / ((1 + 0.14) ** 5 + (1 - 0.14) ** 5)
     assert row.b == pytest.approx(x)
     assert (row.t, row.s, row.z) == ("gamma_m0.20", 1, -1)
@@ -192,6 +194,27 @@ def test_model_recovers_couplings():
     assert m < 0.1 and c < 0.2
 
 
+def test_positions_of_either_shape(spark):
+    from weftline.sources import io
+
+    rows = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]), (2, [[1.0, 3.0, 5.0], [2.0, 4.0, 6.0]]), (3, [[1.0], [2.0], [3.0]]), (4, None)], "recording_id int, positions array<array<double>>")
+    got = sorted(tuple(r) for r in io.positions(rows).collect())
+    assert got == [(n, u, 2.0 * u + 1, 2.0 * u + 2) for n in (1, 2) for u in range(3)]
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    from weftline.sources import io
+
+    (tmp_path / "m.txt").write_text("\n".join(f"{i} {i + 0.5}" for i in range(5000)) + "\n\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        rows = io.series_columns(spark, str(tmp_path / "m.txt")).where("roi = 1").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.t, r.v) for r in rows) == [(i, i + 0.5) for i in range(5000)]
+
+
 def test_curved_fit_at_zero_is_logistic():
     s = RNG.choice([-1.0, 1.0], (300, 3))
     s[:, 2] = np.where(RNG.random(300) < 0.8, s[:, 0], s[:, 2])
@@ -245,10 +268,85 @@ def test_registered_curved_fits_take_all_gammas(monkeypatch):
     taken = []
     monkeypatch.setattr(structure, "_spins", lambda spark, d: None)
     monkeypatch.setattr(structure.models, "curved_fit", lambda spins, gammas: taken.append(gammas))
-    monkeypatch.setattr(structure.models, "select_gamma", lambda grid: grid)
     structure.curved_fit(None, "")
-    structure.gamma_select(None, "")
-    assert taken == [(-0.4, -0.3, -0.2, -0.1, 0.0, 0.1, 0.2, 0.3, 0.4)] * 2
+    assert taken == [(-0.4, -0.3, -0.2, -0.1, 0.0, 0.1, 0.2, 0.3, 0.4)]
+    assert inspect.signature(models_curved_fit).parameters["gammas"].default == taken[0]  # what the choice of gamma runs
+
+
+def gamma_brute(rows, p05):
+    rows = sorted(rows)
+    ll0 = next((x[1] for x in rows if x[0] == 0), rows[0][1])
+    for g, ll, clip, ok, med in rows:
+        if g > 0 and clip <= 0.05 and ok and ll <= 1.01 * ll0 and med <= p05:
+            return g, True, False
+    up = [x for x in rows if x[0] > 0]
+    if len(up) >= 2 and all(b[1] - a[1] <= 1e-12 for a, b in zip(up, up[1:])):
+        good = [(x[1], x[0]) for x in up if x[2] <= 0.05 and x[3]]
+        return (min(good)[1] if good else 0.0), False, False
+    return 0.0, False, True
+
+
+def test_gamma_of_each_window_against_brute_force(spark):
+    grid, base, want = [], [], {}
+    for w in range(60):
+        losses = np.sort(RNG.random(5))[::-1] if w % 3 == 0 else RNG.choice([0.5, 0.501, 0.6], 5)
+        rows = [(g, float(ll), float(RNG.choice([0.0, 0.2])), bool(RNG.random() < 0.6), float(RNG.normal())) for g, ll in zip((-0.2, 0.0, 0.1, 0.2, 0.3), losses)]
+        base.append((w, float(RNG.normal() - 0.5)))
+        want[w] = gamma_brute(rows, base[-1][1])
+        grid += [(w, *r) for r in rows]
+    df = spark.createDataFrame(grid, "win_id int, gamma double, cv_log_loss double, clip_rate double, accepted boolean, median double")
+    got = models.select_gamma(df.drop("accepted", "median"), df.select("win_id", "gamma", "accepted"), df.select("win_id", "gamma", "median"), spark.createDataFrame(base, "win_id int, p05 double"))
+    assert {r.win_id: (r.gamma_star, r.ho_closure, r.no_closure) for r in got.collect()} == want and len(set(want.values())) > 3
+
+
+@pytest.mark.parametrize("gamma", [-0.3, 0.0, 0.2])
+def test_curved_slope_is_that_of_the_loss(gamma):
+    s = RNG.choice([-1.0, 1.0], (200, 3))
+    s[:, 2] = np.where(RNG.random(200) < 0.9, s[:, 0], s[:, 2])
+    best = models.curved_node(s, 2, gamma, np.zeros(3))
+
+    def loss(b):
+        x = np.clip(2 * (s[:, :2] @ b[:2] + b[2]), -models.field_limit(gamma), models.field_limit(gamma))
+        p = models.sigma_gamma(x, gamma)
+        return -np.log(np.where(s[:, 2] > 0, p, 1 - p) + 1e-24).sum() + 1e-2 * (b[:2] ** 2).sum() + 1e-3 * b[2] ** 2
+
+    least = loss(best)
+    assert all(loss(best + RNG.normal(0, 0.02, 3)) >= least - 1e-6 * abs(least) for _ in range(50))
+
+
+def test_curved_surrogates_report_their_errors(spark):
+    s = RNG.choice([-1, 1], (60, 3))
+    spins = spark.createDataFrame([(1, u, t, int(s[t, u])) for t in range(60) for u in range(3)], "win_id int, unit int, t int, s int")
+    drawn = models.curved_surrogates(spins, models.curved_fit(spins, (0.0, 0.2))).toPandas()
+    for g, one in drawn.groupby("gamma"):
+        x = 2.0 * one.pivot(index="t", columns="unit", values="c").to_numpy() - 1
+        m, c = models.moment_errors(s.astype(float), x)
+        assert len(one) == 180 and one.m_err.iloc[0] == pytest.approx(m) and one.c_rel_err.iloc[0] == pytest.approx(c)
+        assert one.accepted.iloc[0] == (m <= 0.02 and c <= 0.1)
+
+
+def test_couplings_and_bounds(spark):
+    model = spark.createDataFrame([(1, 0, 1, 0.5, None), (1, 0, 2, 0.0, None), (1, 1, 2, -0.25, None), *[(1, i, i, 0.0, 0.1) for i in range(3)]], "win_id int, i int, j int, coupling double, field double")
+    r = models.coupling_summary(model).first()
+    j = np.array([[0, 0.5, 0], [0.5, 0, -0.25], [0, -0.25, 0]])
+    assert (r.mean_abs_j, r.max_abs_j) == (0.375, 0.5) and r.j_spectral_norm == pytest.approx(np.linalg.norm(j, 2))
+    ours = spark.createDataFrame([(0, 0, 10), (1, 5, 15), (2, 10, 20)], "win_id int, start_bin int, end_bin int")
+    held = spark.createDataFrame([(0, 0, 10), (1, 5, 16)], "win_id int, start_bin int, end_bin int")
+    assert sorted(x.win_id for x in models.same_bounds(held, ours).collect()) == [1, 2]
+
+
+def test_endless_deaths_become_the_largest_weight(spark):
+    # A square without diagonals and triangles: one loop that never ends.
+    kept = spark.createDataFrame([(1, n, 1, a, b, -1, w, n) for n, (a, b, w) in enumerate([(0, 1, 4.0), (1, 2, 3.0), (2, 3, 2.0), (0, 3, 1.0)], 1)], "t long, ord int, dim int, i int, j int, k int, w double, arrival long")
+    diagram = topology.persistence(kept)
+    assert [(r.birth, r.death) for r in diagram.collect()] == [(-1.0, float("inf"))]
+    clean = topology.cleaned(diagram, spark.createDataFrame([(1, 4.5)], "t long, max_weight double"))
+    assert [(r.birth, r.death) for r in clean.collect()] == [(-1.0, 4.5)]
+    angles = [d * np.pi / 50 - np.pi / 2 for d in range(50)]
+    want = np.mean([abs(-np.cos(a) + 4.5 * np.sin(a) - 1.75 * (np.cos(a) + np.sin(a))) for a in angles])
+    got = {r.kind: r.distance for r in topology.diagram_indicators(clean).collect()}
+    assert got == pytest.approx({"all": want, "ct": want})
+    assert {r.dim: r.betti for r in topology.betti_numbers(kept).collect()} == {0: 1, 1: 1}
 
 
 def test_registered_interval_takes_all_replicates(spark, data, monkeypatch):

@@ -68,14 +68,16 @@ def deformed_exp(x: Column, gamma: Column, floor: float = 1e-6) -> Column:
 
 
 def deformed_sigmoid(x: Column, gamma: Column, floor: float = 1e-6) -> Column:
-    """``e(x) / (e(x) + e(-x))`` with the deformed exponential e, evaluated by the difference of logs."""
-    return sigmoid(log_deformed_exp(x, gamma, floor) - log_deformed_exp(-x, gamma, floor), 700.0)
+    """``e(x) / (e(x) + e(-x))`` with the deformed exponential e, evaluated by the difference of logs; at gamma 0 the plain sigmoid of x."""
+    gap = log_deformed_exp(x, gamma, floor) - log_deformed_exp(-x, gamma, floor)
+    return F.when(F.abs(gamma) < 1e-12, sigmoid(x)).otherwise(sigmoid(gap, 700.0))
 
 
 def deformed_sigmoid_slope(x: Column, gamma: Column, floor: float = 1e-6) -> Column:
     a, b = log_deformed_exp(x, gamma, floor), log_deformed_exp(-x, gamma, floor)
     s = sigmoid(a - b, 700.0)
-    return 2 * s * (1 - s) / F.greatest(1 - gamma * gamma * x * x, F.lit(floor))
+    flat = sigmoid(x)
+    return F.when(F.abs(gamma) < 1e-12, flat * (1 - flat)).otherwise(2 * s * (1 - s) / F.greatest(1 - gamma * gamma * x * x, F.lit(floor)))
 
 
 def coherence_sign(*values: Column) -> Column:

@@ -6,16 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of [0, 1] that a running sum over all scores is cut in; scores outside belong to the first or last.
+RANGES = 4096
+
+
 def by_score(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Per distinct score, from the highest: true and false positives so far, and the totals.
 
-    Rows are first summed to distinct scores; a running sum then orders those.
+    Rows are first summed to distinct scores. Running sums are then taken within
+    ranges of scores, each on top of the sums of the ranges above it, so no task
+    gets all scores; only the few sums of ranges are ordered as a whole.
     """
     by = by or []
     sums = df.groupBy(*by, "p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    down = Window.partitionBy(*by).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    return sums.select(*by, "p", "pos", "neg", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("all_pos"), F.sum("neg").over(whole).alias("all_neg"))
+    sums = sums.withColumn("_range", F.least(F.greatest(F.floor(F.col("p") * RANGES), F.lit(0)), F.lit(RANGES - 1)).cast("int"))
+    whole, above = Window.partitionBy(*by), Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sums.groupBy(*by, "_range").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
+    ranges = ranges.select(
+        *by, "_range", F.coalesce(F.sum("_pos").over(above), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_neg").over(above), F.lit(0)).alias("_fp"),
+        F.sum("_pos").over(whole).alias("all_pos"), F.sum("_neg").over(whole).alias("all_neg"),
+    )
+    same = F.col("s._range") == F.col("r._range")
+    for c in by:
+        same = same & F.col(f"s.{c}").eqNullSafe(F.col(f"r.{c}"))
+    down = Window.partitionBy(*by, "_range").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    both = sums.alias("s").join(ranges.alias("r"), same).select(*[F.col(f"s.{c}").alias(c) for c in (*by, "_range", "p", "pos", "neg")], "_tp", "_fp", "all_pos", "all_neg")
+    return both.select(*by, "p", "pos", "neg", (F.col("_tp") + F.sum("pos").over(down)).alias("tp"), (F.col("_fp") + F.sum("neg").over(down)).alias("fp"), "all_pos", "all_neg")
 
 
 def average_precision(df: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -61,9 +77,15 @@ def best_f1(df: DataFrame) -> DataFrame:
     return at.agg(F.max_by(F.struct("p", "f1", "precision", "recall"), F.struct(F.round("f1", 12), -F.col("p"))).alias("b")).select(F.col("b.p").alias("threshold"), "b.f1", "b.precision", "b.recall")
 
 
+#: Groups that may be dealt to folds, each of which is one row on the driver.
+MAX_GROUPS = 1_000_000
+
+
 def group_folds(df: DataFrame, group: str, folds: int) -> dict:
-    """Fold of each group: groups by size, largest first, each to the lightest fold (one row a group on the driver)."""
-    sizes = df.groupBy(group).count().orderBy(F.desc("count"), group).collect()
+    """Fold of each group: groups by size, largest first, each to the lightest fold; an error beyond ``MAX_GROUPS``."""
+    sizes = df.groupBy(group).count().orderBy(F.desc("count"), group).limit(MAX_GROUPS + 1).collect()
+    if len(sizes) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups to deal")
     load, out = [0] * min(folds, max(1, len(sizes))), {}
     for row in sizes:
         k = load.index(min(load))

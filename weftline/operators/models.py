@@ -94,21 +94,30 @@ def log_exp_gamma(x: np.ndarray, gamma: float, floor: float = 1e-6) -> np.ndarra
     return x if abs(gamma) < 1e-12 else np.log(np.maximum(1 + gamma * x, floor)) / gamma
 
 
+#: How far inside the pole of the deformed exponential fields are clipped, and where plain ones are.
+CLIP, PLAIN_LIMIT = 1e-6, 50.0
+
+
+def field_limit(gamma: float) -> float:
+    return PLAIN_LIMIT if abs(gamma) < 1e-12 else 1 / abs(gamma) - CLIP
+
+
 def sigma_gamma(x: np.ndarray, gamma: float) -> np.ndarray:
-    gap = log_exp_gamma(x, gamma) - log_exp_gamma(-x, gamma)
+    """The deformed sigmoid; at gamma 0 the plain one of x."""
+    gap = x if abs(gamma) < 1e-12 else log_exp_gamma(x, gamma) - log_exp_gamma(-x, gamma)
     return 1 / (1 + np.exp(-np.clip(gap, -700, 700)))
 
 
 def gibbs(j: np.ndarray, h: np.ndarray, samples: int, burn: int, thin: int, seed: int, gamma: float = 0.0) -> np.ndarray:
-    """``samples`` rows of 0/1 by sequential sweeps over the spins."""
+    """``samples`` rows of 0/1 by sequential sweeps over the spins, with the clipped field ``2 (h + J s)``."""
     rng = np.random.default_rng(seed)
-    n = len(h)
+    n, most = len(h), field_limit(gamma)
     s = rng.choice([-1.0, 1.0], n)
     out = np.zeros((samples, n), np.int8)
     for sweep in range(burn + samples * thin):
         draws = rng.random(n)
         for i in range(n):
-            s[i] = 1.0 if draws[i] < sigma_gamma(np.array(h[i] + j[i] @ s), gamma) else -1.0
+            s[i] = 1.0 if draws[i] < sigma_gamma(np.clip(2 * (h[i] + j[i] @ s), -most, most), gamma) else -1.0
         k = sweep - burn + 1
         if k > 0 and k % thin == 0:
             out[k // thin - 1] = s > 0
@@ -128,16 +137,17 @@ def surrogates(model: DataFrame, samples: int, gamma: float = 0.0, thin: int = 1
     return model.groupBy("win_id").applyInPandas(one, "win_id int, unit int, t int, c int")
 
 
-def surrogates_checked(real: np.ndarray, j: np.ndarray, h: np.ndarray, gamma: float, seed: int, tries: int = 3, thin: int = 2) -> tuple[np.ndarray, float, float, bool]:
-    """Draws until the moments agree (mean within 0.02, covariance within 0.10), doubling the burn-in."""
+def surrogates_checked(real: np.ndarray, j: np.ndarray, h: np.ndarray, gamma: float, seed: int, tries: int = 3, thin: int = 2, mean_most: float = 0.02, cov_most: float = 0.10) -> tuple[np.ndarray, float, float, bool]:
+    """Draws until the moments agree (mean and covariance within the bounds), doubling the burn-in; the last try stays."""
     burn = 5 * len(h)
     for k in range(tries):
         drawn = gibbs(j, h, len(real), burn, thin, seed + k, gamma)
         m, c = moment_errors(real, 2.0 * drawn - 1)
-        if m <= 0.02 and c <= 0.10:
+        ok = m <= mean_most and c <= cov_most
+        if ok:
             break
         burn *= 2
-    return drawn, m, c, m <= 0.02 and c <= 0.10
+    return drawn, m, c, ok
 
 
 def moment_errors(real: np.ndarray, drawn: np.ndarray) -> tuple[float, float]:
@@ -146,18 +156,23 @@ def moment_errors(real: np.ndarray, drawn: np.ndarray) -> tuple[float, float]:
     return float(np.abs(real.mean(axis=0) - drawn.mean(axis=0)).max()), float(np.linalg.norm(a - b) / (np.linalg.norm(a) + 1e-12))
 
 
-def curved_node(s: np.ndarray, i: int, gamma: float, start: np.ndarray, lam_j: float = 1e-2, lam_h: float = 1e-3, rounds: int = 200) -> np.ndarray:
-    """Couplings and field (last) of one spin under the deformed sigmoid, by limited-memory quasi-Newton steps."""
+def curved_node(s: np.ndarray, i: int, gamma: float, start: np.ndarray, lam_j: float = 1e-2, lam_h: float = 1e-3, rounds: int = 500) -> np.ndarray:
+    """Couplings and field (last) of one spin under the deformed sigmoid of ``2 (h + J s)``, by limited-memory quasi-Newton steps.
+
+    Beyond the clip the loss of a sample doesn't change, so its slope is zero there.
+    """
     x = np.column_stack([np.delete(s, i, axis=1), np.ones(len(s))])
     y = s[:, i] > 0
     ridge = np.append(np.full(x.shape[1] - 1, lam_j), lam_h)
+    most = field_limit(gamma)
 
     def value(b):
-        f = x @ b
-        p = np.clip(sigma_gamma(f, gamma), 1e-9, 1 - 1e-9)
-        slope = 2 / np.maximum(1 - (gamma * f) ** 2, 1e-6)  # of the log-odds
-        gradient = x.T @ ((p - y) * slope) + 2 * ridge * b
-        return -np.log(np.where(y, p, 1 - p)).sum() + (ridge * b * b).sum(), gradient
+        whole = 2 * (x @ b)
+        f = np.clip(whole, -most, most)
+        p = sigma_gamma(f, gamma)
+        log_odds = 1.0 if abs(gamma) < 1e-12 else 2 / np.maximum(1 - (gamma * f) ** 2, CLIP)
+        gradient = x.T @ ((p - y) * log_odds * 2 * (np.abs(whole) < most)) + 2 * ridge * b
+        return -np.log(np.where(y, p, 1 - p) + 1e-24).sum() + (ridge * b * b).sum(), gradient
 
     b = start.copy()
     loss, g = value(b)
@@ -192,55 +207,127 @@ def curved_node(s: np.ndarray, i: int, gamma: float, start: np.ndarray, lam_j: f
     return b
 
 
+def curved_window(s: np.ndarray, gamma: float, j: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symmetric couplings and fields of all spins, from a start ``j, h``."""
+    rows = [curved_node(s, i, gamma, np.append(np.delete(j[i], i), h[i])) for i in range(len(h))]
+    whole = np.array([np.insert(r[:-1], i, 0.0) for i, r in enumerate(rows)])
+    return (whole + whole.T) / 2, np.array([r[-1] for r in rows])
+
+
+def held_out_scores(s: np.ndarray, gamma: float, j: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Log loss, Brier score and calibration error in ten bins: means over the spins."""
+    most = field_limit(gamma)
+    p, y = sigma_gamma(np.clip(2 * (s @ j.T + h), -most, most), gamma), s > 0
+    loss, brier = -np.log(np.where(y, p, 1 - p) + 1e-24).mean(), ((y - p) ** 2).mean()
+    cell = np.clip((p * 10).astype(int), 0, 9)
+    ece = np.mean([sum(abs(y[cell[:, i] == k, i].mean() - p[cell[:, i] == k, i].mean()) * (cell[:, i] == k).mean() for k in np.unique(cell[:, i])) for i in range(s.shape[1])])
+    return np.array([loss, brier, ece])
+
+
 GAMMAS = (-0.4, -0.3, -0.2, -0.1, 0.0, 0.1, 0.2, 0.3, 0.4)
-CURVED = "win_id int, gamma double, cv_log_loss double, cv_brier double, ece10 double, clip_rate double, j_norm double, tv_ratio double"
+CURVED = "win_id int, gamma double, cv_log_loss double, cv_brier double, ece10 double, clip_rate double, j_norm double, tv_ratio double, tv_violation boolean, units array<int>, couplings array<double>, fields array<double>"
 
 
-def curved_fit(spins: DataFrame, gammas: tuple[float, ...] = GAMMAS, folds: int = 5) -> DataFrame:
-    """One row per window and gamma: held-out scores, share of clipped fields, change of couplings along gamma.
+def curved_fit(spins: DataFrame, gammas: tuple[float, ...] = GAMMAS, folds: int = 5, tv_limit: float = 0.5) -> DataFrame:
+    """One row per window and gamma: the model (couplings by rows), held-out scores, share of clipped fields, change of couplings along gamma.
 
-    Gammas run in order inside a window, each from the one before (a sequential dependency).
+    Gammas run in order inside a window, the first from the window's Ising fit,
+    each other from the one before (a sequential dependency).
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        _, s = spin_matrix(pdf)
+        units, s = spin_matrix(pdf)
         n, m = s.shape
         bounds = [k * n // folds for k in range(folds + 1)]
-        warm = [np.zeros(m) for _ in range(m)]
-        rows, before = [], None
-        for gamma in sorted(gammas):
-            warm = [curved_node(s, i, gamma, warm[i]) for i in range(m)]
-            fields = np.column_stack([np.column_stack([np.delete(s, i, axis=1), np.ones(n)]) @ warm[i] for i in range(m)])
-            clip = float((np.abs(fields) >= 1 / abs(gamma)).mean()) if gamma else 0.0
-            p, y = [], []
-            for a, b in zip(bounds, bounds[1:]):
-                train = np.delete(s, slice(a, b), axis=0)
-                for i in range(m):
-                    w = curved_node(train, i, gamma, warm[i], rounds=50)
-                    p.append(sigma_gamma(np.column_stack([np.delete(s[a:b], i, axis=1), np.ones(b - a)]) @ w, gamma))
-                    y.append(s[a:b, i] > 0)
-            p, y = np.clip(np.concatenate(p), 1e-9, 1 - 1e-9), np.concatenate(y).astype(float)
-            cell = np.minimum((p * 10).astype(int), 9)
-            ece = sum(abs(y[cell == k].mean() - p[cell == k].mean()) * (cell == k).mean() for k in np.unique(cell))
-            j = np.concatenate([w[:-1] for w in warm])
-            tv = float(np.abs(j - before).sum() / (np.abs(before).sum() + 1e-12)) if before is not None else 0.0
+        j, h = fit_window(s)
+        rows = []
+        for g, gamma in enumerate(sorted(gammas)):
             before = j
-            loss = float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
-            rows.append((pdf.win_id.iloc[0], gamma, loss, float(((p - y) ** 2).mean()), float(ece), clip, float(np.linalg.norm(j)), tv))
+            j, h = curved_window(s, gamma, j, h)
+            tv = float(np.abs(j - before).sum() / (np.abs(before).sum() + 1e-12)) if g else 0.0
+            fields, most = 2 * (s @ j.T + h), field_limit(gamma)
+            clip = float((np.abs(fields) >= most).mean()) if abs(gamma) >= 1e-12 else 0.0
+            scores = np.mean([held_out_scores(s[a:b], gamma, *curved_window(np.delete(s, slice(a, b), axis=0), gamma, j, h)) for a, b in zip(bounds, bounds[1:])], axis=0)
+            rows.append((pdf.win_id.iloc[0], gamma, *scores.tolist(), clip, float(np.linalg.norm(j)), tv, tv > tv_limit, units.tolist(), j.reshape(-1).tolist(), h.tolist()))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in CURVED.split(", ")])
 
     return spins.groupBy("win_id").applyInPandas(one, CURVED)
 
 
-def select_gamma(grid: DataFrame, clip_limit: float = 0.05, loss_slack: float = 1.01) -> DataFrame:
-    """One row: the smallest positive gamma whose median loss is within the slack of gamma 0's and whose clip rate is low, else the best loss.
+DRAWN = "win_id int, gamma double, unit int, t int, c int, m_err double, c_rel_err double, accepted boolean"
+
+
+def curved_surrogates(spins: DataFrame, fitted: DataFrame, seed: int = 4242) -> DataFrame:
+    """Checked draws from every window's models, as many as the window has bins, with the moment errors in each row."""
+
+    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        units, real = spin_matrix(left)
+        out = []
+        for g, r in enumerate(right.sort_values("gamma").itertuples()):
+            n, win = len(r.fields), int(r.win_id)
+            drawn, m, c, ok = surrogates_checked(real, np.reshape(r.couplings, (n, n)), np.array(r.fields), r.gamma, seed + 1000 * g + win)
+            t, u = np.nonzero(np.ones_like(drawn))
+            out.append(pd.DataFrame({"win_id": win, "gamma": r.gamma, "unit": units[u], "t": t, "c": drawn[t, u].astype(int), "m_err": m, "c_rel_err": c, "accepted": ok}))
+        return pd.concat(out)
 
-    ``monotonic``: losses don't rise along positive gammas (there are two at least).
+    return spins.groupBy("win_id").cogroup(fitted.select("win_id", "gamma", "couplings", "fields").groupBy("win_id")).applyInPandas(one, DRAWN)
+
+
+def select_gamma(grid: DataFrame, quality: DataFrame, medians: DataFrame, baseline: DataFrame, clip_limit: float = 0.05, loss_slack: float = 1.01) -> DataFrame:
+    """Per window: the smallest positive gamma that is admissible, sane and closes the difference.
+
+    ``grid(win_id, gamma, cv_log_loss, clip_rate)``, ``quality(win_id, gamma, accepted)``,
+    ``medians(win_id, gamma, median)``, ``baseline(win_id, p05)``. Admissible: few
+    clipped fields and an accepted surrogate. Sane: a loss within the slack of
+    that at gamma 0 (of the least gamma if 0 isn't there). Closed: a median
+    difference of at most the shuffled 5th percentile. If no gamma is all of
+    that: the admissible positive gamma of least loss if losses never rise along
+    the positive gammas (two at least), 0 if there is none; else 0 without closure.
     """
-    sums = grid.groupBy("gamma").agg(F.median("cv_log_loss").alias("loss"), F.median("clip_rate").alias("clip"))
-    zero = sums.agg(F.max(F.when(F.abs("gamma") < 1e-12, F.col("loss"))).alias("loss0"))
-    up = sums.where("gamma > 1e-12").withColumn("_d", F.col("loss") - F.lag("loss").over(Window.orderBy("gamma")))  # a row a gamma
-    steady = up.agg(((F.count(F.lit(1)) >= 2) & (F.coalesce(F.max("_d"), F.lit(0.0)) <= 1e-12)).alias("monotonic"))
-    ok = (F.col("gamma") > 1e-12) & (F.col("clip") <= clip_limit) & (F.col("loss") <= loss_slack * F.col("loss0"))
-    picked = sums.crossJoin(F.broadcast(zero)).agg(F.min(F.when(ok, F.col("gamma"))).alias("first_ok"), F.min_by("gamma", "loss").alias("best"))
-    return picked.crossJoin(F.broadcast(steady)).select(F.coalesce("first_ok", "best").alias("gamma_star"), F.col("first_ok").isNull().alias("fallback"), "monotonic")
+    w = Window.partitionBy("win_id")
+    up = F.col("gamma") > 0
+    rows = grid.select("win_id", "gamma", "cv_log_loss", "clip_rate").join(quality, ["win_id", "gamma"]).join(medians, ["win_id", "gamma"], "left").join(baseline, "win_id", "left")
+    zero = F.coalesce(F.max(F.when(F.abs("gamma") < 1e-12, F.col("cv_log_loss"))).over(w), F.first("cv_log_loss").over(w.orderBy("gamma")))
+    rows = rows.withColumn("ll0", zero).withColumn("_rise", F.when(up, F.col("cv_log_loss") - F.lag(F.when(up, F.col("cv_log_loss"))).over(w.orderBy("gamma"))))
+    admissible = (F.col("clip_rate") <= clip_limit) & F.col("accepted")
+    ok = up & admissible & (F.col("cv_log_loss") <= loss_slack * F.col("ll0")) & (F.col("median") <= F.col("p05"))
+    sums = rows.groupBy("win_id").agg(
+        F.min(F.when(ok, F.col("gamma"))).alias("first"), F.min(F.when(up & admissible, F.struct("cv_log_loss", "gamma")))["gamma"].alias("best"),
+        ((F.count_if(up) >= 2) & (F.coalesce(F.max("_rise"), F.lit(0.0)) <= 1e-12)).alias("monotonic"), F.first("p05").alias("p05"), F.first("ll0").alias("ll0"),
+    )
+    star = F.coalesce("first", F.when(F.col("monotonic"), F.col("best")), F.lit(0.0))
+    return sums.select("win_id", star.alias("gamma_star"), F.col("first").isNotNull().alias("ho_closure"), (F.col("first").isNull() & ~F.col("monotonic")).alias("no_closure"), "p05", "ll0")
+
+
+def coupling_summary(model: DataFrame) -> DataFrame:
+    """Per window: mean and largest absolute value of the couplings that aren't zero, and the largest singular value of their matrix."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, j, _ = matrices(pdf)
+        up = np.abs(j[np.triu_indices(len(j), 1)])
+        up = up[up > 0]
+        norm = float(np.linalg.svd(j, compute_uv=False)[0]) if len(j) else np.nan
+        return pd.DataFrame([(pdf.win_id.iloc[0], up.mean() if len(up) else np.nan, up.max() if len(up) else np.nan, norm)], columns=["win_id", "mean_abs_j", "max_abs_j", "j_spectral_norm"])
+
+    return model.groupBy("win_id").applyInPandas(one, "win_id int, mean_abs_j double, max_abs_j double, j_spectral_norm double")
+
+
+def choose_c(spins: DataFrame, folds: int = 5, windows: int = 3, grid: tuple[float, ...] = tuple(np.geomspace(5.0, 200.0, 6))) -> DataFrame:
+    """``(win_id, c, loss)``: of each of the first windows, the C with the least held-out loss over blocks of time (the first of equals)."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, s = spin_matrix(pdf)
+        bounds = [k * len(s) // folds for k in range(folds + 1)]
+        losses = [np.mean([pseudo_log_loss(s[a:b], *fit_window(np.delete(s, slice(a, b), axis=0), c)) for a, b in zip(bounds, bounds[1:])]) for c in grid]
+        best = int(np.argmin(losses))
+        return pd.DataFrame([(pdf.win_id.iloc[0], float(grid[best]), float(losses[best]))], columns=["win_id", "c", "loss"])
+
+    first = spins.select("win_id").distinct().orderBy("win_id").limit(windows)
+    return spins.join(F.broadcast(first), "win_id", "left_semi").groupBy("win_id").applyInPandas(one, "win_id int, c double, loss double")
+
+
+def same_bounds(model: DataFrame, windows: DataFrame) -> DataFrame:
+    """Windows whose bounds in a stored model differ from those of the table, or that it doesn't have; empty if all agree."""
+    ours, theirs = windows.select("win_id", "start_bin", "end_bin"), model.select("win_id", F.col("start_bin").alias("model_start"), F.col("end_bin").alias("model_end"))
+    wrong = F.col("model_start").isNull() | (F.col("start_bin") != F.col("model_start")) | (F.col("end_bin") != F.col("model_end"))
+    return ours.join(theirs.distinct(), "win_id", "left").where(wrong)

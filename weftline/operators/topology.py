@@ -31,7 +31,7 @@ def shuffled(series: DataFrame, seed: int = 0) -> DataFrame:
 
 def _scored(products: DataFrame, keys: list[str]) -> DataFrame:
     stats = products.groupBy(*keys).agg(F.avg("p").alias("_m"), F.stddev_pop("p").alias("_s"))
-    return products.join(F.broadcast(stats), keys).withColumn("z", (F.col("p") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).drop("_m", "_s", "p")
+    return products.join(stats, keys).withColumn("z", (F.col("p") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).drop("_m", "_s", "p")
 
 
 def edges(series: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def persistence(kept: DataFrame, dim: int = 1) -> DataFrame:
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         ordered, arrival, weight = _frame_simplices(pdf)
         columns, dims = boundary_of(ordered)
-        pairs, _, _ = reduce_columns(columns, dims, basis=True)
+        pairs = reduce_columns(columns, dims)
         deaths, killers = {b: d for b, d in pairs}, {d for _, d in pairs}
         out = []
         for x, s in enumerate(ordered):
@@ -203,12 +203,33 @@ def betti_curve(intervals: DataFrame, length: int) -> DataFrame:
     return changes.select("t", "dim", "at", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("betti"))
 
 
+def node_weights(edge: DataFrame, triangle: DataFrame) -> DataFrame:
+    """``(t, max_weight, node_weight)``: a frame's largest absolute weight, and the weight that all its nodes enter with, rounded up."""
+    every = edge.select("t", "w").unionByName(triangle.select("t", "w")).groupBy("t").agg(F.max(F.abs("w")).alias("max_weight"))
+    return every.withColumn("node_weight", F.ceil("max_weight").cast("double"))
+
+
+def cleaned(diagram: DataFrame, weights: DataFrame) -> DataFrame:
+    """``diagram`` with the frame's largest weight in place of an endless death."""
+    death = F.when(F.col("death") == float("inf"), F.col("max_weight")).otherwise(F.col("death"))
+    return diagram.join(weights.select("t", "max_weight"), "t").withColumn("death", death).drop("max_weight")
+
+
+def betti_numbers(kept: DataFrame) -> DataFrame:
+    """``(t, dim, betti)``: classes of dimension 0 and 1 of each frame's whole complex that never end."""
+    out = None
+    for dim in (0, 1):
+        one = persistence(kept, dim).groupBy("t").agg(F.count_if(F.col("death_arrival") < 0).alias("betti")).select("t", F.lit(dim).alias("dim"), "betti")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def diagram_indicators(diagram: DataFrame, directions: int = 50) -> DataFrame:
     """Sliced Wasserstein distance of each frame's diagram to its projection on the diagonal, in total and by quadrant.
 
     Fully coherent points have birth and death below zero (weights above it),
     transitions change sign, fully decoherent points lie above zero; a birth of
-    zero is in none.
+    zero is in none. Endless deaths are to be ``cleaned`` first.
     """
     finite = diagram.where(F.col("death") != float("inf"))
     theta = F.explode(F.sequence(F.lit(0), F.lit(directions - 1))).alias("d")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -104,7 +104,19 @@ def scaffold_cycles(spark, d):
 
 @query("diagram_indicators")
 def diagram_indicators(spark, d):
-    return topology.diagram_indicators(topology.persistence(_filtration(spark, d))).withColumn("distance", r6(F.col("distance")))
+    weights = topology.node_weights(_edges(spark, d), _triangles(spark, d))
+    clean = topology.cleaned(topology.persistence(_filtration(spark, d)), weights)
+    return topology.diagram_indicators(clean).withColumn("distance", r6(F.col("distance")))
+
+
+@query("node_weight", f"WITH {T.TRIANGLES} SELECT t, {R6.format('max(abs(w))')} AS max_weight, ceil(max(abs(w))) AS node_weight FROM (SELECT t, w FROM edges UNION ALL SELECT t, w FROM tri) GROUP BY t")
+def node_weight(spark, d):
+    return topology.node_weights(_edges(spark, d), _triangles(spark, d)).withColumn("max_weight", r6(F.col("max_weight")))
+
+
+@query("betti_numbers")
+def betti_numbers(spark, d):
+    return topology.betti_numbers(_filtration(spark, d))
 
 
 @query("rips_edges", f"WITH p AS (SELECT vec_id AS id, embedding[1:3] AS v FROM embeddings), q AS (SELECT a.id AS a, b.id AS b, sqrt((CAST(a.v[1] AS DOUBLE) - b.v[1]) ^ 2 + (CAST(a.v[2] AS DOUBLE) - b.v[2]) ^ 2 + (CAST(a.v[3] AS DOUBLE) - b.v[3]) ^ 2) AS d FROM p a JOIN p b ON a.id < b.id) SELECT a, b, {R6.format('d')} AS d FROM q WHERE d <= 0.02")
@@ -228,7 +240,7 @@ def kfold_blocks(spark, d):
     return rows.groupBy("fold_first", "fold_linspace").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("low"))
 
 
-@query("deformed_sigmoid", f"WITH x AS (SELECT event_id, value / 50 - 1 AS x, ((event_id % 9) - 4) / 10.0::DOUBLE AS g FROM events), l AS (SELECT *, CASE WHEN g = 0 THEN x ELSE ln(greatest(1 + g * x, 1e-6)) / g END AS a, CASE WHEN g = 0 THEN -x ELSE ln(greatest(1 - g * x, 1e-6)) / g END AS b FROM x) SELECT event_id, {R6.format('1 / (1 + exp(-least(greatest(a - b, -700), 700)))')} AS p FROM l")
+@query("deformed_sigmoid", f"WITH x AS (SELECT event_id, value / 50 - 1 AS x, ((event_id % 9) - 4) / 10.0::DOUBLE AS g FROM events), l AS (SELECT *, CASE WHEN g = 0 THEN x ELSE ln(greatest(1 + g * x, 1e-6)) / g END AS a, CASE WHEN g = 0 THEN -x ELSE ln(greatest(1 - g * x, 1e-6)) / g END AS b FROM x) SELECT event_id, {R6.format('1 / (1 + exp(-least(greatest(CASE WHEN g = 0 THEN x ELSE a - b END, -700), 700)))')} AS p FROM l")
 def deformed_sigmoid(spark, d):
     x, g = F.col("value") / 50 - 1, ((F.col("event_id") % 9) - 4) / 10.0
     return T.read(spark, d, "events").select("event_id", r6(numeric.deformed_sigmoid(x, g)).alias("p"))
@@ -236,8 +248,11 @@ def deformed_sigmoid(spark, d):
 
 @query("combinadic_rank", "WITH c AS (SELECT DISTINCT l_linenumber AS n FROM lineitem), t AS (SELECT a.n AS i, b.n AS j, c.n AS k FROM c a JOIN c b ON a.n < b.n JOIN c ON b.n < c.n) SELECT i, j, k, CAST(1 + (i - 1) + (j - 1) * (j - 2) // 2 + (k - 1) * (k - 2) * (k - 3) // 6 AS BIGINT) AS rank FROM t")
 def combinadic_rank(spark, d):
-    n = T.read(spark, d, "lineitem").select(F.col("l_linenumber").alias("n")).distinct()
-    t = n.select(F.col("n").alias("i")).join(n.select(F.col("n").alias("j")), F.expr("i < j")).join(n.select(F.col("n").alias("k")), F.expr("j < k"))
+    """Triplets of the distinct values, from their one sorted list: each value takes those behind it along."""
+    behind = lambda xs, x: F.filter(xs, lambda y: y > x)
+    one = T.read(spark, d, "lineitem").agg(F.array_sort(F.collect_set("l_linenumber")).alias("n"))
+    two = one.select(F.explode("n").alias("i"), "n").select("i", F.explode(behind(F.col("n"), F.col("i"))).alias("j"), "n")
+    t = two.select("i", "j", F.explode(behind(F.col("n"), F.col("j"))).alias("k"))
     return t.select("i", "j", "k", numeric.combination_rank([F.col("i"), F.col("j"), F.col("k")]).alias("rank"))
 
 
@@ -308,14 +323,53 @@ def gibbs_surrogate(spark, d):
     return models.surrogates(models.ising_fit(_spins(spark, d)), T.WIDTH)
 
 
+@query("coupling_summary")
+def coupling_summary(spark, d):
+    return models.coupling_summary(models.ising_fit(_spins(spark, d)))
+
+
+@query("ising_choose_c")
+def ising_choose_c(spark, d):
+    """The C that the first three windows agree on in the median."""
+    return models.choose_c(_spins(spark, d)).agg(F.median("c").alias("c"), F.count(F.lit(1)).alias("windows"))
+
+
 @query("curved_fit")
 def curved_fit(spark, d):
     return models.curved_fit(_spins(spark, d), models.GAMMAS)
 
 
+def _kept(spark, df):
+    """An iterative fit is written once, as several tables follow from it."""
+    path = f"{streams.shared_folder(spark)}/fit-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@query("surrogate_qc")
+def surrogate_qc(spark, d):
+    spins = _spins(spark, d)
+    drawn = models.curved_surrogates(spins, models.curved_fit(spins))
+    return drawn.select("win_id", "gamma", "m_err", "c_rel_err", "accepted").distinct()
+
+
 @query("gamma_select")
 def gamma_select(spark, d):
-    return models.select_gamma(models.curved_fit(_spins(spark, d), models.GAMMAS))
+    """Gamma of each window, from fits, checked surrogates, their differences and the shuffled differences."""
+    spins = _spins(spark, d)
+    grid = _kept(spark, models.curved_fit(spins))
+    drawn = _kept(spark, models.curved_surrogates(spins, grid))
+    quality = drawn.select("win_id", "gamma", "accepted").distinct()
+    by = ["win_id", "gamma"]
+    real = interaction.omega(copula.pair_correlations(T.scores(spark, d)), T.WIDTH).withColumnRenamed("omega", "real")
+    null = interaction.omega(copula.pair_correlations(copula.normal_scores(drawn, [*by, "unit"]), by=by), T.WIDTH, by=by)
+    medians = null.join(real, ["win_id", "i", "j", "k"]).groupBy(*by).agg(F.median(F.col("real") - F.col("omega")).alias("median"))
+    iso = models.surrogates(models.ising_fit(spins), T.WIDTH)
+    iso = interaction.omega(copula.pair_correlations(copula.normal_scores(iso, ["win_id", "unit"], ties="average")), T.WIDTH).withColumnRenamed("omega", "iso")
+    rolled = interaction.shifted(T.scores(spark, d, "average").select("win_id", "unit", "t", "z"), 50, T.WIDTH, 10)
+    rolled = interaction.omega(copula.pair_correlations(rolled, by=["win_id", "perm"]), T.WIDTH, by=["win_id", "perm"])
+    baseline = rolled.join(iso, ["win_id", "i", "j", "k"]).groupBy("win_id").agg(F.percentile(F.col("omega") - F.col("iso"), F.lit(0.05)).alias("p05"))
+    return models.select_gamma(grid, quality, medians, baseline)
 
 
 @query("classifier_eval")
@@ -347,6 +401,4 @@ def stream_bins(spark, d):
     """Tumbling counts over the event stream, read to the end in one go; the whole result is kept (complete mode)."""
     source = spark.readStream.schema(T.read(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
     counted = streams.binned(source.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "6 hours", "1 hour").drop("end")
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="weftline-")
-    name = f"stream_bins_{abs(hash(d))}_{id(counted)}"
-    return streams.run_available(counted, name, f"{root.rstrip('/')}/{name}", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return streams.run_available(counted, "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
