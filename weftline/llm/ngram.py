@@ -5,7 +5,9 @@ packed arrays, cut by the top bits of the bigram hash. A hash spreads every
 context, so no frequent word gathers in one task. Each bucket is merged into a
 file of sorted hashes and counts; what it says about single words (how often,
 after how many words, before how many) is sent on and merged likewise by word
-hash. Workers map the files and look up sorted queries.
+hash. There are as many buckets as the counted bytes of the corpus ask for, and
+a task decodes and merges one bucket at a time, so its memory doesn't grow with
+the corpus. Workers map one file at a time and look up sorted queries.
 
 Folder: a shared POSIX folder. Files are written under a temporary name and
 renamed, so a task that runs again replaces its own files.
@@ -21,16 +23,15 @@ the lower order, at last to V known tokens and one unknown.
 
 Defined results: a null text is the empty text, one end; with nothing to learn
 from every token is unknown; a null ``doc_id`` is hashed as the empty text for
-the fold; repeated rows count and are scored each time; an empty table gives an
-empty result; other columns are ignored. Equal 64-bit hashes are taken as equal
-tokens.
+the fold; repeated rows count and are scored each time; a text of any length is
+counted and scored whole, its parts in slices of whole texts; nothing is chosen
+by order, so ties can't occur; an empty table gives an empty result; other
+columns are ignored. Equal 64-bit hashes are taken as equal tokens.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import groupby
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +45,9 @@ BEGIN = np.uint64(0x424547)
 #: Distinct bigrams that a task gathers before it sends their sums, and buckets in one batch of them.
 FLUSH = 2_000_000
 BATCH_BUCKETS = 8
+#: Text of one bucket of bigrams (bytes), and of one slice of texts.
+BUCKET_BYTES = 8 << 20
+SLICE = 1 << 20
 SMOOTH = 0.1
 
 
@@ -116,6 +120,7 @@ def _gather(bits: int):
         parts.clear()
         key, at, n = _reduce(pair_hash(u, v), n)
         u, v = u[at], v[at]
+        del at
         rows = []
         for bucket, a, b in _cut(key, bits):
             order = np.argsort(u[a:b])
@@ -131,7 +136,7 @@ def _gather(bits: int):
         parts, held = [], 0
         for batch in batches:
             offsets, data = column_bytes(batch.column(0))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE):
                 h, row = token_stream(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 u = contexts(h, row)
                 _, at, n = _reduce(pair_hash(u, h), np.ones(len(u), np.uint32))
@@ -146,10 +151,23 @@ def _gather(bits: int):
     return run
 
 
-def _by_bucket(batches):
-    rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-    for bucket, group in groupby(rows, key=lambda r: r[0]):
-        yield bucket, list(group)
+def _by_bucket(batches, decode):
+    """``(bucket, arrays)`` of rows in bucket order: each row is decoded as it comes, and a bucket's arrays are joined."""
+    held, parts = None, []
+
+    def joined():
+        return held, [np.concatenate(x) for x in zip(*parts)]
+
+    for batch in batches:
+        buckets = batch.column(0).to_pylist()
+        for i, bucket in enumerate(buckets):
+            if bucket != held and parts:
+                yield joined()
+                parts.clear()
+            held = bucket
+            parts.append(decode(*(batch.column(c)[i].as_py() for c in range(1, 6))))
+    if parts:
+        yield joined()
 
 
 def _save(path: str, *arrays: np.ndarray) -> None:
@@ -180,16 +198,17 @@ def _counts_of(n: np.ndarray) -> np.ndarray:
 
 
 def _merge_bigrams(folder: str, word_bits: int):
+    def decode(u, after, place, n, _):
+        return unpack_sorted(u), unpack_sorted(after)[unpack(place)], unpack(n).astype(np.int64)
+
     def run(batches):
         os.makedirs(folder, exist_ok=True)
-        for bucket, group in _by_bucket(batches):
-            u = np.concatenate([unpack_sorted(r[1]) for r in group])
-            v = np.concatenate([unpack_sorted(r[2])[unpack(r[3])] for r in group])
-            n = np.concatenate([unpack(r[4]) for r in group]).astype(np.int64)
+        for bucket, (u, v, n) in _by_bucket(batches, decode):
             key, at, n = _reduce(pair_hash(u, v), n)
             u, v = u[at], v[at]
             large = np.flatnonzero(n > 254)
-            _save(f"{folder}/pairs-{bucket:06d}.bin", key, np.minimum(n, 255).astype(np.uint8), large.astype(np.uint32), n[large].astype(np.uint64))
+            _save(f"{folder}/pairs-{bucket:08d}.bin", key, np.minimum(n, 255).astype(np.uint8), large.astype(np.uint32), n[large].astype(np.uint64))
+            del key, at
             rows = []
             word, _, total, one, two, more = _reduce(u, n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64))
             for w, a, b in _cut(word, word_bits):
@@ -197,27 +216,25 @@ def _merge_bigrams(folder: str, word_bits: int):
             word, _, total, before = _reduce(v, n, np.ones(len(n), np.int64))
             for w, a, b in _cut(word, word_bits):
                 rows.append((w, pack_sorted(word[a:b]), pack(total[a:b]), pack(before[a:b]), b"", b""))
-            stats = _counts_of(n)
-            rows.append((-1, b"", pack(np.array([*stats, len(n), n.sum()], np.uint64)), b"", b"", b""))
+            rows.append((-1, b"", pack(np.array([*_counts_of(n), len(n), n.sum()], np.uint64)), b"", b"", b""))
             yield _rows(rows)
 
     return run
 
 
 def _merge_words(folder: str):
+    def decode(word, total, first, second, third):
+        """Count, words before, and as a context: total and how many follow once, twice, more often."""
+        word, total, first = unpack_sorted(word), unpack(total).astype(np.int64), unpack(first).astype(np.int64)
+        zero = np.zeros(len(word), np.int64)
+        if second:
+            return word, zero, zero, total, first, unpack(second).astype(np.int64), unpack(third).astype(np.int64)
+        return word, total, first, zero, zero, zero, zero
+
     def run(batches):
-        for bucket, group in _by_bucket(batches):
-            parts = [unpack_sorted(r[1]) for r in group]
-            word = np.concatenate(parts)
-            columns = [[] for _ in range(6)]
-            for r, part in zip(group, parts):
-                zero = np.zeros(len(part), np.int64)
-                as_context = bool(r[4])
-                got = [unpack(x).astype(np.int64) if x else zero for x in r[2:]]
-                for c, x in zip(columns, [zero, zero, *got] if as_context else [got[0], got[1], zero, zero, zero, zero]):
-                    c.append(x)
-            key, _, count, before, total, one, two, more = _reduce(word, *(np.concatenate(c) for c in columns))
-            _save(f"{folder}/words-{bucket:06d}.bin", key, *(x.astype(np.uint64 if x.max(initial=0) >> 32 else np.uint32) for x in (count, before, total, one, two, more)))
+        for bucket, (word, *columns) in _by_bucket(batches, decode):
+            key, _, count, before, total, one, two, more = _reduce(word, *columns)
+            _save(f"{folder}/words-{bucket:08d}.bin", key, *(x.astype(np.uint64 if x.max(initial=0) >> 32 else np.uint32) for x in (count, before, total, one, two, more)))
             known = before > 0
             sums = [*_counts_of(before[known]), int((before[known] > 2).sum()), int(known.sum()), int(before.sum())]
             yield _rows([(bucket, b"", pack(np.array(sums, np.uint64)), b"", b"", b"")])
@@ -234,29 +251,22 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 class Model:
-    """Where the files are and a few totals; workers map the files when they first use them."""
+    """Where the files are and a few totals; workers map a file for the queries of one slice and let it go."""
 
-    def __init__(self, folder: str, pair_bits: int, word_bits: int, pair_stats: list[int], word_stats: list[int]):
-        self.folder, self.pair_bits, self.word_bits = folder, pair_bits, word_bits
+    def __init__(self, folder: str, bits: int, pair_stats: list[int], word_stats: list[int]):
+        self.folder, self.bits = folder, bits
         *pairs, self.pairs, self.tokens = pair_stats
         self.d = discounts(pairs)
         *befores, more, self.vocabulary, self.befores = word_stats
         self.d1 = discounts(befores)
         left = self.d1[1] * befores[0] + self.d1[2] * befores[1] + self.d1[3] * more
         self.left1 = left / self.befores if self.befores else 1.0
-        self._maps: dict = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"_maps": {}}
 
-    def _find(self, name: str, bits: int, key: np.ndarray):
+    def _find(self, name: str, key: np.ndarray):
         """``(arrays, place, found)`` pieces of sorted distinct hashes, bucket by bucket."""
-        for bucket, a, b in _cut(key, bits):
-            at = (name, bucket)
-            if at not in self._maps:
-                path = f"{self.folder}/{name}-{bucket:06d}.bin"
-                self._maps[at] = _load(path) if os.path.exists(path) else None
-            arrays = self._maps[at]
+        for bucket, a, b in _cut(key, self.bits):
+            path = f"{self.folder}/{name}-{bucket:08d}.bin"
+            arrays = _load(path) if os.path.exists(path) else None
             if arrays is None or not len(arrays[0]):
                 continue
             place = np.minimum(np.searchsorted(arrays[0], key[a:b]), len(arrays[0]) - 1)
@@ -266,14 +276,14 @@ class Model:
     def words(self, key: np.ndarray) -> list[np.ndarray]:
         """Count, words before, and as context: total and how many follow once, twice, more often."""
         out = [np.zeros(len(key), np.int64) for _ in range(6)]
-        for arrays, place, to in self._find("words", self.word_bits, key):
+        for arrays, place, to in self._find("words", key):
             for x, y in zip(out, arrays[1:]):
                 x[to] = y[place]
         return out
 
     def pair_counts(self, key: np.ndarray) -> np.ndarray:
         out = np.zeros(len(key), np.int64)
-        for arrays, place, to in self._find("pairs", self.pair_bits, key):
+        for arrays, place, to in self._find("pairs", key):
             n = arrays[1][place].astype(np.int64)
             if (big := n == 255).any():
                 n[big] = arrays[3][np.searchsorted(arrays[2], place[big])]
@@ -298,31 +308,38 @@ class Model:
         return [add(), add((c1 > 0).astype(float)).astype(np.int64), add(base), add(np.log10(np.maximum(p, 1e-300)))]
 
 
-def _bits(n: int) -> int:
-    return max(3, (n - 1).bit_length())
-
-
-def train(docs: DataFrame, folder: str | None = None) -> Model:
+def train(docs: DataFrame, folder: str | None = None, bucket_bytes: int = BUCKET_BYTES) -> Model:
     """Counts all texts of ``docs`` into files of ``folder`` (a new one in the shared folder unless given)."""
     spark = docs.sparkSession
     folder = folder or new_path(spark, "ngrams")
     files = local_path(folder)
     n = partitions(spark)
-    pair_bits, word_bits = _bits(n), _bits(n // 2)
-    counted = doc_text(docs).select("text").mapInArrow(_gather(pair_bits), PARTS)
-    merged = counted.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_bigrams(files, word_bits), PARTS)
+    text = doc_text(docs).select("text")
+    size = text.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    bits = max(3, (size // bucket_bytes).bit_length())
+    own = F.pmod(F.col("bucket"), F.lit(n)).cast("int")  # buckets in turn, so tasks get equally many
+    counted = text.mapInArrow(_gather(bits), PARTS)
+    merged = counted.repartitionById(n, own).sortWithinPartitions("bucket").mapInArrow(_merge_bigrams(files, bits), PARTS)
     write(merged, f"{folder}/sent")
     sent = spark.read.schema(PARTS).parquet(f"{folder}/sent")
     pair_stats = _totals(sent.where("bucket = -1"), 6)
-    by_word = sent.where("bucket >= 0").repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_words(files), PARTS)
+    by_word = sent.where("bucket >= 0").repartitionById(n, own).sortWithinPartitions("bucket").mapInArrow(_merge_words(files), PARTS)
     write(by_word, f"{folder}/totals")
     word_stats = _totals(spark.read.schema(PARTS).parquet(f"{folder}/totals"), 7)
-    return Model(files, pair_bits, word_bits, pair_stats, word_stats)
+    return Model(files, bits, pair_stats, word_stats)
 
 
 def _totals(rows: DataFrame, n: int) -> list[int]:
-    """Sums of the few numbers that each bucket reports (one row a bucket)."""
-    found = [unpack(bytes(r[0])).astype(np.int64) for r in rows.select("b").collect()]
+    """Sums of the few numbers that each bucket reports; one row a task comes to the driver."""
+
+    def add(batches):
+        total = np.zeros(n, np.uint64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total += unpack(x)
+        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int64)], pa.list_(pa.int64()))], names=["sums"])
+
+    found = [r[0] for r in rows.select("b").mapInArrow(add, "sums array<long>").collect()]
     return np.sum(found, axis=0).tolist() if found else [0] * n
 
 
@@ -333,7 +350,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             offsets, data = column_bytes(batch.column(1))
             out: list[list] = [[], [], [], []]
-            for a, b in slices(offsets, 3 << 20):
+            for a, b in slices(offsets, 2 * SLICE):
                 h, row = token_stream(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 for x, y in zip(out, held.value.batch(h, row, b - a)):
                     x.append(y)
