@@ -19,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (local tests) is a temporary one set.
+    A local session without one gets a temporary folder; on a cluster its lack is an error, as no machine's own folder is shared.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weftline-")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext.getCheckpointDir()
@@ -86,12 +88,37 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_or_shuffled(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if its counted rows are within ``limit``, else as it is."""
-    n = df.count() if rows is None else rows
+def small_or_shuffled(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted and within ``limit``, else as it is.
+
+    A row counts as one, and by ``weight`` (the size of its lists) besides.
+    """
+    n = df.count() if weight is None else df.agg(F.coalesce(F.sum(F.greatest(weight, F.lit(0)) + 1), F.lit(0))).first()[0]
     return F.broadcast(df) if n <= limit else df
 
 
+def free_name(docs: DataFrame, wanted: str) -> str:
+    """``wanted``, with as many underscores behind it as make it a name that ``docs`` doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, whatever signs are in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
+def key() -> Column:
+    """``doc_id`` as a string that joins can compare; a null one is the empty string."""
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def doc_text(docs: DataFrame) -> DataFrame:
     """Just ``doc_id`` and ``text`` (null: empty), whatever else the table has."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
