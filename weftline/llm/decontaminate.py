@@ -3,127 +3,196 @@
 Texts become words: ASCII letters in lower case, runs of letters, digits and
 non-ASCII characters. Hashes of five-word grams are taken, and of every six
 consecutive ones the smallest is kept. Two texts that share ten words in a row
-share the six grams in them, so they share a kept hash. Kept hashes of
-documents and benchmark items are joined; every hit is extended to the ten-word
-windows of the item around it and verified word by word. An item of one to nine
-words is one window; its whole hash is looked up among all grams of its length,
-only for the lengths that occur.
+share the six grams in them, so they share a kept hash. The kept hashes of
+documents are written once, with the number of words, and joined with those of
+benchmark items; only documents with a hit are read again. There every gram
+with a kept hash of the benchmark is extended to the ten-word windows of the
+item around it and verified word by word. An item of one to nine words is one
+window; its whole hash is looked up among all grams of its length, only for the
+lengths that occur. Hashes are of words in Unicode lower case, which never parts
+equal words and is faster; the check uses the words as they are defined.
 
 Fingerprints of the benchmark are broadcast only if their counted rows are
 within a bound; beyond it, document and benchmark fingerprints are shuffled by
-hash and matched documents are joined back.
-
-Defined results: a null text has no words and is never contaminated; an item
-without words occurs nowhere; an item whose id is null marks words but isn't
-listed; items of one id count once; document rows that repeat get equal
-results; empty tables give no hits; other columns are ignored.
+hash. A fingerprint carries the few words that a window around it can reach, and
+equal passages of several items are one row, so its size doesn't depend on the
+length of an item.
+
+Defined results: a null text has no words and is never contaminated; a text of
+any length is searched whole; an item without words occurs nowhere; an item
+whose id is null marks words but isn't listed; items of one id count once (ties
+of ids don't matter, as ids are listed in order); a null ``doc_id`` stays null;
+document rows that repeat get equal results; empty tables give no hits; other
+columns are ignored, or stay in ``decontaminated``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_or_shuffled, written
+from .common import columns_of, free_name, key, small_or_shuffled, text_hash, written
 
 GRAM = 5
 WINDOW = 10
-#: Fingerprint rows of a benchmark that may be broadcast (each carries its item's words).
+#: Fingerprint rows of a benchmark that may be broadcast (each carries some fifteen words).
 BROADCAST_FINGERPRINTS = 200_000
-BROADCAST_WORDS = 20_000_000
+#: Short items whose hashes are looked up as each document is read; of more, all grams of their lengths are written.
+SHORT_ITEMS = 2_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words on each side of a hit that a window around it can reach, and the words that a hit carries.
+REACH = WINDOW - GRAM
+LOCAL = REACH + WINDOW
+PLACES = "array<struct<p:int,fp:bigint,k:int>>"
+
+
+def _cut(text: Column) -> Column:
+    """Cut at what can't be in a word, which is several times faster than gathering matches."""
+    return F.filter(F.split(text, GAP), lambda w: w != "")  # the first and last may be empty
 
 
 def words(text: str) -> Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER), F.lit(WORD), F.lit(0))
+    return _cut(F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), UPPER, LOWER))
 
 
-def grams(array: str, k: int) -> str:
-    """SQL: hashes of all k-word grams of an array of words, in order."""
-    return f"CASE WHEN size({array}) >= {k} THEN transform(sequence(1, size({array}) - {k - 1}), i -> xxhash64({k}, slice({array}, i, {k}))) ELSE array() END"
+def word_hashes(text: str) -> Column:
+    """One hash for each of ``words(text)``."""
+    return F.transform(_cut(F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))), lambda w: F.xxhash64(w))
 
 
-def kept(hashes: str, n: int) -> str:
-    """SQL: the smallest of every ``n`` consecutive hashes, each once."""
-    return f"CASE WHEN size({hashes}) >= {n} THEN array_distinct(transform(sequence(1, size({hashes}) - {n - 1}), i -> array_min(slice({hashes}, i, {n})))) ELSE array() END"
+def bound(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with ``x`` evaluated once."""
+    return F.element_at(F.transform(F.array(x), use), 1)
 
 
-def benchmark_fingerprints(benchmark: DataFrame) -> DataFrame:
-    """``(fp, item_id, item, k, span)``: an item's kept hashes, its words, gram length and window length."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words("text").alias("item")).where("size(item) > 0").distinct()
-    long = items.where(f"size(item) >= {WINDOW}").withColumn("h", F.expr(grams("item", GRAM)))
-    long = long.select(F.explode(F.expr(kept("h", WINDOW - GRAM + 1))).alias("fp"), "item_id", "item", F.lit(GRAM).alias("k"), F.lit(WINDOW).alias("span"))
-    short = items.where(f"size(item) < {WINDOW}").select(F.expr("xxhash64(size(item), item)").alias("fp"), "item_id", "item", F.expr("size(item)").alias("k"), F.expr("size(item)").alias("span"))
-    return long.unionByName(short)
+def _overlaid(x: Column, y: Column, shift: int, n: Column, f: Callable) -> Column:
+    """``f(x[i], y[i + shift])`` for the first ``n`` places."""
+    n = F.greatest(n, F.lit(0))
+    return F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(shift + 1), n), f)
 
 
-def document_fingerprints(short_lengths: list[int]) -> Column:
-    """The kept hashes of column ``words``, and all grams of the lengths of short items."""
-    found = F.expr(kept("h", WINDOW - GRAM + 1))
-    for k in short_lengths:
-        found = F.array_union(found, F.expr(grams("words", k)))
-    return found
+def grams(h: Column, k: int) -> Column:
+    """Hashes of all ``k`` consecutive values of ``h``, in order, by halves."""
+    if k == 1:
+        return h
+    half = 1 << ((k - 1).bit_length() - 1)
+    n = F.size(h) - (k - 1)
+    if 2 * half == k:
+        return bound(grams(h, half), lambda x: _overlaid(x, x, half, n, lambda a, b: F.xxhash64(a, b)))
+    return _overlaid(grams(h, half), grams(h, k - half), half, n, lambda a, b: F.xxhash64(a, b))
 
 
-#: Words on each side of a hit that a window around it can reach, and the most that a hit carries.
-REACH = WINDOW - GRAM
-LOCAL = REACH + 2 * WINDOW - GRAM
+def sliding(x: Column, w: int, f: Callable) -> Column:
+    """``f`` (least or greatest) of every ``w`` consecutive values of ``x``."""
+    if w == 1:
+        return x
+    half = (w + 1) // 2
+    return bound(x, lambda v: bound(sliding(v, half, f), lambda y: _overlaid(y, y, w - half, F.size(v) - (w - 1), f)))
 
 
-def _places(k: int) -> str:
-    """SQL: ``(p, fp, k, lo, local)`` of the k-grams of ``words`` whose hash is in ``fps``, with the words around them."""
-    return (
-        f"transform(filter(transform(g{k}, (x, i) -> struct(x AS fp, i + 1 AS p)), z -> array_contains(fps, z.fp)), "
-        f"z -> struct(z.p AS p, z.fp AS fp, {k} AS gram, greatest(1, z.p - {REACH}) AS lo, slice(words, greatest(1, z.p - {REACH}), {LOCAL}) AS local))"
-    )
+def kept(h: Column) -> Column:
+    """The smallest of the gram hashes of every window of words, each once; ``h`` are the hashes of the words."""
+    n = WINDOW - GRAM + 1
+    least = bound(grams(h, GRAM), lambda g: sliding(g, n, lambda a, b: F.least(a, b)))
+    return F.when(F.size(h) >= WINDOW, F.array_distinct(least)).otherwise(F.array().cast("array<bigint>"))
+
+
+def all_grams(h: Column, k: int, only: list[int] | None) -> Column:
+    """Hashes of all k-word grams, or of those that ``only`` has."""
+    found = grams(h, k) if only is None else F.filter(grams(h, k), lambda x: x.isin(only))
+    return F.when(F.size(h) >= k, found).otherwise(F.array().cast("array<bigint>"))
+
+
+def places(h: Column, k: int) -> Column:
+    """``(p, fp, k)`` of all k-word grams of a short text, from place 1 on."""
+    found = F.transform(grams(h, k), lambda x, i: F.struct((i + 1).cast("int").alias("p"), x.alias("fp"), F.lit(k).alias("k")))
+    return F.when(F.size(h) >= k, found).otherwise(F.array().cast(PLACES))
+
+
+def placed(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """``rows(h, ..)`` once for each gram of the lengths: ``(.., p, fp, k)``.
+
+    The grams are plain hashes in one list, the lengths one after another, so a
+    gram of a long text takes few bytes; place and length follow from the index.
+    """
+    n = F.size("h")
+    listed = F.concat(*[all_grams(F.col("h"), k, None) for k in lengths])
+    rest = [c for c in rows.columns if c != "h"]
+    spread = rows.select(*rest, n.alias("_n"), listed.alias("_g")).select(*rest, "_n", F.posexplode_outer("_g").alias("_i", "fp"))
+    chain = lambda i: F.greatest(F.lit(0), F.col("_n") - (lengths[i] - 1))
+    k, p, before = F.lit(lengths[0]), F.col("_i") + 1, F.lit(0)
+    for i in range(1, len(lengths)):
+        before = before + chain(i - 1)
+        k, p = F.when(F.col("_i") >= before, lengths[i]).otherwise(k), F.when(F.col("_i") >= before, F.col("_i") - before + 1).otherwise(p)
+    return spread.select(*rest, p.cast("int").alias("p"), "fp", k.cast("int").alias("k"))
+
+
+def _local(array: Column, p: Column) -> Column:
+    """``(before, near)``: the words around place ``p`` and how many of them come before it."""
+    low = F.greatest(F.lit(1), p - REACH)
+    return F.struct((p - low).alias("before"), F.slice(array, low, F.lit(LOCAL)).alias("near"))
+
+
+def benchmark_fingerprints(benchmark: DataFrame) -> DataFrame:
+    """``(fp, k, span, own, item_ids)``: grams with a kept hash, gram length, window length, the words around and the items that have them."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words("text").alias("item"), word_hashes("text").alias("h")).where("size(item) > 0").distinct()
+    # A kept hash marks every place of its gram: which of equal grams a window means is open.
+    long = items.where(F.size("item") >= WINDOW).select("item_id", "item", bound(kept(F.col("h")), lambda m: F.filter(places(F.col("h"), GRAM), lambda z: F.array_contains(m, z["fp"]))).alias("z"))
+    long = long.select("item_id", "item", F.explode_outer("z").alias("z")).select(F.col("z.fp").alias("fp"), F.col("z.k").alias("k"), F.lit(WINDOW).alias("span"), _local(F.col("item"), F.col("z.p")).alias("own"), "item_id")
+    whole = F.coalesce(*[F.when(F.size("item") == k, F.element_at(grams(F.col("h"), k), 1)) for k in range(1, WINDOW)])
+    short = items.where(F.size("item") < WINDOW).select(whole.alias("fp"), F.size("item").alias("k"), F.size("item").alias("span"), _local(F.col("item"), F.lit(1)).alias("own"), "item_id")
+    return long.unionByName(short).groupBy("fp", "k", "span", "own").agg(F.collect_set("item_id").alias("item_ids"))
+
+
+def fingerprinted(docs: DataFrame, short: dict[int, list[int] | None]) -> DataFrame:
+    """``(doc_id, key, text_hash, n_words, fps)`` of every document: kept hashes and grams of the lengths of short items."""
+    hashed = bound(word_hashes("text"), lambda h: F.struct(F.size(h).cast("long").alias("n"), F.concat(kept(h), *[all_grams(h, k, only) for k, only in sorted(short.items())]).alias("fps")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key().alias("key"), text_hash().alias("text_hash"), hashed.alias("w"))
+    return rows.select("doc_id", "key", "text_hash", F.col("w.n").alias("n_words"), F.col("w.fps").alias("fps"))
 
 
 def _verified() -> Column:
     """Zero-based starts in the document of the item's windows that a hit extends to."""
-    there = "filter(sequence(1, size(item) - k + 1), q -> xxhash64(k, slice(item, q, k)) = fp)"
     return F.expr(
-        f"flatten(transform({there}, q -> transform(filter(sequence(greatest(1, q - span + k), least(q, size(item) - span + 1)), "
-        "w -> p - q + w >= lo AND p - q + w + span <= lo + size(local) AND slice(local, p - q + w - lo + 1, span) = slice(item, w, span)), w -> p - q + w - 1)))"
+        "transform(filter(sequence(0, span - k), s -> s <= there.before AND s <= own.before AND there.before - s + span <= size(there.near) "
+        "AND own.before - s + span <= size(own.near) AND slice(there.near, there.before - s + 1, span) = slice(own.near, own.before - s + 1, span)), s -> struct(p - s - 1 AS start, span AS span))"
     )
 
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``(key, text_hash, starts, item_ids)`` of the documents with verified windows; starts are ``(start, span)`` pairs.
+def searched(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(rows, found)``: ``(doc_id, key, text_hash, n_words)`` of all documents, and ``(key, text_hash, starts, item_ids)`` of those with verified windows.
 
-    Kept hashes are joined without the words, so a hit is a small row however
-    long its document is. Only documents with a hit are read again; each hit
-    then takes the few words around it along.
+    Kept hashes are joined without words, so a hit is a small row however long
+    its document is. Only documents with a hit are read again; each hit then
+    takes the few words around it along.
     """
-    prints = benchmark_fingerprints(benchmark)
-    bound = prints.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.expr("size(item)")), F.lit(0)).alias("w"), F.collect_set(F.when(F.col("span") < WINDOW, F.col("span"))).alias("short")).first()
-    small = bound["n"] <= BROADCAST_FINGERPRINTS and bound["w"] <= BROADCAST_WORDS
-    short = sorted(bound["short"])
+    prints = written(benchmark_fingerprints(benchmark), "benchmark")
+    n = prints.count()
+    small = n <= BROADCAST_FINGERPRINTS
     side = lambda df: F.broadcast(df) if small else df
-    texts = docs.select(_key().alias("key"), _text_hash().alias("text_hash"), words("text").alias("words"))
-    marked = texts.withColumn("h", F.expr(grams("words", GRAM))).select("key", "text_hash", document_fingerprints(short).alias("fps"))
-    # explode_outer: an inner explode would have its filter pushed below, where words are cut anew for every gram.
-    kept_hashes = marked.select("key", "text_hash", F.explode_outer("fps").alias("fp"))
-    met = written(kept_hashes.join(side(prints.select("fp").distinct()), "fp").groupBy("key", "text_hash").agg(F.collect_set("fp").alias("fps")), "met")
-    again = texts.join(small_or_shuffled(met), ["key", "text_hash"])
-    lengths = sorted({GRAM, *short})
-    spelled = again.withColumns({f"g{k}": F.expr(grams("words", k)) for k in lengths})
-    places = F.expr(f"concat({', '.join(_places(k) for k in lengths)})")
-    located = spelled.select("key", "text_hash", places.alias("places")).select("key", "text_hash", F.explode_outer("places").alias("z")).select("key", "text_hash", "z.*")
-    found = located.join(side(prints), "fp").where("gram = k")
-    checked = found.select("key", "text_hash", "item_id", "span", _verified().alias("at")).where("size(at) > 0")
-    return checked.groupBy("key", "text_hash").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.expr("transform(at, s -> struct(s AS start, span AS span))"))))).alias("starts"),
-        F.array_sort(F.collect_set("item_id")).alias("item_ids"),
+    lengths = prints.where(F.col("span") < WINDOW).groupBy("k").agg(F.count_distinct("fp").alias("n")).collect()  # at most nine
+    few = sum(r["n"] for r in lengths) <= SHORT_ITEMS
+    hashes = prints.where(F.col("span") < WINDOW).select("k", "fp").distinct().collect() if few and lengths else []
+    rows = written(fingerprinted(docs, {r["k"]: [x["fp"] for x in hashes if x["k"] == r["k"]] if few else None for r in lengths}), "fingerprints")
+    flat = rows.select("key", "text_hash", F.explode("fps").alias("fp"))
+    met = written(flat.join(side(prints.select("fp").distinct()), "fp").select("key", "text_hash").distinct(), "met")
+    texts = docs.select(key().alias("key"), text_hash().alias("text_hash"), "text")
+    again = texts.join(small_or_shuffled(met), ["key", "text_hash"]).select("key", "text_hash", word_hashes("text").alias("h"))
+    # Grams are joined one by one without the words; then each hit takes the few words around it along.
+    hit = placed(again, sorted({GRAM, *(r["k"] for r in lengths)})).join(side(prints.select("fp", "k").distinct()), ["fp", "k"])
+    hits = written(hit.groupBy("key", "text_hash").agg(F.collect_set(F.struct("p", "fp", "k")).alias("hits")), "hits")
+    around = bound(words("text"), lambda w: F.transform("hits", lambda z: F.struct(z["p"].alias("p"), z["fp"].alias("fp"), z["k"].alias("k"), _local(w, z["p"]).alias("there"))))
+    spelled = texts.join(small_or_shuffled(hits, weight=F.size("hits")), ["key", "text_hash"]).select("key", "text_hash", around.alias("z"))
+    # explode_outer: an inner explode would have its filter pushed below, where words are cut anew for every hit.
+    located = spelled.select("key", "text_hash", F.explode_outer("z").alias("z")).select("key", "text_hash", "z.*").join(side(prints), ["fp", "k"])
+    checked = located.select("key", "text_hash", "item_ids", _verified().alias("at")).where("size(at) > 0")
+    found = checked.groupBy("key", "text_hash").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("at")))).alias("starts"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids")
     )
-
-
-def _key() -> Column:
-    return F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-
-
-def _text_hash() -> Column:
-    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return rows.select("doc_id", "key", "text_hash", "n_words"), found
 
 
 COVERED = (
@@ -134,14 +203,15 @@ COVERED = (
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents in which a benchmark window occurs; all columns stay."""
-    found = hits(docs, benchmark).select(F.col("key").alias("_key"), F.col("text_hash").alias("_text_hash"))
-    marked = docs.withColumns({"_key": _key(), "_text_hash": _text_hash()})
-    return marked.join(found, ["_key", "_text_hash"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    _, found = searched(docs, benchmark)
+    k, h = free_name(docs, "_key"), free_name(docs, "_text_hash")
+    found = small_or_shuffled(written(found.select(F.col("key").alias(k), F.col("text_hash").alias(h)), "contaminated"))
+    return docs.withColumns({k: key(), h: text_hash()}).join(found, [k, h], "left_anti").select(*columns_of(docs))
 
 
 def result(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("key"), _text_hash().alias("text_hash"), F.size(words("text")).cast("long").alias("n_words"))
-    found = hits(docs, benchmark).select("key", "text_hash", F.expr(COVERED).alias("n_hit"), "item_ids")
+    rows, found = searched(docs, benchmark)
+    found = small_or_shuffled(written(found.select("key", "text_hash", F.expr(COVERED).alias("n_hit"), "item_ids"), "found"), weight=F.size("item_ids"))
     return rows.join(found, ["key", "text_hash"], "left").select(
         "doc_id",
         "n_words",
