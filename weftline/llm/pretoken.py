@@ -23,6 +23,7 @@ WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
 _classes: np.ndarray | None = None
+_unassigned: np.ndarray | None = None
 
 
 def classes() -> np.ndarray:
@@ -36,6 +37,14 @@ def classes() -> np.ndarray:
     return _classes
 
 
+def unassigned() -> np.ndarray:
+    """Which code points Python's Unicode database doesn't know (built once a process)."""
+    global _unassigned
+    if _unassigned is None:
+        _unassigned = np.fromiter((unicodedata.category(chr(i)) == "Cn" for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+    return _unassigned
+
+
 def decoded_slices(column: pa.Array, limit: int = 1 << 20):
     """``(first row, text, code point offsets of the rows)`` by slices of whole rows."""
     offsets, data = column_bytes(column)

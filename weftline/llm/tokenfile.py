@@ -12,11 +12,14 @@ task that is run again replaces its own files. Reading maps the files into
 memory.
 
 Texts are encoded by the tokenizers library, each distinct word of a slice
-once: words are cut as the vocabulary's normaliser and pattern say.
+once: words are cut as the vocabulary's normaliser and pattern say. A text with
+a character that Python's Unicode tables don't know (the library's are newer) is
+encoded by the library as a whole.
 
 Defined results: a null text is the empty text and has the end id only; rows
-that repeat a ``doc_id`` follow each other in the order of their texts; a null
-``doc_id`` comes first; an empty table gives an empty result; other columns are
+that repeat a ``doc_id`` follow each other in the order of their texts (ties:
+equal rows, in any order); a null ``doc_id`` comes first; a text of any length
+is encoded whole; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_text, local_path, new_path, partitions, write
-from .pretoken import WordCache, code_points, decoded_slices, word_spans
+from .pretoken import WordCache, code_points, decoded_slices, unassigned, word_spans
 
 END_ID = 2
 #: How the vocabulary marks the last piece of a word; words that the library encodes at once.
@@ -75,6 +78,15 @@ class WordTokenizer:
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts without special strings."""
+        if unassigned()[code_points("".join(texts))].any():
+            strange = [i for i, t in enumerate(texts) if unassigned()[code_points(t)].any()]
+            whole = self.library.encode_batch_fast([texts[i] for i in strange], add_special_tokens=False)
+            own = {i: np.array(x.ids, np.uint32) for i, x in zip(strange, whole)}
+            rest = iter(self._known([t for i, t in enumerate(texts) if i not in own]))
+            return [own[i] if i in own else next(rest) for i in range(len(texts))]
+        return self._known(texts)
+
+    def _known(self, texts: list[str]) -> list[np.ndarray]:
         normal = [t if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ") for t in texts]
         lowered = [t.lower() for t in normal]
         rows = np.cumsum([0, *map(len, lowered)])
