@@ -6,13 +6,17 @@ other signs, with ASCII letters in lower case. The log-count ratio of a slot
 compares how many good and bad labelled documents have it, counted over all
 labelled training rows. Indicators are multiplied by these ratios, scaled to
 unit length, and a linear model with squared hinge loss is fitted by dual
-coordinate descent on a bounded sample of labelled rows.
+coordinate descent on a bounded sample of labelled rows: of each class
+``SAMPLE_ROWS / 2`` different texts at most, those of ``SAMPLE_CHARS`` characters
+or less first (in the order of a hash), then the shortest of the others, as far
+as ``SAMPLE_CHARS`` for each row allow in total, but at least one.
 
 Defined results: a null or empty text has no features and gets the score of
-the intercept alone; a null label is no label; of several labels for one
-document the largest counts; a document row that repeats is scored each time;
-with no labelled rows of both classes every score is 1 or 0 by the class seen
-(0.5 with none). Other columns are ignored.
+the intercept alone; a text of any length is scored whole; a null label is no
+label; of several labels for one document the largest counts; a document row
+that repeats is scored each time; a score of exactly 0.5 counts as good; with no
+labelled rows of both classes every score is near 1 or 0 by the class seen (0.5
+with none). Other columns are ignored, or stay in ``score``.
 """
 
 from __future__ import annotations
@@ -22,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_text, fold, small_or_shuffled
+from .common import columns_of, doc_text, fold, small_or_shuffled
 from .textops import column_bytes, lower, mix, prefix_hash, runs, slices, span_hash
 
 BITS = 18
-#: The sample for the linear fit: so many labelled documents at most, none longer than so many characters.
+#: The sample for the linear fit: so many labelled documents at most, of so many characters each on average at most.
 SAMPLE_ROWS = 6000
 SAMPLE_CHARS = 12_000
 _SLOTS = 1 << BITS
@@ -133,6 +137,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(3 * out, -30, 30)))
 
 
+def _sample(labelled: DataFrame, sample: int) -> list[tuple[int, int]]:
+    """``(doc_id, hash of the text)`` of the rows to fit on; no more than ``sample`` come to the driver."""
+    sized = labelled.select("doc_id", F.xxhash64("text").alias("h"), (F.col("label") > 0).alias("good"), F.length("text").alias("n"))
+    long = F.col("n") > SAMPLE_CHARS
+    out = []
+    for good in (False, True):
+        own = sized.where(F.col("good") == good).groupBy("doc_id", "h").agg(F.first("n").alias("n"))
+        left = sample // 2 * SAMPLE_CHARS
+        for n, r in enumerate(own.orderBy(long, F.when(long, F.col("n")), F.xxhash64("doc_id"), "doc_id", "h").limit(sample // 2).collect()):
+            left -= min(r["n"], _SLOTS)  # a row never has more features than slots
+            if n and left < 0:
+                break
+            out.append((r["doc_id"], r["h"]))
+    return out
+
+
 def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int = 3, sample: int = SAMPLE_ROWS) -> Model:
     """Counts over all labelled rows outside the held-out fold; linear fit on a bounded sample of them."""
     spark = docs.sparkSession
@@ -151,19 +171,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .toArrow()  # at most one row a slot
     )
-    per_class = sample // 2
-    chosen = None
-    for value in (0, 1):
-        some = known.where((F.col("label") > 0) == F.lit(value > 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        chosen = some if chosen is None else chosen.unionByName(some)
-    rows = (
-        text.where(F.length("text") <= SAMPLE_CHARS)
-        .join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
-        .select("text", "label")
-        .mapInArrow(_rows, "label int, slots array<int>")
-        .limit(2 * sample)
-        .toArrow()
-    )
+    chosen = spark.createDataFrame(_sample(text.join(small_or_shuffled(known), "doc_id"), sample), "doc_id long, h long")
+    picked = text.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"]).join(small_or_shuffled(known), "doc_id")
+    rows = picked.dropDuplicates(["doc_id", "h"]).select("text", "label").mapInArrow(_rows, "label int, slots array<int>").toArrow()  # at most ``sample`` rows
     ratio = np.zeros(_SLOTS)
     good, bad = np.zeros(_SLOTS), np.zeros(_SLOTS)
     slot = counts.column("slot").to_numpy()
@@ -181,22 +191,26 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int
     return Model(ratio, w, b)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with a ``score`` column (0 to 1, higher: better); all columns stay."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` of scores (0 to 1, higher: better) at the end; all its columns stay, so it must not have that one."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    if name.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"the table has a column {name} already")
     held = docs.sparkSession.sparkContext.broadcast(model)  # two float32 a slot: 2 MB
-    names = [c for c in docs.columns if c != "score"]
-    kept = docs.select(*names)
-    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
-    at = names.index("text")
+    text = docs.columns.index("text")
+    rows = docs.select(*columns_of(docs), F.col("text").cast("string").alias(name))  # scored whatever the type of text
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
+    names = [f.name for f in schema.fields]
+    same = docs.schema.fields[text].dataType.simpleString() == "string"
+    rows = docs if same else rows
 
     def run(batches):
         for batch in batches:
-            found = held.value.scores(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*names, "score"])
+            found = held.value.scores(batch.column(text if same else batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], pa.array(found)], names=names)
 
-    return kept.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
