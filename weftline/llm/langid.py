@@ -5,19 +5,23 @@ the left, another from the right; at every position both states give class
 probabilities, so every byte gets a label distribution. A document's
 probabilities are the means over all its positions. The network is trained in
 numpy by backpropagation through time on windows of a bounded sample of
-labelled documents; its size doesn't depend on the corpus.
+labelled documents (``SAMPLE_DOCS`` of each language, in the order of a hash);
+its size doesn't depend on the corpus. Every language that is learned can be
+predicted; a table with more than ``MAX_LANGUAGES`` is refused with an error.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
-rows without a language aren't learned from; rows that repeat are labelled each
-time; with no labelled rows everything is ``und``; an empty table gives an empty
-result; other columns are ignored.
+a text of any length is read whole; of equal probabilities the language that is
+first by name is taken; rows without a language aren't learned from; rows that
+repeat are labelled each time; a null ``doc_id`` is hashed as the empty text for
+the fold; with no labelled rows everything is ``und``; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import doc_text, fold
@@ -28,6 +32,8 @@ WINDOW = 64
 #: The training sample: so many documents of each language, and so many windows of each, at most.
 SAMPLE_DOCS = 400
 SAMPLE_WINDOWS = 8
+#: Different values of ``lang``; the driver holds the training windows of each.
+MAX_LANGUAGES = 1000
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[list(range(65, 91)) + list(range(97, 123))] = True
@@ -210,17 +216,21 @@ def _windows(batches):
 
 def train(docs: DataFrame, held_out_fold: int = 0, folds: int = 5) -> Network:
     """Fits the network on windows of at most ``SAMPLE_DOCS`` documents of each language outside the held-out fold."""
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(folds) != held_out_fold))
-    languages = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(200).collect()]
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(folds) != held_out_fold)).withColumn("h", F.xxhash64("text"))
+    # Ranks are cut in each task before rows are shuffled, so a frequent language sends few rows.
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
+    chosen = known.select("lang", "doc_id", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS).select("lang", "doc_id", "h")
+    picked = chosen.limit(SAMPLE_DOCS * (MAX_LANGUAGES + 1)).collect()
+    languages = sorted({r["lang"] for r in picked})
     if not languages:
         return Network([])
-    ids = None
-    for lang in languages:
-        some = known.select("doc_id", "lang").where(F.col("lang") == lang).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).select("doc_id").distinct()
-        ids = some if ids is None else ids.unionByName(some)
-    rows = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi")  # SAMPLE_DOCS a language
-    found = rows.select("text", "lang").mapInArrow(_windows, "window binary, lang string").limit(2 * SAMPLE_DOCS * SAMPLE_WINDOWS * len(languages)).toArrow()
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    keys = docs.sparkSession.createDataFrame(sorted({(r["doc_id"], r["h"], r["lang"]) for r in picked}, key=str), "doc_id long, h long, lang string")
+    same = known["doc_id"].eqNullSafe(keys["doc_id"]) & (known["h"] == keys["h"]) & (known["lang"] == keys["lang"])
+    rows = known.join(F.broadcast(keys), same, "left_semi").dropDuplicates(["doc_id", "h", "lang"])  # SAMPLE_DOCS a language
+    found = rows.select("text", "lang").mapInArrow(_windows, "window binary, lang string").toArrow()
     index = {x: i for i, x in enumerate(sorted(languages))}
     network = Network(sorted(languages))
     if found.num_rows:
