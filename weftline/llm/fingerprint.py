@@ -9,8 +9,9 @@ likeness is always in 0..1.
 
 Defined results: a null text is the empty text; an empty text, or one with
 less than three bytes, has a digest of empty buckets; equal texts have equal
-digests; rows that repeat a ``doc_id`` are ordered by text; a null ``doc_id``
-comes first. An empty table gives an empty result; other columns are ignored.
+digests; a text of any length is digested whole; counts equal to a quartile
+belong to the lower code; rows that repeat a ``doc_id`` are ordered by text
+(equal rows in any order); a null ``doc_id`` comes first. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -159,4 +160,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         )
         .select("p.bucket", "p.tail", "doc_id", "text")
     )
-    return placed.repartition(n, "bucket").sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), "text").mapInArrow(_in_order, SCHEMA)
+    return placed.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_first(), "text").mapInArrow(_in_order, SCHEMA)
