@@ -10,8 +10,9 @@ it together, one byte a step. Words that it doesn't accept are merged exactly,
 all of a batch at once.
 
 Defined results: a null text is the empty text, which has no ids and decodes to
-the empty text; a special token's string in a text becomes its id; repeated
-rows are encoded each time; an empty table gives an empty result; other columns
+the empty text; a text of any length is encoded whole; a special token's string
+in a text becomes its id; of equally frequent words the lexicon takes the first
+by their bytes; repeated rows are encoded each time; an empty table gives an empty result; other columns
 are ignored or passed through as stated.
 """
 
@@ -34,6 +35,8 @@ from .pretoken import WordCache, byte_level_spans, code_points, decoded_slices,
 
 #: Words in the lexicon at most; a fixed size whatever the corpus.
 LEXICON_WORDS = 50_000
+#: Words that a task holds at once: counts before it sends them, results before it forgets them.
+HELD_WORDS = 120_000
 #: Longest word (bytes) that the lexicon takes.
 LEXICON_BYTES = 64
 
@@ -257,7 +260,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                     total[key] += m
                     if key not in names:
                         names[key] = text[s[at] : e[at]]
-                if len(total) > 300_000:
+                if len(total) > HELD_WORDS:
                     yield from flush()
         yield from flush()
 
@@ -278,7 +281,7 @@ class Encoder:
     def __init__(self, path: str, automaton: bytes):
         self.merges, self.lexicon = Merges(path), Lexicon(automaton)
         self.text_of = {i: (str(i), b) for i, b in self.merges.bytes_of.items()}
-        self.cache = WordCache(self._words)
+        self.cache = WordCache(self._words, HELD_WORDS)
         strings = self.merges.special
         self.special = re.compile("|".join(map(re.escape, sorted(strings, key=len, reverse=True)))) if strings else None
 
