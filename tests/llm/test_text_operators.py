@@ -272,6 +272,42 @@ def test_pii_terms_count_contexts_not_copies(spark):
     assert not any("term" in rows[66 + i] for i in range(20))
 
 
+def test_pii_bits_decide_where_the_entity_is_everywhere(spark):
+    near = [f"note {i * 37} from quasimodo please reply to bell@tower.org before {i * 91} ends" for i in range(6)]
+    # With little other text the address is no news near the name, though the name hardly stands elsewhere.
+    filler = ["nothing else happened in town that day number %d" % i for i in range(12)]
+    rows = [r.spans for r in pii.result(frame(spark, near + filler)).collect()]
+    assert not any("term" in x for x in rows)
+    rows = {r.doc_id: r.spans for r in pii.result(frame(spark, near + filler + [f"{x} again{i}" for i, x in enumerate(filler * 9)])).collect()}
+    assert all("term" in rows[i] for i in range(6))
+
+
+def test_pii_terms_give_way_to_base_spans(spark):
+    near = [f"note {i * 37} from quasimodo please reply to bell@tower.org before {i * 91} ends" for i in range(6)]
+    filler = ["the weather was fine and nothing else happened in town that day number %d" % i for i in range(60)]
+    odd = ["ask quasimodo@x.org or quasimodo.quasimodo@y.org, Quasimodo", "quasimodo 1.2.3.4quasimodo"]
+    docs = frame(spark, near + filler + odd, [*range(66), None, 67])
+    rows = {r.doc_id: r.spans for r in pii.result(docs).collect()}
+    assert rows[None] == "email:4:19,email:23:48,term:50:59" and rows[67] == "term:0:9,ip:10:17"
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert clean[None] == "ask [EMAIL] or [EMAIL], [TERM]" and clean[67] == "[TERM] [IP]quasimodo"
+
+
+def test_pii_time_stays_near_the_length(spark):
+    import time
+
+    near = [f"note {i * 37} from quasimodo please reply to bell@tower.org before {i * 91} ends" for i in range(6)]
+    filler = ["the weather was fine and nothing else happened in town that day number %d" % i for i in range(60)]
+    spent = []
+    for n in (2_000, 20_000, 40_000):  # the first run compiles
+        docs = frame(spark, near + filler + ["one two three four five six seven eight quasimodo " * (n // 9)])
+        began = time.time()
+        found = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+        spent.append(time.time() - began)
+        assert found[66] == "one two three four five six seven eight [TERM] " * (n // 9)
+    assert spent[2] < 3 * spent[1]
+
+
 def test_word_tokenizer_equals_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
@@ -280,6 +316,19 @@ def test_word_tokenizer_equals_the_library():
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
 
 
+def test_word_tokenizer_equals_the_library_on_every_code_point():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), tokenfile.WordTokenizer(path)
+    strange = pretoken.unassigned()
+    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = []
+    for group in ([i for i in points if not strange[i]], [i for i in points if strange[i]]):  # apart, as unknown ones go whole
+        for a in range(0, len(group), 40):
+            texts.append(" ".join("ab{0}cd 1{0}? .{0}?".format(chr(i)) for i in group[a : a + 40]))
+    want = library.encode_batch_fast(texts, add_special_tokens=False)
+    assert not [t[:20] for t, x, ids in zip(texts, want, own.column(pa.array(texts))) if ids.tolist() != x.ids]
+
+
 def test_token_files_round_trip(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library, start = Tokenizer.from_file(path), 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among a node and its neighbours and
     then the label of that label, so long chains close in few rounds. Rounds
-    are written tables in the shared folder; only a count comes to the driver.
+    are written tables in the shared folder, and a round's tables are deleted when
+    the next one is written; only a count comes to the driver.
     Minima combine before the shuffle, and the jump is an inner join of two
     plain tables, which adaptive execution splits where one label is frequent.
     """
@@ -28,8 +29,10 @@ def components(edges: DataFrame) -> DataFrame:
             .agg(F.min("label").alias("label"), F.max(F.when(F.col("own"), F.col("label"))).alias("was"))
         )
         step = written(step, "labels")
+        discard(labels)
         jump = step.join(step.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.col("next").alias("label"), "was")
         labels = written(jump, "labels")
+        discard(step)
         if not labels.where("label <> was").limit(1).count():
+            discard(both)
             return labels.select("node", "label")
-        labels = labels.select("node", "label")

@@ -15,7 +15,8 @@ paired: its nodes are linked through the values at half the radius around them
 number of rows in proportion to the nodes. Either way no link is lost.
 
 Defined results: null and empty texts and texts of white space have fingerprint
-zero and link like others; fewer words than a shingle make one shingle; rows
+zero and link like others; fewer words than a shingle make one shingle; a text
+of any length is hashed whole; a bit set in exactly half of the hashes is 0; rows
 that repeat are linked; a null ``doc_id`` counts for no component id. An empty
 table gives an empty result; other columns are ignored.
 """
