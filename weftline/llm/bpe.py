@@ -32,11 +32,14 @@ from pyspark.sql import functions as F
 
 from .common import doc_text
 from .pretoken import WordCache, byte_level_spans, code_points, decoded_slices, hashes
+from .textops import giving_back
 
 #: Words in the lexicon at most; a fixed size whatever the corpus.
 LEXICON_WORDS = 50_000
 #: Words that a task holds at once: counts before it sends them, results before it forgets them.
 HELD_WORDS = 120_000
+#: Bytes of text that a task cuts into words at once (a longer row is one piece).
+PIECE_BYTES = 1 << 19
 #: Longest word (bytes) that the lexicon takes.
 LEXICON_BYTES = 64
 
@@ -251,7 +254,7 @@ def count_words(docs: DataFrame) -> DataFrame:
             names.clear()
 
         for batch in batches:
-            for _, text, rows in decoded_slices(batch.column(0)):
+            for _, text, rows in decoded_slices(batch.column(0), PIECE_BYTES):
                 cp = code_points(text)
                 s, e = byte_level_spans(text, cp, rows)
                 h, first, n = np.unique(hashes(cp, s, e), return_index=True, return_counts=True)
@@ -264,7 +267,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    return doc_text(docs).select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return doc_text(docs).select("text").mapInArrow(giving_back(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> bytes:
@@ -304,7 +307,7 @@ class Encoder:
 
     def column(self, column: pa.Array):
         """Yields ``(row, results of the row's words in order)``."""
-        for first, text, rows in decoded_slices(column):
+        for first, text, rows in decoded_slices(column, PIECE_BYTES):
             cuts = [(m.start(), m.end()) for m in self.special.finditer(text)] if self.special else []
             edges = np.unique(np.concatenate([rows, np.array(cuts, np.int64).reshape(-1)])) if cuts else rows
             cp = code_points(text)
@@ -368,7 +371,7 @@ def encode(docs: DataFrame, path: str, automaton: bytes | None = None, ids: bool
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, *added]))
+    return kept.mapInArrow(giving_back(run), StructType([*kept.schema.fields, *added]))
 
 
 def result(docs: DataFrame, path: str) -> DataFrame:

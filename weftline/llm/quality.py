@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of, doc_text, fold, small_or_shuffled
-from .textops import column_bytes, lower, mix, prefix_hash, runs, slices, span_hash
+from .textops import column_bytes, giving_back, lower, mix, prefix_hash, runs, slices, span_hash
 
 BITS = 18
 #: The sample for the linear fit: so many labelled documents at most, of so many characters each on average at most.
@@ -166,14 +166,14 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int
     counts = (
         text.join(small_or_shuffled(known), "doc_id")
         .select("text", "label")
-        .mapInArrow(_count, "slot long, bad long, good long")
+        .mapInArrow(giving_back(_count), "slot long, bad long, good long")
         .groupBy("slot")
         .agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
         .toArrow()  # at most one row a slot
     )
     chosen = spark.createDataFrame(_sample(text.join(small_or_shuffled(known), "doc_id"), sample), "doc_id long, h long")
     picked = text.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"]).join(small_or_shuffled(known), "doc_id")
-    rows = picked.dropDuplicates(["doc_id", "h"]).select("text", "label").mapInArrow(_rows, "label int, slots array<int>").toArrow()  # at most ``sample`` rows
+    rows = picked.dropDuplicates(["doc_id", "h"]).select("text", "label").mapInArrow(giving_back(_rows), "label int, slots array<int>").toArrow()  # at most ``sample`` rows
     ratio = np.zeros(_SLOTS)
     good, bad = np.zeros(_SLOTS), np.zeros(_SLOTS)
     slot = counts.column("slot").to_numpy()
@@ -210,7 +210,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
             found = held.value.scores(batch.column(text if same else batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names) - 1], pa.array(found)], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
