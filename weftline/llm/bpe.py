@@ -341,8 +341,8 @@ class Encoder:
         return out
 
 
-def encode(docs: DataFrame, path: str, automaton: bytes | None = None, ids: bool = True) -> DataFrame:
-    """``docs`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if wanted, ``token_ids``; other columns stay."""
+def encode(docs: DataFrame, path: str, automaton: bytes | None = None, ids: bool = True, text: bool = True) -> DataFrame:
+    """``docs`` with ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if wanted, ``token_ids``; other columns stay, ``text`` only if wanted."""
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
     spark = docs.sparkSession
@@ -351,8 +351,10 @@ def encode(docs: DataFrame, path: str, automaton: bytes | None = None, ids: bool
     if ids:
         added.append(StructField("token_ids", ArrayType(IntegerType())))
     kept = docs.select(*[c for c in docs.columns if c not in {f.name for f in added}])
-    names = [*kept.columns, *(f.name for f in added)]
     at = kept.columns.index("text")
+    stay = [i for i in range(len(kept.columns)) if text or i != at]
+    fields = [*(kept.schema.fields[i] for i in stay), *added]
+    names = [f.name for f in fields]
 
     def run(batches):
         encoder = Encoder(path, held.value)
@@ -369,11 +371,11 @@ def encode(docs: DataFrame, path: str, automaton: bytes | None = None, ids: bool
             columns = [pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
             if ids:
                 columns.append(pa.array(lists, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stay), *columns], names=names)
 
-    return kept.mapInArrow(giving_back(run), StructType([*kept.schema.fields, *added]))
+    return kept.mapInArrow(giving_back(run), StructType(fields))
 
 
 def result(docs: DataFrame, path: str) -> DataFrame:
     rows = doc_text(docs)
-    return encode(rows, path, lexicon(rows, path), ids=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return encode(rows, path, lexicon(rows, path), ids=False, text=False).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
