@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, decontaminate, fingerprint, langid, ngram, phrases, pii, quality, simhash, tokenfile
+from . import bpe, covertree, decontaminate, fingerprint, langid, ngram, phrases, pii, quality, simhash, tokenfile
 from .common import table
 
 QUERIES: dict = {}
@@ -69,3 +69,8 @@ def op6(spark, sf_dir):
 @query("op3_suffix_dedup")
 def op3(spark, sf_dir):
     return phrases.result(table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_codes", covertree.SQL)
+def op13(spark, sf_dir):
+    return covertree.result(table(spark, sf_dir, "embeddings"))
