@@ -6,7 +6,8 @@ import math
 import numpy as np
 import pytest
 
-from weftline.llm import covertree
+from weftline.llm import covertree, whitening
+from weftline.llm import vectors as vector_columns
 
 SCHEMA = "vec_id long, embedding array<float>, label int, nid long, leaf long, code string, n long"
 G = np.random.default_rng(11)
@@ -98,3 +99,77 @@ def test_whole_subtrees_are_assigned_without_their_points():
     order, nodes = covertree.cover_tree(points)
     start, end, _ = covertree.assigned(points, order, nodes, np.array([[0] * 4, [1000] * 4]))
     assert len(start) <= 4 and (end - start).sum() == 4000
+
+
+def spectrum(vectors):
+    """``(x, values, vectors)`` of the covariance of whole-number vectors, by numpy's solver on exactly centred rows."""
+    x = np.floor(64 * np.array([np.float32(v) for v in vectors], float)).astype(np.int64) + 1_000_000
+    y = (x * len(x) - x.sum(axis=0)) / len(x)
+    values, q = np.linalg.eigh(y.T @ y / len(x))
+    return x, y, values[::-1], q[:, ::-1]
+
+
+def test_whitening_against_numpy(spark):
+    vectors = [list(v) for v in G.normal(size=(700, 40)) * np.geomspace(3, 0.2, 40)] + [[9.0] * 40] * 20 + [[0.5] * 40]
+    bad = [None, [None] * 40, [float("nan")] * 40]
+    ids = [*range(len(vectors) - 1), None, 1, 2, 3]
+    got = whitening.result(frame(spark, vectors + bad, ids).repartition(5)).toPandas()
+    x, y, values, q = spectrum(vectors)
+    n = len(x)
+    assert len(got) == n * 32 and set(got.n) == {n} and sorted(got.component.unique()) == list(range(1, 33))
+    assert got.identity_error.nunique() == 1 and got.identity_error.iloc[0] < 1e-9
+    deviation = {i: sum((int(n * a) - int(s)) ** 2 for a, s in zip(row, x.sum(axis=0))) for i, row in zip(ids, x)}
+    for c in range(1, 33):
+        own = got[got.component == c]
+        assert np.allclose(own.explained, values[c - 1] / values.sum(), rtol=1e-10)
+        white = y @ q[:, c - 1] / np.sqrt(values[c - 1])
+        found = {None if i != i else int(i): w for i, w in zip(own.vec_id, own.whitened)}
+        want = {i: w for i, w in zip(ids, white)}
+        sign = np.sign(found[5] * want[5])
+        assert all(abs(found[i] - sign * want[i]) < 1e-8 for i in want)
+    assert all(deviation[None if r.vec_id != r.vec_id else int(r.vec_id)] == r.deviation for r in got[got.component == 1].itertuples())
+
+
+def test_whitening_of_few_and_of_equal_rows(spark):
+    assert whitening.result(frame(spark, [])).collect() == []
+    assert whitening.result(frame(spark, BAD)).collect() == []
+    one = whitening.result(frame(spark, [[0.5, 1.0]])).collect()
+    assert [(r.component, r.n, r.deviation, r.whitened, r.explained, r.identity_error) for r in one] == [(1, 1, 0, None, None, None), (2, 1, 0, None, None, None)]
+    flat = whitening.result(frame(spark, [[0.5, 1.0], [0.5, 2.0], [0.5, 2.0]])).collect()
+    by = {(r.vec_id, r.component): r for r in flat}
+    assert by[0, 2].whitened is None and abs(by[0, 1].explained - 1) < 1e-12 and abs(abs(by[0, 1].whitened) - math.sqrt(2)) < 1e-12 and by[0, 1].identity_error < 1e-12
+
+
+@pytest.mark.parametrize("kind", ["normal", "graded", "short", "equal", "clusters", "zero", "repeated"])
+def test_bidiagonal_solver(kind):
+    rot = np.linalg.qr(G.normal(size=(300, 48)))[0]
+    a = {
+        "normal": G.normal(size=(300, 48)), "graded": G.normal(size=(300, 48)) * np.geomspace(1, 1e-7, 48), "short": G.normal(size=(9, 48)), "equal": rot,
+        "clusters": rot @ np.diag([5.0] * 10 + [2.0] * 20 + [1e-3] * 18), "zero": np.zeros((4, 48)), "repeated": np.concatenate([G.normal(size=(90, 24))] * 2, axis=1),
+    }[kind]
+    values, z = whitening.eigen(whitening.stacked([a[:100], a[100:]] if len(a) > 100 else [a], 48))
+    want = np.zeros(48)
+    s = np.linalg.svd(a, compute_uv=False)
+    want[: len(s)] = s**2
+    assert np.abs(values - want).max() <= 1e-13 * max(want[0], 1)
+    assert np.abs(z.T @ z - np.eye(48)).max() < 1e-11
+    assert np.abs(a.T @ (a @ z) - z * values).max() <= 1e-13 * max(want[0], 1)
+    if kind == "graded":
+        assert np.abs(values / want - 1).max() < 1e-12  # small values keep their digits
+
+
+def test_triangles_and_moments_merge_over_many_partitions(spark, monkeypatch):
+    vectors = [list(v) for v in G.normal(size=(300, 16))]
+    rows = frame(spark, vectors).select("vec_id", vector_columns.entries().alias("embedding"))
+    monkeypatch.setattr(whitening, "FAN", 3)
+    n, sums = whitening.exact_sums(rows, 16)
+    fit = whitening.fitted(rows.repartition(20), 16)
+    x, _, values, _ = spectrum(vectors)
+    assert (n, sums) == (300, x.sum(axis=0).tolist()) and np.allclose(fit.e, values, rtol=1e-10)
+    assert whitening.identity_error(rows.repartition(20), 16, fit) < 1e-10
+
+
+def test_exact_deviations_beyond_64_bits():
+    y = whitening.times_n_less_sums(np.array([[1 << 40, 5]]), 1 << 30, [0, 0])
+    assert y.tolist() == [[1 << 70, 5 << 30]] and whitening.squares(y) == [None]
+    assert whitening.squares(np.array([[3, -4]])) == [25]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, covertree, decontaminate, fingerprint, langid, ngram, phrases, pii, quality, simhash, tokenfile
+from . import bpe, covertree, decontaminate, fingerprint, langid, ngram, phrases, pii, quality, simhash, tokenfile, whitening
 from .common import table
 
 QUERIES: dict = {}
@@ -74,3 +74,8 @@ def op3(spark, sf_dir):
 @query("op13_vector_codes", covertree.SQL)
 def op13(spark, sf_dir):
     return covertree.result(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark, sf_dir):
+    return whitening.result(table(spark, sf_dir, "embeddings"))
