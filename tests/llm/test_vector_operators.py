@@ -5,8 +5,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from weftline.llm import covertree, whitening
+from weftline.llm import covertree, forest, whitening
 from weftline.llm import vectors as vector_columns
 
 SCHEMA = "vec_id long, embedding array<float>, label int, nid long, leaf long, code string, n long"
@@ -173,3 +174,91 @@ def test_exact_deviations_beyond_64_bits():
     y = whitening.times_n_less_sums(np.array([[1 << 40, 5]]), 1 << 30, [0, 0])
     assert y.tolist() == [[1 << 70, 5 << 30]] and whitening.squares(y) == [None]
     assert whitening.squares(np.array([[3, -4]])) == [25]
+
+
+def unit(a):
+    return a / np.linalg.norm(a, axis=1)[:, None]
+
+
+def linked(vectors, limit=0.9):
+    """``(links, smallest row reached)`` by all cosines."""
+    x = unit(np.array([np.float32(v) for v in vectors], float))
+    c = x @ x.T >= limit
+    np.fill_diagonal(c, False)
+    label = np.arange(len(c))
+    while True:
+        new = np.array([min([label[i], *label[np.flatnonzero(c[i])]]) for i in range(len(c))])
+        if (new == label).all():
+            return c.sum(axis=1), label
+        label = new
+
+
+def clouds():
+    base = unit(G.normal(size=(260, 64)))
+    return np.concatenate([
+        base, unit(base[:1] + 0.22 * unit(G.normal(size=(150, 64)))), unit(base[1:2] + 0.3 * unit(G.normal(size=(90, 64)))),
+        unit(base[60:160] + G.uniform(0.05, 0.4, (100, 1)) * unit(G.normal(size=(100, 64)))), np.repeat(base[3:4], 30, axis=0), 7 * base[4:5],
+        unit(base[:1] + np.linspace(0.2, 0.6, 40)[:, None] * unit(G.normal(size=(40, 64)))),
+    ])
+
+
+@pytest.mark.parametrize("leaf, least", [(512, 256), (64, 10_000), (64, 30)])
+def test_links_against_all_cosines(spark, leaf, least):
+    """In one leaf (exact), in many, and with balls whose borders other vectors cross."""
+    vectors = clouds()
+    ids = G.permutation(len(vectors))
+    vectors = vectors[np.argsort(ids)]
+    got = forest.near_duplicates(frame(spark, vectors.tolist()).repartition(3), leaf=leaf, least=least).toPandas().set_index("vec_id").sort_index()
+    n, label = linked(vectors)
+    assert len(got) == len(vectors) and (got.n_links.to_numpy() <= n).all()
+    assert got.n_links.sum() >= (1.0 if leaf == 512 else 0.999) * n.sum()
+    assert (got.component_id.to_numpy() == label).mean() >= 0.999 and (got.kept == (got.index == got.component_id)).all()
+    hot = forest.balls(frame(spark, vectors.tolist()).select(F.col("vec_id").alias("nid"), vector_columns.entries().alias("v")), 64, leaf, 0.9, least)
+    assert (hot is not None) == (least == 30)
+
+
+def test_links_without_rows_or_numbers(spark):
+    assert forest.result(frame(spark, [])).collect() == []
+    rows = [*BAD, [0.0] * 16, [1.0] + [0.0] * 15, [1.0] + [0.0] * 15, [1.0], []]
+    ids = [0, 1, 2, 3, 4, 5, 5, 6, None]
+    got = sorted(map(tuple, forest.result(frame(spark, rows, ids)).collect()), key=str)
+    alone = [(i, 0, i, True) for i in (0, 1, 2, 3, 4, None)]
+    assert got == sorted([*alone, (5, 2, 5, True), (5, 2, 5, True), (6, 2, 5, False)], key=str)
+
+
+def test_links_of_null_ids_and_of_repeated_ids(spark):
+    """One id may stand for different vectors; a null id counts for no component."""
+    a, b = [1.0] + [0.0] * 15, [0.0, 1.0] + [0.0] * 14
+    near = [1.0, 0.1] + [0.0] * 14
+    got = sorted(map(tuple, forest.result(frame(spark, [a, b, near, b, [0.0] * 15 + [1.0]], [7, 7, 3, None, None])).collect()), key=str)
+    assert got == sorted([(7, 1, 3, False), (7, 1, 7, True), (3, 1, 3, True), (None, 1, 7, False), (None, 0, None, True)], key=str)
+
+
+def test_lengths_of_any_size(spark):
+    """Cosines of vectors near the ends of the range of doubles."""
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [1e300, 1e300]), (1, [1e-300, 1.1e-300]), (2, [-1e300, 1e300])]
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in forest.result(spark.createDataFrame(rows, schema)).collect()) == [(0, 1, 0), (1, 1, 0), (2, 0, 2)]
+
+
+def test_trees_keep_every_row_and_split_again(spark, monkeypatch):
+    monkeypatch.setattr(forest, "SAMPLE", 100)
+    vectors = unit(G.normal(size=(900, 8)))
+    nodes = frame(spark, vectors.tolist()).select(F.col("vec_id").alias("nid"), vector_columns.entries().alias("v"))
+    got = forest.grown(nodes, 8, 3, 0.05, 5, leaf=20).toPandas()
+    assert set(got.leaf // 2**forest.PATH) == {0, 1, 2} and not got.tight.any() and got.groupby("leaf").size().max() <= 20
+    assert all(set(own.nid) == set(range(900)) for _, own in got.groupby(got.leaf // 2**forest.PATH))
+
+
+def test_a_pair_is_counted_in_its_first_leaf_only():
+    lists = [np.array(x) for x in ([1, 5, 9], [5, 9], [9])]
+    assert forest.shared_before(lists, lists, 9).tolist() == [[True, True, False], [True, True, False], [False, False, False]]
+    assert not forest.shared_before(lists, lists, 1).any()
+
+
+def test_splits_avoid_the_thick_of_the_rows():
+    p = np.sort(np.concatenate([np.full(500, 0.0), G.uniform(-1, 1, 500)]))
+    low, at, high = forest.cut(p, 0.05)
+    left, right = forest.sides(p, low, at, high)
+    assert low <= at <= high and 0 < left.sum() < 1000 and (left | right).all() and (left & right).sum() <= 101
+    assert forest.cut(np.zeros(9), 0.05) is None

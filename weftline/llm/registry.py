@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import bpe, covertree, decontaminate, fingerprint, langid, ngram, phrases, pii, quality, simhash, tokenfile, whitening
+from . import bpe, covertree, decontaminate, fingerprint, forest, langid, ngram, phrases, pii, quality, simhash, tokenfile, whitening
 from .common import table
 
 QUERIES: dict = {}
@@ -79,3 +79,8 @@ def op13(spark, sf_dir):
 @query("op12_embedding_whitening")
 def op12(spark, sf_dir):
     return whitening.result(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_embedding_near_dedup", forest.SQL)
+def op11(spark, sf_dir):
+    return forest.result(table(spark, sf_dir, "embeddings"))
