@@ -95,6 +95,45 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([r.predicted == int(r.doc_id < 120) for r in known if r.held_out]) > 0.95
 
 
+def test_quality_of_few_labels_and_of_long_texts(spark):
+    """Classes that share no word are told apart by as few rows as there are, however long they are."""
+    good, bad = "calm river stone", "buy now cheap"
+    for times in (1, 9000):
+        texts = [f"{good} {i} " * times if i % 2 else f"{bad} {i} " * times for i in range(12)]
+        labels = spark.createDataFrame([(i, i % 2, 9) for i in range(12)], "doc_id long, quality int, score int")
+        rows = quality.scored(frame(spark, texts), labels).collect()
+        assert len(rows) == 12 and all(r.predicted == r.doc_id % 2 and abs(r.score - 0.5) > 0.1 for r in rows)
+
+
+def test_quality_ratios_descent_and_scores_against_brute_force():
+    """Features, ratios, one pass of the dual descent and scores, recomputed a row at a time."""
+    texts, y = [t for t in TEXTS[:30] if t], np.array([i % 2 for i in range(30)])
+    slots = {}
+    for a, n, row, slot in quality.features(pa.array(texts)):
+        for i in range(n):
+            slots[a + i] = slot[row == i]
+    rows = [slots[i] for i in range(30)]
+    good, bad = np.zeros(quality._SLOTS), np.zeros(quality._SLOTS)
+    for r, label in zip(rows, y):
+        assert len(set(r.tolist())) == len(r)  # indicators, each once
+        for s in r:
+            (good if label else bad)[s] += 1
+    ratio = quality.log_ratio(good, bad)
+    share = good.sum() / (good.sum() + bad.sum())
+    for s in rows[0][:20]:
+        assert abs(ratio[s] - math.log((good[s] + 2 * share) / (bad[s] + 2 * (1 - share)) * (1 - share) / share)) < 1e-12
+    assert (ratio[(good + bad) == 0] == 0).all()
+    w, b = quality.descend(rows, y, ratio, rounds=400)
+    x = np.zeros((30, quality._SLOTS))
+    for i, r in enumerate(rows):
+        x[i, r] = ratio[r] / np.sqrt((ratio[r] ** 2).sum())
+    sign = np.where(y > 0, 1.0, -1.0)
+    slack = np.maximum(0, 1 - sign * (x @ w + b))
+    assert np.abs(w - (2 * slack * sign) @ x).max() < 1e-2 and abs(b - (2 * slack * sign).sum()) < 1e-2  # the loss is stationary there
+    model = quality.Model(ratio, w, b)
+    assert np.allclose(model.scores(pa.array(texts)), 1 / (1 + np.exp(-3 * (x @ w + b))), atol=1e-5)
+
+
 def test_quality_without_labels(spark):
     docs, labels = quality_data(spark)
     assert {r.score for r in quality.scored(docs, labels.limit(0)).collect()} == {0.5}
@@ -179,6 +218,28 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     assert decontaminate.result(frame(spark, []), bench).count() == 0
 
 
+@pytest.mark.parametrize("fingerprints", [0, 200_000])
+def test_decontamination_of_words_whose_lower_case_depends_on_what_follows(spark, monkeypatch, fingerprints):
+    monkeypatch.setattr(decontaminate, "BROADCAST_FINGERPRINTS", fingerprints)
+    long, short = "one two three ΛΟΓΟΣ five six seven eight nine ten", "ΟΔΟΣ İstanbul 5\u212a"
+    items = [(0, long), (1, short), (2, "ΣΑΣ")]
+    docs = [long.replace("ΛΟΓΟΣ ", "ΛΟΓΟΣ" + sign) for sign in (".", "'", ":", ",", " ", "\n")] + [short.replace("ΟΔΟΣ ", "ΟΔΟΣ" + sign) for sign in ".':,"]
+    docs += ["x " + short, short.upper(), short.lower(), "ΣΑΣ", "ΣΑΣ.β", "β ΣΑΣ", "σας", "ΣΑΣ'Σ ΣΑΣ", "5k 5K 5\u212a", long.lower()]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = list(hits_brute(docs, items))
+    assert [tuple(r)[1:] for r in sorted(decontaminate.result(frame(spark, docs), bench).collect())] == want
+    assert [w[1] for w in want[:6]] == [10] * 6
+
+
+def test_decontamination_of_null_and_repeated_ids(spark):
+    items, docs = [(0, "alpha beta gamma")], ["so alpha beta gamma", "nothing", "Alpha, Beta: Gamma!", "so alpha beta gamma", None]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.result(frame(spark, docs, [None, None, 4, 4, 4]), bench)
+    want = [(i, *w) for i, w in zip([None, None, 4, 4, 4], hits_brute(docs, items))]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert sorted(str(r.doc_id) for r in decontaminate.decontaminated(frame(spark, docs, [None, None, 4, 4, 4]), bench).collect()) == ["4", "None"]
+
+
 ALPHABET = list("abcdstABC'  \n\t'!9٣é漢ß  .-ll re ve") + ["'s", "'re", "<|endoftext|>", "<|startoftext|>", "  ", "\x1c", "\r\n", "​", "\U0001f600", "İ", "Σ", "é", "Ⅳ"]
 FUZZ = ["".join(R.choice(ALPHABET) for _ in range(R.randrange(40))) for _ in range(1200)]
 
@@ -258,6 +319,20 @@ def test_pii_terms_that_reveal_an_address(spark):
     assert pii.result(frame(spark, [])).count() == 0
 
 
+def test_pii_terms_whose_lower_case_depends_on_what_follows(spark):
+    filler = ["the weather was fine and nothing else happened in town that day number %d" % i for i in range(60)]
+    near = [f"note {i * 37} from ΛΟΓΟΣ{'. :'[i % 3]}please reply to bell@tower.org before {i * 91} ends" for i in range(6)]
+    docs = ["yesterday ΛΟΓΟΣ rang", "yesterday ΛΟΓΟΣ.alpha rang", "yesterday ΛΟΓΟΣ'Σ rang", "yesterday λογος"]
+    rows = {r.doc_id: r.spans for r in pii.result(frame(spark, filler + near + docs)).collect()}
+    assert [rows[66 + i] for i in range(4)] == ["term:10:15"] * 4 and all("term" in rows[60 + i] for i in range(6))
+
+
+def test_pii_of_null_and_repeated_ids(spark):
+    texts = ["mail a@b.org", "nothing", "mail a@b.org", None, "ring +49 1234 56789"]
+    got = sorted((str(r.doc_id), r.spans) for r in pii.result(frame(spark, texts, [None, None, 3, 3, 3])).collect())
+    assert got == sorted([("None", "email:5:12"), ("None", ""), ("3", "email:5:12"), ("3", ""), ("3", "phone:5:19")])
+
+
 def test_pii_terms_count_contexts_not_copies(spark):
     filler = ["the weather was fine and nothing else happened in town that day number %d" % i for i in range(60)]
     near = [f"note {i * 37} from quasimodo please reply to bell@tower.org before {i * 91} ends" for i in range(6)]

@@ -9,8 +9,9 @@ benchmark items; only documents with a hit are read again. There every gram
 with a kept hash of the benchmark is extended to the ten-word windows of the
 item around it and verified word by word. An item of one to nine words is one
 window; its whole hash is looked up among all grams of its length, only for the
-lengths that occur. Hashes are of words in Unicode lower case, which never parts
-equal words and is faster; the check uses the words as they are defined.
+lengths that occur. Hashes are of each word by itself in Unicode lower case, which is
+fast; words that are equal as defined (A-Z in lower case) are so in Unicode lower case
+too, whatever stands around them. The check uses the words as they are defined.
 
 Fingerprints of the benchmark are broadcast only if their counted rows are
 within a bound; beyond it, document and benchmark fingerprints are shuffled by
@@ -43,15 +44,17 @@ BROADCAST_FINGERPRINTS = 200_000
 SHORT_ITEMS = 2_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are in lower case.
+RAW_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words on each side of a hit that a window around it can reach, and the words that a hit carries.
 REACH = WINDOW - GRAM
 LOCAL = REACH + WINDOW
 PLACES = "array<struct<p:int,fp:bigint,k:int>>"
 
 
-def _cut(text: Column) -> Column:
+def _cut(text: Column, gap: str = GAP) -> Column:
     """Cut at what can't be in a word, which is several times faster than gathering matches."""
-    return F.filter(F.split(text, GAP), lambda w: w != "")  # the first and last may be empty
+    return F.filter(F.split(text, gap), lambda w: w != "")  # the first and last may be empty
 
 
 def words(text: str) -> Column:
@@ -59,8 +62,8 @@ def words(text: str) -> Column:
 
 
 def word_hashes(text: str) -> Column:
-    """One hash for each of ``words(text)``."""
-    return F.transform(_cut(F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))), lambda w: F.xxhash64(w))
+    """One hash for each of ``words(text)``; words are put in lower case one by one, as a whole text's lower case depends on what stands around."""
+    return F.transform(_cut(F.coalesce(F.col(text).cast("string"), F.lit("")), RAW_GAP), lambda w: F.xxhash64(F.lower(w)))
 
 
 def bound(x: Column, use: Callable[[Column], Column]) -> Column:

@@ -156,8 +156,8 @@ def base_spans(text: Column) -> Column:
 
 
 def _words(x: Column) -> Column:
-    """The terms of ``x`` in lower case, in order."""
-    return F.filter(F.split(F.lower(x), NO_TERM), lambda w: F.length(w) >= TERM_CHARS)
+    """The terms of ``x`` in order, each put in lower case by itself, as its neighbours may change what a whole text's lower case is."""
+    return F.transform(F.filter(F.split(x, NO_TERM), lambda w: F.length(w) >= TERM_CHARS), lambda w: F.lower(w))
 
 
 def _text() -> Column:

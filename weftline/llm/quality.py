@@ -90,6 +90,12 @@ def _rows(batches):
             yield pa.RecordBatch.from_arrays([label.slice(a, n), pa.ListArray.from_arrays(pa.array(at), pa.array(slot.astype(np.int32)))], names=["label", "slots"])
 
 
+def log_ratio(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Log ratios of the classes' shares of each slot, two counts more in the classes' proportion: the rarer a slot, the nearer to zero."""
+    share = good.sum() / (good.sum() + bad.sum())
+    return np.log((good + 2 * share) / (bad + 2 * (1 - share)) * (1 - share) / share)
+
+
 def descend(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, c: float = 1.0, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the squared hinge loss; classes weigh the same in total.
 
@@ -178,9 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out_fold: int = 1, folds: int
     good, bad = np.zeros(_SLOTS), np.zeros(_SLOTS)
     slot = counts.column("slot").to_numpy()
     good[slot], bad[slot] = counts.column("good").to_numpy(), counts.column("bad").to_numpy()
-    if good.sum():
-        ratio = np.log((good + 1) / (good + 1).sum() * (bad + 1).sum() / (bad + 1))
-        ratio[(good + bad) < 5] = 0.0  # too rare to tell
+    if good.sum() and bad.sum():
+        ratio = log_ratio(good, bad)
     y = np.asarray(rows.column("label").to_pylist(), np.int64)
     if not len(y) or y.min() > 0 or y.max() <= 0:
         return Model(ratio, np.zeros(_SLOTS), 0.0 if not len(y) else (10.0 if y.min() > 0 else -10.0))
