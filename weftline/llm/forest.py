@@ -45,7 +45,7 @@ from .vectors import entries, matrix, whole
 LIMIT = 0.9
 TREES, SPILL, LEAF = 16, 0.05, 512
 #: Rows (about) that a subtree is fitted on, and rows of a block that is routed or summed at once.
-SAMPLE, BLOCK = 4096, 16384
+SAMPLE, BLOCK = 4096, 2048
 #: A node is tight if nine of ten rows are within this share of the threshold's angle around their mean.
 TIGHT, MOST = 1.0, 0.9
 #: Members of a tight leaf from which it becomes a ball, and rows of a block of tight leaves and balls.
