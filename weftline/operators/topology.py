@@ -7,17 +7,19 @@ that frame's simplices (C(n, 3) rows at most).
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.numeric import coherence_sign
+from weftline.operators.ranking import ranked
 
 
 def standardized(series: DataFrame) -> DataFrame:
     """``(roi, t, v)`` with each roi's mean taken off and divided by its population deviation (null if constant)."""
     stats = series.groupBy("roi").agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
-    return series.join(F.broadcast(stats), "roi").select("roi", "t", ((F.col("v") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).alias("v"))
+    return series.join(stats, "roi").select("roi", "t", ((F.col("v") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).alias("v"))
 
 
 def shuffled(series: DataFrame, seed: int = 0) -> DataFrame:
@@ -141,57 +143,93 @@ def boundary_of(simplices: list[tuple[int, ...]]) -> tuple[list[list[int]], list
     return columns, [len(s) - 1 for s in simplices]
 
 
-def _frame_simplices(pdf: pd.DataFrame):
-    rows = pdf.sort_values("ord")
-    nodes = sorted(set(rows.i) | set(rows.j))
-    first = [(n,) for n in nodes]
-    rest = [tuple(x for x in (r.i, r.j, r.k) if x >= 0) for r in rows.itertuples()]
-    arrival = dict.fromkeys(first, 0) | {s: a for s, a in zip(rest, rows.arrival)}
-    weight = {s: w for s, w in zip(rest, rows.w)}
-    ordered = first + sorted(rest, key=lambda s: (arrival[s], len(s), s))
-    return ordered, arrival, weight
+class Frame:
+    """The simplices of one frame in filtration order: edges as columns over nodes, triangles as columns over edges, one bit a row."""
+
+    def __init__(self, table):
+        i, j, k, w, arrival = (table[c].to_numpy() for c in ("i", "j", "k", "w", "arrival"))
+        order = np.lexsort((k, j, i, k >= 0, arrival))
+        i, j, k, w, arrival = i[order], j[order], k[order], w[order], arrival[order]
+        self.t, edge, tri = table["t"][0].as_py(), k < 0, k >= 0
+        self.nodes = np.unique(np.concatenate([i, j, k[tri]]))
+        at = lambda x: np.searchsorted(self.nodes, x)
+        self.edges = list(zip(i[edge].tolist(), j[edge].tolist()))
+        self.edge_w, self.edge_arrival, self.tri_w, self.tri_arrival = w[edge], arrival[edge], w[tri], arrival[tri]
+        self.top = float(table["node_weight"][0].as_py()) if "node_weight" in table.column_names else 0.0
+        self.ends = [(1 << a) | (1 << b) for a, b in zip(at(i[edge]).tolist(), at(j[edge]).tolist())]
+        bit = {e: 1 << n for n, e in enumerate(self.edges)}
+        self.sides = [bit[a, b] | bit[a, c] | bit[b, c] for a, b, c in zip(i[tri].tolist(), j[tri].tolist(), k[tri].tolist())]
+
+
+def reduce_bits(columns: list[int], clear: dict | None = None) -> dict[int, tuple[int, int]]:
+    """``{pivot: (column, reduced column)}`` over Z2, from left to right; columns of ``clear`` are known to vanish."""
+    held: dict[int, tuple[int, int]] = {}
+    for c, work in enumerate(columns):
+        if clear and c in clear:
+            continue
+        while work:
+            pivot = work.bit_length() - 1
+            if pivot not in held:
+                held[pivot] = (c, work)
+                break
+            work ^= held[pivot][1]
+    return held
+
 
+PAIRS = "t long, dim int, birth double, death double, birth_arrival long, death_arrival long"
 
-def persistence(kept: DataFrame, dim: int = 1) -> DataFrame:
+
+def persistence(kept: DataFrame, dim: int | tuple[int, ...] = 1, weights: DataFrame | None = None) -> DataFrame:
     """``(t, dim, birth, death, birth_arrival, death_arrival)`` of each frame; an unpaired class has no death (infinity).
 
-    Births and deaths are weights with their sign turned, so that they grow along the filtration.
+    Births and deaths are weights with their sign turned, so that they grow along the filtration. Triangles are reduced
+    before edges, whose births they make known. Nodes enter with the ``node_weight`` of ``weights``, or 0. A frame is one task;
+    ``chunks`` has the way for frames that are larger than that.
     """
+    dims = (dim,) if isinstance(dim, int) else tuple(dim)
+    rows = kept if weights is None else kept.join(weights.select("t", "node_weight"), "t")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered, arrival, weight = _frame_simplices(pdf)
-        columns, dims = boundary_of(ordered)
-        pairs = reduce_columns(columns, dims)
-        deaths, killers = {b: d for b, d in pairs}, {d for _, d in pairs}
+    def one(table):
+        frame = Frame(table)
+        killed = reduce_bits(frame.sides)
+        joined = reduce_bits(frame.ends, killed) if 0 in dims or 1 in dims else {}
         out = []
-        for x, s in enumerate(ordered):
-            if dims[x] == dim and x not in killers:
-                y = deaths.get(x)
-                if y is not None and arrival[ordered[y]] == arrival[s]:
-                    continue
-                out.append((pdf.t.iloc[0], dim, -weight.get(s, 0.0), float("inf") if y is None else -weight[ordered[y]], arrival[s], -1 if y is None else arrival[ordered[y]]))
-        return pd.DataFrame(out, columns=["t", "dim", "birth", "death", "birth_arrival", "death_arrival"])
-
-    return kept.groupBy("t").applyInPandas(one, "t long, dim int, birth double, death double, birth_arrival long, death_arrival long")
+        if 0 in dims:
+            for n in range(len(frame.nodes)):
+                c = joined[n][0] if n in joined else None
+                out.append((0, -frame.top + 0.0, float("inf") if c is None else -frame.edge_w[c], 0, -1 if c is None else frame.edge_arrival[c]))
+        if 1 in dims:
+            negative = {c for c, _ in joined.values()}
+            for e in range(len(frame.edges)):
+                c = killed[e][0] if e in killed else None
+                if e not in negative and (c is None or frame.tri_arrival[c] != frame.edge_arrival[e]):
+                    out.append((1, -frame.edge_w[e], float("inf") if c is None else -frame.tri_w[c], frame.edge_arrival[e], -1 if c is None else frame.tri_arrival[c]))
+        columns = [[frame.t] * len(out), *([r[n] for r in out] for n in range(5))]
+        kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
+        return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["t", "dim", "birth", "death", "birth_arrival", "death_arrival"])
+
+    return rows.groupBy("t").applyInArrow(one, PAIRS)
 
 
 def scaffold(kept: DataFrame) -> DataFrame:
     """``(t, i, j, n, persistence)``: edges of the cycles that generate the finite classes of dimension 1."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered, arrival, _ = _frame_simplices(pdf)
-        columns, dims = boundary_of(ordered)
-        pairs, reduced, _ = reduce_columns(columns, dims, basis=True)
-        total: dict[tuple, list] = {}
-        for b, d in pairs:
-            if dims[b] == 1 and arrival[ordered[d]] > arrival[ordered[b]]:
-                for e in reduced[d]:
-                    slot = total.setdefault(ordered[e], [0, 0])
-                    slot[0] += 1
-                    slot[1] += arrival[ordered[d]] - arrival[ordered[b]]
-        return pd.DataFrame([(pdf.t.iloc[0], *e, n, float(p)) for e, (n, p) in sorted(total.items())], columns=["t", "i", "j", "n", "persistence"])
+    def one(table):
+        frame = Frame(table)
+        total: dict[int, list] = {}
+        for birth, (c, cycle) in reduce_bits(frame.sides).items():
+            lasted = frame.tri_arrival[c] - frame.edge_arrival[birth]
+            while lasted > 0 and cycle:
+                e = cycle.bit_length() - 1
+                slot = total.setdefault(e, [0, 0])
+                slot[0] += 1
+                slot[1] += int(lasted)
+                cycle ^= 1 << e
+        rows = [(frame.t, *frame.edges[e], n, float(p)) for e, (n, p) in total.items()]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.float64())
+        return pa.Table.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["t", "i", "j", "n", "persistence"])
 
-    return kept.groupBy("t").applyInPandas(one, "t long, i int, j int, n long, persistence double")
+    return kept.groupBy("t").applyInArrow(one, "t long, i int, j int, n long, persistence double")
 
 
 def betti_curve(intervals: DataFrame, length: int) -> DataFrame:
@@ -216,12 +254,8 @@ def cleaned(diagram: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def betti_numbers(kept: DataFrame) -> DataFrame:
-    """``(t, dim, betti)``: classes of dimension 0 and 1 of each frame's whole complex that never end."""
-    out = None
-    for dim in (0, 1):
-        one = persistence(kept, dim).groupBy("t").agg(F.count_if(F.col("death_arrival") < 0).alias("betti")).select("t", F.lit(dim).alias("dim"), "betti")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """``(t, dim, betti)``: classes of dimension 0 and 1 of each frame's whole complex that never end, from one reduction."""
+    return persistence(kept, (0, 1)).groupBy("t", "dim").agg(F.count_if(F.col("death_arrival") < 0).alias("betti"))
 
 
 def diagram_indicators(diagram: DataFrame, directions: int = 50) -> DataFrame:
@@ -246,13 +280,59 @@ def diagram_indicators(diagram: DataFrame, directions: int = 50) -> DataFrame:
     return x.join(y, ["t", "kind", "d", "n"]).groupBy("t", "kind").agg((F.sum(F.abs(F.col("x") - F.col("y"))) / directions).alias("distance"))
 
 
-def rips_edges(points: DataFrame, limit: float) -> DataFrame:
-    """``(a, b, d)``: pairs of points ``(id, v array)`` within ``limit``, through a grid on the first coordinate."""
-    keyed = points.withColumn("_c", F.floor(F.element_at("v", 1) / limit).cast("long"))
-    left = keyed.select(F.col("id").alias("a"), F.col("v").alias("va"), F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_c"))
-    right = keyed.select(F.col("id").alias("b"), F.col("v").alias("vb"), "_c")
-    gap = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda p, q: ((p - q) * (p - q)).cast("double")), F.lit(0.0), lambda s, v: s + v))
-    return left.join(right, "_c").where("a < b").select("a", "b", gap.alias("d")).where(F.col("d") <= limit)
+#: Coordinates that the grid of ``rips_edges`` is laid over; a cell has 3 ** GRID neighbours.
+GRID = 3
+
+
+def rips_edges(points: DataFrame, limit: float, grid: int = GRID) -> DataFrame:
+    """``(a, b, d)``: pairs of points ``(id, v array)`` within ``limit``.
+
+    A grid of that width is laid over the ``grid`` coordinates that spread most; each point meets those of its cell and
+    of the cells around it, and half of the cells around suffice, as a pair needs to be met once.
+    """
+    from itertools import product
+
+    if limit <= 0:
+        raise ValueError("the limit must be positive")
+    flat = points.select(F.posexplode("v").alias("c", "x"))
+    wide = [r["c"] for r in flat.groupBy("c").agg((F.max("x") - F.min("x")).alias("s")).orderBy(F.desc("s"), "c").limit(grid).collect()]
+    cell = lambda c: F.floor(F.element_at("v", c + 1) / limit).cast("long")
+    keyed = points.select(F.col("id"), "v", *[cell(c).alias(f"_c{n}") for n, c in enumerate(wide)])
+    steps = [s for s in product((-1, 0, 1), repeat=len(wide)) if s >= (0,) * len(wide)]
+    around = F.explode(F.array(*[F.struct(F.lit(all(x == 0 for x in s)).alias("own"), *[(F.col(f"_c{n}") + x).alias(f"_c{n}") for n, x in enumerate(s)]) for s in steps])).alias("_s")
+    left = keyed.select(F.col("id").alias("x"), F.col("v").alias("vx"), around).select("x", "vx", "_s.*")
+    right = keyed.select(F.col("id").alias("y"), F.col("v").alias("vy"), *[f"_c{n}" for n in range(len(wide))])
+    gap = F.sqrt(F.aggregate(F.zip_with("vx", "vy", lambda p, q: ((p - q) * (p - q)).cast("double")), F.lit(0.0), lambda s, v: s + v))
+    met = left.join(right, [f"_c{n}" for n in range(len(wide))]).where("NOT own AND x <> y OR own AND x < y")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), gap.alias("d")).where(F.col("d") <= limit)
+
+
+def rips_complex(points: DataFrame, limit: float, top: int = 2) -> DataFrame:
+    """``(dim, members, d)``: all simplices up to dimension ``top`` of points within ``limit`` of each other; d is their diameter.
+
+    Cliques grow by one member: two that differ in their last member only, which are themselves neighbours.
+    """
+    edges = rips_edges(points, limit)
+    out = points.select(F.lit(0).alias("dim"), F.array("id").alias("members"), F.lit(0.0).alias("d"))
+    last = edges.select(F.array("a", "b").alias("members"), "d")
+    for dim in range(1, top + 1):
+        out = out.unionByName(last.select(F.lit(dim).alias("dim"), "members", "d"))
+        if dim < top:
+            head = last.select(F.slice("members", 1, dim).alias("head"), F.element_at("members", dim + 1).alias("a"), "d")
+            other = head.select("head", F.col("a").alias("b"), F.col("d").alias("d2"))
+            grown = head.join(other, "head").where("a < b").join(edges.withColumnRenamed("d", "d3"), ["a", "b"])
+            last = grown.select(F.concat("head", F.array("a", "b")).alias("members"), F.greatest("d", "d2", "d3").alias("d"))
+    return out
+
+
+def clique_filtration(complex_: DataFrame) -> DataFrame:
+    """The edges and triangles of a Rips complex as one frame of ``filtration``'s columns; heavier is nearer, so weights are minus the diameters."""
+    flat = complex_.where("dim BETWEEN 1 AND 2").select(
+        F.lit(0).cast("long").alias("t"), "dim", F.element_at("members", 1).cast("int").alias("i"), F.element_at("members", 2).cast("int").alias("j"),
+        F.when(F.col("dim") == 2, F.try_element_at("members", F.lit(3))).otherwise(-1).cast("int").alias("k"), (-F.col("d")).alias("w"),
+    )
+    arrival = ranked(flat.select("w").distinct(), [], [F.desc("w")], "arrival")
+    return flat.join(arrival, "w").select("t", "dim", "i", "j", "k", "w", "arrival")
 
 
 def matrix_info(boundary: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import numeric
 from weftline.functions.numeric import rounded as r6
-from weftline.operators import copula, features, interaction, metrics, models, multivariate, raster, topology
+from weftline.operators import chunks, copula, features, interaction, metrics, models, multivariate, raster, topology
+from weftline.sources.stored import stored
 from weftline.streaming import streams
 
 from . import tables as T
@@ -87,22 +88,64 @@ def arrival_index(spark, d):
 
 
 
-@query("persistence_pairs")
+DIAGRAM_SQL = f"""WITH RECURSIVE {T.REDUCED}
+SELECT t, dim, {R6.format("birth")} AS birth, {R6.format("death")} AS death, birth_arrival, death_arrival FROM diagram"""
+
+
+def _rounded(diagram):
+    return diagram.withColumns({"birth": r6(F.col("birth")), "death": r6(F.col("death"))})
+
+
+@query("persistence_pairs", DIAGRAM_SQL)
 def persistence_pairs(spark, d):
-    return topology.persistence(_filtration(spark, d))
+    return _rounded(topology.persistence(_filtration(spark, d)))
+
+
+@query("persistence_chunks", DIAGRAM_SQL)
+def persistence_chunks(spark, d):
+    """The same diagrams by blocks of 32 columns: each frame of 92 columns at most is spread over tasks."""
+    return _rounded(chunks.persistence(_filtration(spark, d), block=32))
+
+
+CURVE_SQL = f"""WITH RECURSIVE {T.REDUCED}, steps AS (
+  SELECT t, dim, birth_arrival AS "at", 1 AS d FROM diagram UNION ALL SELECT t, dim, CASE WHEN death_arrival < 0 THEN 100 ELSE death_arrival END, -1 FROM diagram
+), changes AS (SELECT t, dim, "at", sum(d) AS d FROM steps GROUP BY 1, 2, 3)
+SELECT t, dim, "at", CAST(sum(d) OVER (PARTITION BY t, dim ORDER BY "at") AS BIGINT) AS betti FROM changes"""
 
 
-@query("betti_curve")
+@query("betti_curve", CURVE_SQL)
 def betti_curve(spark, d):
     return topology.betti_curve(topology.persistence(_filtration(spark, d)), 100)
 
 
-@query("scaffold_cycles")
+SCAFFOLD_SQL = f"""WITH RECURSIVE {T.REDUCED}, lasting AS (
+  SELECT d.t, d.v, d.arrival - e.arrival AS lasted FROM died d JOIN eo e ON e.t = d.t AND e.c = d.c WHERE d.arrival > e.arrival
+), bits AS (SELECT t, v, lasted, unnest(range({T.ROIS * (T.ROIS - 1) // 2})) AS c FROM lasting)
+SELECT b.t, e.i, e.j, count(*) AS n, CAST(sum(b.lasted) AS DOUBLE) AS persistence
+FROM bits b JOIN eo e ON e.t = b.t AND e.c = b.c WHERE (b.v >> b.c) & 1 = 1 GROUP BY 1, 2, 3"""
+
+
+@query("scaffold_cycles", SCAFFOLD_SQL)
 def scaffold_cycles(spark, d):
     return topology.scaffold(_filtration(spark, d))
 
 
-@query("diagram_indicators")
+INDICATOR_SQL = f"""WITH RECURSIVE {T.REDUCED}, top AS (
+  SELECT t, max(abs(w)) AS top FROM (SELECT t, w FROM edges UNION ALL SELECT t, w FROM tri) GROUP BY t
+), clean AS (
+  SELECT t, birth, CASE WHEN isinf(death) THEN top ELSE death END AS death FROM diagram JOIN top USING (t)
+), kinds AS (
+  SELECT *, CASE WHEN birth < 0 AND death <= 0 THEN 'fc' WHEN birth < 0 AND death > 0 THEN 'ct' WHEN birth > 0 THEN 'fd' END AS kind FROM clean
+), every AS (SELECT * FROM kinds WHERE kind IS NOT NULL UNION ALL SELECT t, birth, death, 'all' FROM kinds),
+spread AS (
+  SELECT t, kind, d, birth * cos(a) + death * sin(a) AS x, (birth + death) / 2 * cos(a) + (birth + death) / 2 * sin(a) AS y
+  FROM every, (SELECT i AS d, i * pi() / 50 - pi() / 2 AS a FROM range(50) r(i))
+), xs AS (SELECT t, kind, d, x, row_number() OVER (PARTITION BY t, kind, d ORDER BY x) AS n FROM spread),
+ys AS (SELECT t, kind, d, y, row_number() OVER (PARTITION BY t, kind, d ORDER BY y) AS n FROM spread)
+SELECT t, kind, {R6.format("sum(abs(x - y)) / 50")} AS distance FROM xs JOIN ys USING (t, kind, d, n) GROUP BY 1, 2"""
+
+
+@query("diagram_indicators", INDICATOR_SQL)
 def diagram_indicators(spark, d):
     weights = topology.node_weights(_edges(spark, d), _triangles(spark, d))
     clean = topology.cleaned(topology.persistence(_filtration(spark, d)), weights)
@@ -114,15 +157,64 @@ def node_weight(spark, d):
     return topology.node_weights(_edges(spark, d), _triangles(spark, d)).withColumn("max_weight", r6(F.col("max_weight")))
 
 
-@query("betti_numbers")
+BETTI_SQL = f"""WITH RECURSIVE {T.REDUCED}
+SELECT t, 0 AS dim, CAST({T.ROIS} - count(*) FILTER (v <> 0 AND c >= 0) AS BIGINT) AS betti FROM ered GROUP BY t
+UNION ALL SELECT t, 1, count(*) FILTER (death_arrival < 0) FROM diagram GROUP BY t"""
+
+
+@query("betti_numbers", BETTI_SQL)
 def betti_numbers(spark, d):
     return topology.betti_numbers(_filtration(spark, d))
 
 
-@query("rips_edges", f"WITH p AS (SELECT vec_id AS id, embedding[1:3] AS v FROM embeddings), q AS (SELECT a.id AS a, b.id AS b, sqrt((CAST(a.v[1] AS DOUBLE) - b.v[1]) ^ 2 + (CAST(a.v[2] AS DOUBLE) - b.v[2]) ^ 2 + (CAST(a.v[3] AS DOUBLE) - b.v[3]) ^ 2) AS d FROM p a JOIN p b ON a.id < b.id) SELECT a, b, {R6.format('d')} AS d FROM q WHERE d <= 0.02")
+COMPONENTS_SQL = f"""WITH RECURSIVE {T.REDUCED}, top AS (
+  SELECT t, ceil(max(abs(w))) AS top FROM (SELECT t, w FROM edges UNION ALL SELECT t, w FROM tri) GROUP BY t
+), ends AS (SELECT r.t, e.w, e.arrival FROM ered r JOIN eo e ON e.t = r.t AND e.c = r.c WHERE r.v <> 0)
+SELECT t, {R6.format("-top")} AS birth, {R6.format("-w")} AS death, CAST(arrival AS BIGINT) AS death_arrival FROM ends JOIN top USING (t)
+UNION ALL SELECT t, {R6.format("-top")}, 'infinity'::DOUBLE, -1 FROM top, range({T.ROIS} - (SELECT count(*) FROM ends WHERE ends.t = top.t))"""
+
+
+@query("component_diagram", COMPONENTS_SQL)
+def component_diagram(spark, d):
+    """Diagrams of dimension 0, in which all nodes enter with the frame's largest weight, rounded up."""
+    weights = topology.node_weights(_edges(spark, d), _triangles(spark, d))
+    return _rounded(topology.persistence(_filtration(spark, d), 0, weights)).select("t", "birth", "death", "death_arrival")
+
+
+#: Positions in space: the first three dimensions of the embeddings; and the reach of the complex.
+POINTS_SQL = """p AS (SELECT vec_id AS id, list_transform(embedding[1:3], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+q AS (SELECT a.id AS a, b.id AS b, sqrt((a.v[1] - b.v[1]) ^ 2 + (a.v[2] - b.v[2]) ^ 2 + (a.v[3] - b.v[3]) ^ 2) AS d FROM p a JOIN p b ON a.id < b.id)"""
+REACH = 0.02
+
+
+def _points(spark, d):
+    return T.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("v"))
+
+
+@query("rips_edges", f"WITH {POINTS_SQL} SELECT a, b, {R6.format('d')} AS d FROM q WHERE d <= {REACH}")
 def rips_edges(spark, d):
-    points = T.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("v"))
-    return topology.rips_edges(points, 0.02).withColumn("d", r6(F.col("d")))
+    return topology.rips_edges(_points(spark, d), REACH).withColumn("d", r6(F.col("d")))
+
+
+RIPS_SQL = f"""WITH {POINTS_SQL}, near AS MATERIALIZED (SELECT * FROM q WHERE d <= {2 * REACH})
+SELECT 0 AS dim, CAST(id AS VARCHAR) AS members, 0.0::DOUBLE AS d FROM p
+UNION ALL SELECT 1, a || ' ' || b, {R6.format("d")} FROM near
+UNION ALL SELECT 2, x.a || ' ' || x.b || ' ' || y.b, {R6.format("greatest(x.d, y.d, z.d)")}
+FROM near x JOIN near y ON y.a = x.a AND y.b > x.b JOIN near z ON z.a = x.b AND z.b = y.b"""
+
+
+@query("rips_complex", RIPS_SQL)
+def rips_complex(spark, d):
+    """Points, pairs and triangles within twice the reach, with their diameters."""
+    out = topology.rips_complex(_points(spark, d), 2 * REACH)
+    return out.select("dim", F.array_join(F.transform("members", lambda x: x.cast("string")), " ").alias("members"), r6(F.col("d")).alias("d"))
+
+
+@query("rips_persistence")
+def rips_persistence(spark, d):
+    """Loops of the Rips complex of all points: one filtration, reduced in blocks."""
+    whole = stored(topology.clique_filtration(topology.rips_complex(_points(spark, d), 4 * REACH)), "complex")
+    return _rounded(chunks.persistence(whole)).drop("t")
 
 
 def _boundary(spark, d):

@@ -92,5 +92,23 @@ ARRIVALS = ADMITTED + """, simp AS (
   SELECT t, 1 AS dim, i, j, -1 AS k, w, TRUE AS kept FROM edges UNION ALL SELECT t, 2, i, j, k, w, missing = 0 FROM adm), ord AS (
   SELECT *, lag(w) OVER o AS last, row_number() OVER o AS ord FROM simp WINDOW o AS (PARTITION BY t ORDER BY w DESC, dim, i, j, k)), arr AS (
   SELECT *, sum(CASE WHEN kept AND (last IS NULL OR w <> last) THEN 1 ELSE 0 END) OVER (PARTITION BY t ORDER BY ord) AS arrival FROM ord)"""
+#: One more column of a boundary matrix over Z2 a step, in each frame: a column is a number with a bit for each row,
+#: and loses to the held columns of its own highest bit, from the highest row down.
+_REDUCED = """{name}(t, c, held, v) AS (
+  SELECT t, CAST(-1 AS BIGINT), list_transform(range({rows}), lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM (SELECT DISTINCT t FROM {columns})
+  UNION ALL
+  SELECT t, c, CASE WHEN v = 0 THEN held ELSE list_transform(held, lambda x, n: CASE WHEN n = 1 + CAST(floor(log2(v)) AS INT) THEN v ELSE x END) END, v FROM (
+    SELECT r.t, m.c, r.held, list_reduce(list_prepend(m.mask, list_reverse(r.held)), lambda a, b: CASE WHEN xor(a, b) < least(a, b) THEN xor(a, b) ELSE a END) AS v
+    FROM {name} r JOIN {columns} m ON m.t = r.t AND m.c = r.c + 1))"""
+REDUCED = ARRIVALS + """, eo AS MATERIALIZED (
+  SELECT t, i, j, w, arrival, row_number() OVER (PARTITION BY t ORDER BY arrival, i, j) - 1 AS c, (1::BIGINT << i) | (1::BIGINT << j) AS mask FROM arr WHERE dim = 1), tord AS (
+  SELECT t, i, j, k, w, arrival, row_number() OVER (PARTITION BY t ORDER BY arrival, i, j, k) - 1 AS c FROM arr WHERE dim = 2 AND kept), tri2 AS MATERIALIZED (
+  SELECT r.t, r.c, r.w, r.arrival, (1::BIGINT << x.c) | (1::BIGINT << y.c) | (1::BIGINT << z.c) AS mask FROM tord r
+  JOIN eo x ON x.t = r.t AND x.i = r.i AND x.j = r.j JOIN eo y ON y.t = r.t AND y.i = r.i AND y.j = r.k JOIN eo z ON z.t = r.t AND z.i = r.j AND z.j = r.k), """ + _REDUCED.format(
+    name="ered", rows=ROIS, columns="eo") + ", " + _REDUCED.format(name="tred", rows=ROIS * (ROIS - 1) // 2, columns="tri2") + """, died AS MATERIALIZED (
+  SELECT r.t, r.v, CAST(floor(log2(r.v)) AS BIGINT) AS c, x.w, x.arrival FROM tred r JOIN tri2 x ON x.t = r.t AND x.c = r.c WHERE r.v <> 0), born AS (
+  SELECT e.t, e.c, e.w, e.arrival FROM eo e JOIN ered r ON r.t = e.t AND r.c = e.c WHERE r.v = 0), diagram AS MATERIALIZED (
+  SELECT b.t, 1 AS dim, -b.w AS birth, coalesce(-d.w, 'infinity'::DOUBLE) AS death, CAST(b.arrival AS BIGINT) AS birth_arrival, CAST(coalesce(d.arrival, -1) AS BIGINT) AS death_arrival
+  FROM born b LEFT JOIN died d ON d.t = b.t AND d.c = b.c WHERE d.c IS NULL OR d.arrival <> b.arrival)"""
 PREDICTIONS = """preds AS (
   SELECT l.doc_id, d.source, l.quality AS y, floor(100 / (1 + exp(-(ln(1 + CAST(d.n_chars AS DOUBLE)) - 7.0)))) / 100 AS p FROM labels l JOIN documents d USING (doc_id))"""
