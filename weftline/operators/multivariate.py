@@ -110,34 +110,18 @@ def copula_mixture_information(x: np.ndarray, classes: np.ndarray) -> float:
 
 
 def lagged_o_information(z: np.ndarray, target: int, sources: list[int], order: int) -> float:
-    """``-(M-1) I(y; X | Y0) + sum_k I(y; X without k | Y0)`` in bits; X and Y0 are the last ``order`` samples."""
+    """``-(M-1) I(y; X | Y0) + sum_k I(y; X without k | Y0)`` in bits; X and Y0 are the last ``order`` samples of normal scores, centred on zero."""
     t = len(z)
     past = lambda k: [z[order - m : t - m, k] for m in range(1, order + 1)]
-    y, y0 = z[order:, target], past(target)
-    columns = [y, *y0, *(c for k in sources for c in past(k))]
-    cov, n = np.cov(np.array(columns)), t - order
+    rows = np.array([z[order:, target], *past(target), *(c for k in sources for c in past(k))])
+    n = t - order
+    cov = rows @ rows.T / (n - 1)
     own = list(range(1, 1 + order))
     where = {k: list(range(1 + order * (1 + i), 1 + order * (2 + i))) for i, k in enumerate(sources)}
     info = lambda ks: conditional_information(cov, n, [0], [c for k in ks for c in where[k]], own)
     return -(len(sources) - 1) * info(sources) + sum(info([k for k in sources if k != x]) for x in sources)
 
 
-def lagged_triplets(scores: DataFrame, order: int = 1) -> DataFrame:
-    """Lagged O-information of each target from each pair of other units, per window of normal scores."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        from itertools import combinations
-
-        wide = pdf.pivot(index="t", columns="unit", values="z").sort_index().sort_index(axis=1)
-        z, units, rows = wide.to_numpy(), wide.columns.to_numpy(), []
-        for y in range(len(units)):
-            for a, b in combinations([k for k in range(len(units)) if k != y], 2):
-                rows.append((pdf.win_id.iloc[0], units[y], units[a], units[b], lagged_o_information(z, y, [a, b], order)))
-        return pd.DataFrame(rows, columns=["win_id", "target", "i", "j", "domega"])
-
-    return scores.groupBy("win_id").applyInPandas(one, "win_id int, target int, i int, j int, domega double")
-
-
 def nplets(scores: DataFrame, largest: int = 4) -> DataFrame:
     """``(win_id, size, members, omega)`` of all groups of three to ``largest`` units, from each window's covariance matrix."""
 

@@ -6,8 +6,8 @@ A plan module lists ``QUERIES`` (name -> callable(spark, sf_dir)) and
 
 from __future__ import annotations
 
-from . import signals, structure
+from . import dynamics, signals, structure
 
-MODULES = (signals, structure)
+MODULES = (signals, structure, dynamics)
 QUERIES: dict = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLES.items()}

@@ -372,11 +372,6 @@ def mixture_mi(spark, d):
     return rows.groupBy("roi").applyInPandas(one, "roi int, mi double")
 
 
-@query("domega")
-def domega(spark, d):
-    return multivariate.lagged_triplets(T.scores(spark, d, "average").select("win_id", "unit", "t", "z")).withColumn("domega", r6(F.col("domega")))
-
-
 def _spins(spark, d):
     return raster.spins(T.full(spark, d))
 
