@@ -55,11 +55,11 @@ def given_last(now: DataFrame, ahead: DataFrame, by: list[str]) -> tuple[DataFra
     both = now.where("u <> v").select(*by, F.col("u").alias("y"), "v", "s").unionByName(now.where("u <> v").select(*by, F.col("v").alias("y"), F.col("u").alias("v"), "s"))
     with_last = both.withColumnRenamed("s", "s0")
     outer = ahead.where("y <> v").select(*by, "y", "v", "s").join(with_last, [*by, "y", "v"]).join(lead, [*by, "y"])
-    outer = outer.select(*by, "y", "v", (F.col("s") - F.col("s0") * F.col("sy0") / F.col("s00")).alias("c"), (F.col("yy") - F.col("sy0") * F.col("sy0") / F.col("s00")).alias("vy"))
+    outer = outer.select(*by, "y", "v", (F.col("s") - F.try_divide(F.col("s0") * F.col("sy0"), F.col("s00"))).alias("c"), (F.col("yy") - F.try_divide(F.col("sy0") * F.col("sy0"), F.col("s00"))).alias("vy"))
     targets = lead.select(*by, "y", "s00")
     left, right = with_last.select(*by, "y", F.col("v").alias("u"), F.col("s0").alias("su")), with_last.select(*by, "y", "v", F.col("s0").alias("sv"))
     inner = now.join(left, [*by, "u"]).join(right, [*by, "y", "v"]).join(targets, [*by, "y"])
-    return inner.select(*by, "y", "u", "v", (F.col("s") - F.col("su") * F.col("sv") / F.col("s00")).alias("c")), outer
+    return inner.select(*by, "y", "u", "v", (F.col("s") - F.try_divide(F.col("su") * F.col("sv"), F.col("s00"))).alias("c")), outer
 
 
 def left_of_two(vy: Column, ya: Column, yb: Column, aa: Column, bb: Column, ab: Column) -> Column:
