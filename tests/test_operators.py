@@ -249,13 +249,6 @@ def test_permuted_block_keeps_each_group(spark):
     assert any(r.x != r.id for r in got)
 
 
-def test_nplets_of_three_are_triplets(spark):
-    z = _scores(spark, RNG.normal(size=(50, 4)))
-    three = {tuple(r.members): r.omega for r in multivariate.nplets(z, 4).where("size = 3").collect()}
-    want = {(r.i, r.j, r.k): r.omega for r in interaction.omega(copula.pair_correlations(z), 50).collect()}
-    assert three == pytest.approx(want) and len(interaction.top_groups(multivariate.nplets(z, 4), 1).where("size = 4").collect()) == 1
-
-
 def test_percentile_interval(spark):
     df = spark.createDataFrame([(1, float(x)) for x in range(-5, 6)] + [(2, float(x)) for x in range(1, 12)], "g int, v double")
     got = {r.g: r.significant for r in interaction.percentile_interval(df, ["g"], "v").collect()}

@@ -34,6 +34,15 @@ def probit_sql(p: str) -> str:
     return f"(CASE WHEN abs({q}) <= {_number(0.425)} THEN {q} * {_horner(CENTRAL_NUM, r)} / {_horner(CENTRAL_DEN, r)} WHEN {q} < 0 THEN -{tail} ELSE {tail} END)"
 
 
+def digamma_sql(x: str) -> str:
+    """The digamma function of a positive number as SQL text: ten steps of the recurrence, then the series."""
+    steps = " + ".join(f"1 / ({x} + {k})" for k in range(10))
+    y = f"({x} + 10)"
+    # The terms of the series are B(2k) / 2k.
+    series = " - ".join(f"{_number(b)} / power({y}, {2 * k})" for k, b in enumerate((1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132, -691 / 32760), 1))
+    return f"(ln({y}) - {_number(0.5)} / {y} - {series} - ({steps}))"
+
+
 def digamma(x: float) -> float:
     """The digamma function of a positive number (recurrence, then asymptotic series)."""
     out = 0.0

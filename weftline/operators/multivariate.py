@@ -9,10 +9,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-from weftline.functions.numeric import digamma
+from weftline.functions.numeric import digamma, digamma_sql, probit_sql
 
 
 def gaussian_entropy(cov: np.ndarray, n: int, bias: bool = True) -> float:
@@ -122,17 +122,52 @@ def lagged_o_information(z: np.ndarray, target: int, sources: list[int], order:
     return -(len(sources) - 1) * info(sources) + sum(info([k for k in sources if k != x]) for x in sources)
 
 
-def nplets(scores: DataFrame, largest: int = 4) -> DataFrame:
-    """``(win_id, size, members, omega)`` of all groups of three to ``largest`` units, from each window's covariance matrix."""
+def class_scores(rows: DataFrame, cls: str = "label") -> DataFrame:
+    """``(row, cls, dim, z)`` of ``(row, cls, dim, v)``: normal scores by rank within each class and dimension, ties by row."""
+    own = Window.partitionBy(cls, "dim")
+    p = F.row_number().over(own.orderBy("v", "row")) / (F.count(F.lit(1)).over(own) + 1)
+    return rows.withColumn("_p", p).select("row", cls, "dim", F.expr(probit_sql("_p")).alias("z"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        from itertools import combinations
 
-        wide = pdf.pivot(index="t", columns="unit", values="z").sort_index(axis=1)
-        cov, units, rows = np.cov(wide.to_numpy().T), wide.columns.to_numpy(), []
-        for size in range(3, min(largest, len(units)) + 1):
-            for c in combinations(range(len(units)), size):
-                rows.append((pdf.win_id.iloc[0], size, [int(units[i]) for i in c], o_information(_part(cov, list(c)), len(wide))))
-        return pd.DataFrame(rows, columns=["win_id", "size", "members", "omega"])
+def class_products(scores: DataFrame, cls: str = "label") -> DataFrame:
+    """``(cls, i, j, n, sx, sy, sxx, syy, sxy)`` for all dimensions i <= j: what conditional information needs of the data."""
+    x = scores.select("row", cls, F.col("dim").alias("i"), F.col("z").alias("x"))
+    y = scores.select("row", F.col("dim").alias("j"), F.col("z").alias("y"))
+    sums = [F.sum(F.expr(e)).alias(name) for name, e in (("sx", "x"), ("sy", "y"), ("sxx", "x * x"), ("syy", "y * y"), ("sxy", "x * y"))]
+    return x.join(y, "row").where("i <= j").groupBy(cls, "i", "j").agg(F.count(F.lit(1)).alias("n"), *sums)
 
-    return scores.groupBy("win_id").applyInPandas(one, "win_id int, size int, members array<int>, omega double")
+
+def class_conditional(products: DataFrame, cls: str = "label") -> DataFrame:
+    """``(i, j, cmi, mi)`` in bits for dimensions i < j: information within classes, weighted by their sizes, and of all scores pooled.
+
+    Scores are centred in each class, so products are about zero there; pooled ones are about their mean.
+    """
+    part = F.col("n") / F.sum("n").over(Window.partitionBy("i", "j"))
+    psi = lambda k: F.expr(digamma_sql(f"((n - {k}) / CAST(2 AS DOUBLE))")) / 2
+    gain = psi(2) - psi(1)
+    bits = lambda r2: -0.5 * F.log(F.when(r2 < 1 - 1e-12, 1 - r2)) / math.log(2)
+    pairs = products.where("i < j")
+    own = pairs.select("i", "j", (part * (bits(F.try_divide(F.col("sxy") * F.col("sxy"), F.col("sxx") * F.col("syy"))) + F.when(F.col("n") > 2, gain) / math.log(2))).alias("cmi"))
+    within = own.groupBy("i", "j").agg(F.sum("cmi").alias("cmi"))
+    whole = pairs.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    cov, vx, vy = (F.expr(e) for e in ("sxy - sx * sy / n", "sxx - sx * sx / n", "syy - sy * sy / n"))
+    return within.join(whole.select("i", "j", (bits(F.try_divide(cov * cov, vx * vy)) + gain / math.log(2)).alias("mi")), ["i", "j"])
+
+
+def class_conditional_groups(products: DataFrame, x: list[int], y: list[int], cls: str = "label") -> DataFrame:
+    """``(cmi)``: the same between two groups of dimensions; a class's matrix has as many rows as there are pairs of dimensions."""
+    every = sorted({*x, *y})
+    place = {d: k for k, d in enumerate(every)}
+
+    def one(pdf):
+        import pandas as pd
+
+        m = np.zeros((len(every), len(every)))
+        for r in pdf.itertuples():
+            m[place[r.i], place[r.j]] = m[place[r.j], place[r.i]] = r.sxy
+        n = int(pdf["n"].iloc[0])
+        value = mutual_information(m / (n - 1), n, [place[d] for d in x], [place[d] for d in y])
+        return pd.DataFrame({"n": [n], "mi": [value]})
+
+    own = products.where(F.col("i").isin(every) & F.col("j").isin(every)).groupBy(cls).applyInPandas(one, "n long, mi double")
+    return own.agg((F.sum(F.col("n") * F.col("mi")) / F.sum("n")).alias("cmi"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from weftline.functions.numeric import probit_sql
+from weftline.functions.numeric import digamma_sql, probit_sql
 from weftline.functions.numeric import rounded as r6
-from weftline.operators import copula, lagged, raster
+from weftline.operators import copula, interaction, lagged, multivariate, raster, search
+
+from weftline.sources.stored import stored
 
 from . import tables as T
 
@@ -133,3 +137,96 @@ def active_triplets(spark, d):
     unit = lambda name: totals.select("win_id", F.col("unit").alias(name))
     every = unit("i").join(unit("j"), "win_id").where("i < j").join(unit("k"), "win_id").where("j < k")
     return lagged.without_silent(every, totals.where("n = 0")).select("win_id", "i", "j", "k")
+
+
+CMI_SQL = f"""WITH {T.ORDINAL}{T.PAIRS}{T.TRIPLETS}
+SELECT win_id, i, j, k, {', '.join(f"{R6.format(f'-0.5 * ln(1 - ({x} - {y} * {z}) * ({x} - {y} * {z}) / ((1 - {y} * {y}) * (1 - {z} * {z}))) / ln(2) - CAST({lagged.bias(N, 1)!r} AS DOUBLE)')} AS {name}" for x, y, z, name in (("a", "b", "c", "ij"), ("b", "a", "c", "ik"), ("c", "a", "b", "jk")))}
+FROM triplets"""
+
+
+@query("triplet_cmi", CMI_SQL)
+def triplet_cmi(spark, d):
+    """Information between two units of a triplet given the third, from partial correlations."""
+    rows = interaction.triplets(copula.pair_correlations(T.scores(spark, d)))
+    x = {c: F.col(c) for c in "abc"}
+    part = lambda r, s, t: F.try_divide((x[r] - x[s] * x[t]) * (x[r] - x[s] * x[t]), (1 - x[s] * x[s]) * (1 - x[t] * x[t]))
+    value = lambda p: r6(-0.5 * F.log(F.when(p < 1, 1 - p)) / math.log(2) - lagged.bias(N, 1))
+    return rows.select("win_id", "i", "j", "k", value(part("a", "b", "c")).alias("ij"), value(part("b", "a", "c")).alias("ik"), value(part("c", "a", "b")).alias("jk"))
+
+
+_PSI = "(" + digamma_sql("((n - 2) / CAST(2 AS DOUBLE))") + " - " + digamma_sql("((n - 1) / CAST(2 AS DOUBLE))") + ") / 2 / ln(2)"
+CLASS_SQL = f"""WITH raw AS (
+  SELECT vec_id, label, unnest(range({T.ROIS})) AS dim, unnest(embedding[1:{T.ROIS}]) AS v FROM embeddings
+), z AS MATERIALIZED (
+  SELECT vec_id, label, dim, {probit_sql("p")} AS z
+  FROM (SELECT *, row_number() OVER (PARTITION BY label, dim ORDER BY v, vec_id) / CAST(count(*) OVER (PARTITION BY label, dim) + 1 AS DOUBLE) AS p FROM raw)
+), own AS (
+  SELECT a.label, a.dim AS i, b.dim AS j, count(*) AS n, sum(a.z * b.z) AS sxy, sum(a.z * a.z) AS sxx, sum(b.z * b.z) AS syy
+  FROM z a JOIN z b ON a.vec_id = b.vec_id AND a.dim < b.dim GROUP BY 1, 2, 3
+), within AS (
+  SELECT i, j, sum(n * (-0.5 * ln(1 - sxy * sxy / (sxx * syy)) / ln(2) + {_PSI})) / sum(n) AS cmi FROM own GROUP BY 1, 2
+), pooled AS (
+  SELECT i, j, -0.5 * ln(1 - r * r) / ln(2) + {_PSI} AS mi
+  FROM (SELECT a.dim AS i, b.dim AS j, corr(a.z, b.z) AS r, count(*) AS n FROM z a JOIN z b ON a.vec_id = b.vec_id AND a.dim < b.dim GROUP BY 1, 2)
+)
+SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, {R6.format("cmi")} AS cmi, {R6.format("mi")} AS mi FROM within JOIN pooled USING (i, j)"""
+
+
+@query("class_cmi", CLASS_SQL)
+def class_cmi(spark, d):
+    """Information between dimensions given the class, and of the scores of all classes together."""
+    rows = T.read(spark, d, "embeddings").select(F.col("vec_id").alias("row"), "label", F.posexplode(F.slice("embedding", 1, T.ROIS)).alias("dim", "v"))
+    out = multivariate.class_conditional(multivariate.class_products(multivariate.class_scores(rows)))
+    return out.select("i", "j", r6(F.col("cmi")).alias("cmi"), r6(F.col("mi")).alias("mi"))
+
+
+LARGEST, BEST = 5, 5
+
+
+def _levels_sql(tag: str, pairs: str, by: str) -> str:
+    """Determinants of all groups of up to ``LARGEST`` units: ``{tag}sets(by.., members, ld)``."""
+    out = [f"""{tag}l0 AS MATERIALIZED (
+  SELECT {by}, CAST([] AS INT[]) AS s, i AS a, j AS b, r AS p, 0.0::DOUBLE AS ld FROM {pairs} UNION ALL
+  SELECT DISTINCT {by}, CAST([] AS INT[]), u, u, 1.0::DOUBLE, 0.0::DOUBLE FROM (SELECT {by}, i AS u FROM {pairs} UNION ALL SELECT {by}, j FROM {pairs}))"""]
+    for k in range(1, LARGEST):
+        last = f"{tag}l{k - 1}"
+        out.append(f"""{tag}l{k} AS MATERIALIZED (
+  SELECT {by}, list_append(s, c) AS s, a, b, p - pa * pb / pc AS p, ld + ln(pc) AS ld
+  FROM (SELECT {by}, s, a AS c, b AS a, p AS pa FROM {last} WHERE a < b) JOIN (SELECT {by}, s, a AS c, b, p AS pb FROM {last} WHERE a < b) USING ({by}, s, c)
+  JOIN (SELECT {by}, s, a AS c, p AS pc FROM {last} WHERE a = b) USING ({by}, s, c) JOIN {last} USING ({by}, s, a, b) WHERE a <= b)""")
+    sets = " UNION ALL ".join(f"SELECT {by}, list_append(s, a) AS members, ld + ln(p) AS ld FROM {tag}l{k} WHERE a = b" for k in range(LARGEST))
+    return ", ".join(out) + f", {tag}sets AS MATERIALIZED ({sets})"
+
+
+def _groups_sql(tag: str, by: str) -> str:
+    bias = " ".join(f"WHEN {k} THEN CAST({search.bias(k, N)!r} AS DOUBLE)" for k in range(3, LARGEST + 1))
+    return f"""{tag}groups AS MATERIALIZED (
+  SELECT {by}, members, len(members) AS size, ((len(members) - 2) * any_value(own) - sum(ld)) / (2 * ln(2)) + CASE len(members) {bias} END AS omega
+  FROM (SELECT {by}, members, ld AS own, unnest(list_transform(members, lambda x: list_filter(members, lambda y: y <> x))) AS face FROM {tag}sets WHERE len(members) >= 3) f
+  JOIN (SELECT {by}, members AS face, ld FROM {tag}sets) USING ({by}, face) GROUP BY {by}, members)"""
+
+
+SEARCH_SQL = f"""WITH {T.ORDINAL}{T.PAIRS}, {_levels_sql('o', 'pairs', 'win_id')}, {_groups_sql('o', 'win_id')}, top AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY win_id, size, sign ORDER BY abs(omega) DESC, members) AS rank
+    FROM (SELECT *, CASE WHEN omega > 0 THEN 1 WHEN omega < 0 THEN -1 END AS sign FROM ogroups) WHERE sign IS NOT NULL) WHERE rank <= {BEST}
+), draws AS (
+  SELECT w.i AS win_id, b.i AS rep, ((w.i * 7919 + b.i * 104729 + d.i * 1299709 + b.i * d.i * d.i) % 2147483647) % {N} AS t
+  FROM range({T.WINDOWS}) w(i), range({REPS}) b(i), range({N}) d(i)
+), drawn AS MATERIALIZED (
+  SELECT x.win_id, w.rep, x.unit AS i, y.unit AS j, corr(x.z, y.z) AS r FROM draws w JOIN scores x ON x.win_id = w.win_id AND x.t = w.t
+  JOIN scores y ON y.win_id = x.win_id AND y.t = x.t AND y.unit > x.unit GROUP BY 1, 2, 3, 4
+), {_levels_sql('b', 'drawn', 'win_id, rep')}, {_groups_sql('b', 'win_id, rep')}, intervals AS (
+  SELECT win_id, members, quantile_cont(g.omega, 0.025) AS low, quantile_cont(g.omega, 0.975) AS high FROM bgroups g JOIN top USING (win_id, members) GROUP BY 1, 2)
+SELECT win_id, CAST(size AS INT) AS size, array_to_string(members, ' ') AS members, sign, CAST(rank AS INT) AS rank, {R6.format("omega")} AS omega,
+  {R6.format("low")} AS low, {R6.format("high")} AS high, NOT (low <= 0 AND high >= 0) AS significant
+FROM top LEFT JOIN intervals USING (win_id, members)"""
+
+
+@query("omega_nplets", SEARCH_SQL)
+def omega_nplets(spark, d):
+    """Groups of three to five units: the strongest of each size and sign, with their bootstrap intervals."""
+    scores = stored(T.scores(spark, d), "scores")
+    out = search.strongest_groups(spark, scores, copula.pair_correlations(scores), N, T.WINDOWS, LARGEST, BEST, REPS)
+    text = F.array_join(F.transform("members", lambda x: x.cast("string")), " ")
+    return out.select("win_id", "size", text.alias("members"), "sign", "rank", *[r6(F.col(c)).alias(c) for c in ("omega", "low", "high")], "significant")

@@ -376,13 +376,6 @@ def _spins(spark, d):
     return raster.spins(T.full(spark, d))
 
 
-@query("omega_nplets")
-def omega_nplets(spark, d):
-    """Groups of three to five units: the strongest of each size and sign."""
-    z = T.scores(spark, d).select("win_id", "unit", "t", "z")
-    return interaction.top_groups(multivariate.nplets(z, 5), 5).withColumn("omega", r6(F.col("omega")))
-
-
 @query("boot_interval")
 def boot_interval(spark, d):
     """Percentile intervals of triplet interactions over block bootstrap replicates."""
