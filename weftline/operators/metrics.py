@@ -70,30 +70,42 @@ def log_loss(floor: float = 1e-9) -> Column:
     return F.avg(-F.when(F.col("y") == 1, F.log(p)).otherwise(F.log(1 - p)))
 
 
-def best_f1(df: DataFrame) -> DataFrame:
+def best_f1(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The threshold (p at or above it) with the largest F1, the lowest of equals, and its precision and recall."""
-    at = by_score(df).withColumn("f1", F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("all_pos")))
-    at = at.select("p", "f1", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide(F.col("tp"), F.col("all_pos")).alias("recall"))
-    return at.agg(F.max_by(F.struct("p", "f1", "precision", "recall"), F.struct(F.round("f1", 12), -F.col("p"))).alias("b")).select(F.col("b.p").alias("threshold"), "b.f1", "b.precision", "b.recall")
+    by = by or []
+    at = by_score(df, by).withColumn("f1", F.try_divide(2 * F.col("tp"), F.col("tp") + F.col("fp") + F.col("all_pos")))
+    at = at.select(*by, "p", "f1", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide(F.col("tp"), F.col("all_pos")).alias("recall"))
+    best = F.max_by(F.struct("p", "f1", "precision", "recall"), F.struct(F.round("f1", 12), -F.col("p"))).alias("b")
+    return (at.groupBy(*by).agg(best) if by else at.agg(best)).select(*by, F.col("b.p").alias("threshold"), "b.f1", "b.precision", "b.recall")
 
 
 #: Groups that may be dealt to folds, each of which is one row on the driver.
 MAX_GROUPS = 1_000_000
 
 
-def group_folds(df: DataFrame, group: str, folds: int) -> dict:
-    """Fold of each group: groups by size, largest first, each to the lightest fold; an error beyond ``MAX_GROUPS``."""
+def group_sizes(df: DataFrame, group: str) -> list[tuple]:
+    """``(group, rows)``, largest first; an error beyond ``MAX_GROUPS``."""
     sizes = df.groupBy(group).count().orderBy(F.desc("count"), group).limit(MAX_GROUPS + 1).collect()
     if len(sizes) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups to deal")
+    return [(row[group], row["count"]) for row in sizes]
+
+
+def dealt(sizes: list[tuple], folds: int) -> dict:
+    """Fold of each group of ``(group, rows)``, in order: each to the lightest fold, the first of equals."""
     load, out = [0] * min(folds, max(1, len(sizes))), {}
-    for row in sizes:
+    for group, rows in sizes:
         k = load.index(min(load))
-        out[row[group]] = k
-        load[k] += row["count"]
+        out[group] = k
+        load[k] += rows
     return out
 
 
+def group_folds(df: DataFrame, group: str, folds: int) -> dict:
+    """Fold of each group: groups by size, largest first, each to the lightest fold; an error beyond ``MAX_GROUPS``."""
+    return dealt(group_sizes(df, group), folds)
+
+
 def contiguous_fold(index: Column, n: int, folds: int, remainder: str = "first") -> Column:
     """Fold of a position: contiguous ranges, the remainder to the first folds, or bounds at ``floor(k n / folds)``."""
     if remainder == "first":

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import numeric
 from weftline.functions.numeric import rounded as r6
-from weftline.operators import chunks, copula, features, interaction, metrics, models, multivariate, raster, topology
+from weftline.operators import chunks, copula, features, interaction, metrics, models, multivariate, raster, selection, topology
 from weftline.sources.stored import stored
 from weftline.streaming import streams
 
@@ -316,7 +316,17 @@ def best_f1_threshold(spark, d):
     return metrics.best_f1(T.predictions(spark, d)).select(r6(F.col("threshold")).alias("threshold"), r6(F.col("f1")).alias("f1"))
 
 
-@query("group_kfold")
+KFOLD_SQL = f"""WITH RECURSIVE {T.PREDICTIONS}, sizes AS (
+  SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS k FROM preds GROUP BY source
+), deal(k, load, source, n, f) AS (
+  SELECT CAST(0 AS BIGINT), list_transform(range(least(5, (SELECT count(*) FROM sizes))), lambda x: CAST(0 AS BIGINT)), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION ALL
+  SELECT s.k, list_transform(d.load, lambda x, i: CASE WHEN i = d.low THEN x + s.n ELSE x END), s.source, s.n, d.low
+  FROM (SELECT k, load, list_position(load, list_min(load)) AS low FROM deal) d JOIN sizes s ON s.k = d.k + 1
+)
+SELECT CAST(f - 1 AS INT) AS fold, CAST(sum(n) AS BIGINT) AS n, count(*) AS groups FROM deal WHERE source IS NOT NULL GROUP BY f"""
+
+
+@query("group_kfold", KFOLD_SQL)
 def group_kfold(spark, d):
     preds = T.predictions(spark, d)
     fold = metrics.group_folds(preds, "source", 5)
@@ -452,6 +462,19 @@ def gamma_select(spark, d):
     return models.select_gamma(grid, quality, medians, baseline)
 
 
+DOC_FEATURES = ["n_chars", "n_words", "n_lines", "n_signs"]
+
+
+def _document_features(spark, d):
+    """``(doc_id, source, y, n_chars, n_words, n_lines, n_signs)`` of labelled documents."""
+    words, lines = F.size(F.split("text", r"\s+")), F.size(F.split("text", r"\n"))
+    docs = T.read(spark, d, "documents").select(
+        "doc_id", "source", F.col("n_chars").cast("double").alias("n_chars"), words.cast("double").alias("n_words"), lines.cast("double").alias("n_lines"),
+        F.length(F.regexp_replace("text", r"[\p{L}\s]", "")).cast("double").alias("n_signs"),
+    )
+    return docs.join(T.read(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("y")), "doc_id")
+
+
 @query("classifier_eval")
 def classifier_eval(spark, d):
     """Held-out scores of a logistic regression and a random forest on document features, folds by source."""
@@ -460,12 +483,10 @@ def classifier_eval(spark, d):
     from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    docs = T.read(spark, d, "documents").select("doc_id", "source", F.col("n_chars").cast("double").alias("n_chars"), F.length("text").alias("_n"), F.size(F.split("text", r"\s+")).cast("double").alias("n_words"), F.size(F.split("text", r"\n")).cast("double").alias("n_lines"), F.length(F.regexp_replace("text", r"[\p{L}\s]", "")).cast("double").alias("n_signs"))
-    rows = docs.drop("_n").join(T.read(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("label")), "doc_id")
+    rows = _document_features(spark, d).withColumnRenamed("y", "label")
     share = rows.agg(F.avg("label")).first()[0]
     rows = rows.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
-    test = F.crc32(F.col("source")) % 5 == 0
-    names = ["n_chars", "n_words", "n_lines", "n_signs"]
+    test, names = F.crc32(F.col("source")) % 5 == 0, DOC_FEATURES
     head = [Imputer(inputCols=names, outputCols=names, strategy="median"), VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)]
     out = None
     for name, last in (("logistic", LogisticRegression(weightCol="weight", regParam=0.01)), ("forest", RandomForestClassifier(weightCol="weight", numTrees=20, maxDepth=6, seed=1))):
@@ -476,6 +497,56 @@ def classifier_eval(spark, d):
     return out
 
 
+def _choice(spark, d):
+    rows = stored(_document_features(spark, d), "features")
+    return rows, selection.Choice(rows, "source", DOC_FEATURES)
+
+
+@query("nested_choice")
+def nested_choice(spark, d):
+    """Per outer fold of sources: the C chosen on validation sources, its threshold, and scores of the test sources."""
+    return _choice(spark, d)[1].tested(spark)
+
+
+@query("nested_coefficients")
+def nested_coefficients(spark, d):
+    return _choice(spark, d)[1].coefficients(spark)
+
+
+@query("nested_nulls")
+def nested_nulls(spark, d):
+    """The trained models on features dealt anew within sources, and on features of which two are missing."""
+    rows, choice = _choice(spark, d)
+    dealt = features.permuted_block(rows, DOC_FEATURES, ["source"], "doc_id", 1)
+    return choice.nulls({"permuted": dealt, "partial": rows.drop("n_lines", "n_signs")})
+
+
+MANIFEST_SQL = f"""WITH RECURSIVE rowz AS (SELECT doc_id, source FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL
+), sizes AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS k FROM rowz GROUP BY source
+), deal(k, load, source, f) AS (
+  SELECT CAST(0 AS BIGINT), list_transform(range(least(5, (SELECT count(*) FROM sizes))), lambda x: CAST(0 AS BIGINT)), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) UNION ALL
+  SELECT s.k, list_transform(d.load, lambda x, i: CASE WHEN i = d.low THEN x + s.n ELSE x END), s.source, d.low
+  FROM (SELECT k, load, list_position(load, list_min(load)) AS low FROM deal) d JOIN sizes s ON s.k = d.k + 1
+), outer_ AS MATERIALIZED (SELECT source, f - 1 AS fold FROM deal WHERE source IS NOT NULL),
+rest AS MATERIALIZED (
+  SELECT o.fold, s.source, s.n, row_number() OVER (PARTITION BY o.fold ORDER BY s.n DESC, s.source) AS k
+  FROM (SELECT DISTINCT fold FROM outer_) o JOIN (SELECT sizes.*, fold AS own FROM sizes JOIN outer_ USING (source)) s ON s.own <> o.fold
+), inner_(fold, k, load, source, f) AS (
+  SELECT fold, CAST(0 AS BIGINT), list_transform(range(least(5, count(*))), lambda x: CAST(0 AS BIGINT)), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT) FROM rest GROUP BY fold UNION ALL
+  SELECT d.fold, s.k, list_transform(d.load, lambda x, i: CASE WHEN i = d.low THEN x + s.n ELSE x END), s.source, d.low
+  FROM (SELECT fold, k, load, list_position(load, list_min(load)) AS low FROM inner_) d JOIN rest s ON s.fold = d.fold AND s.k = d.k + 1
+), roles AS (
+  SELECT fold, source, CASE WHEN f = 1 THEN 'val' ELSE 'train' END AS role FROM inner_ WHERE source IS NOT NULL UNION ALL SELECT fold, source, 'test' FROM outer_)
+SELECT CAST(fold AS INT) AS fold, role, doc_id FROM roles JOIN rowz USING (source)"""
+
+
+@query("split_manifest", MANIFEST_SQL)
+def split_manifest(spark, d):
+    """Which documents train, validate and test in each outer fold; a source is never on two sides."""
+    rows = T.read(spark, d, "documents").select("doc_id", "source").join(T.read(spark, d, "labels").where("quality IS NOT NULL").select("doc_id"), "doc_id")
+    return rows.join(F.broadcast(selection.roles(rows, "source")), "source").select("fold", "role", "doc_id")
+
+
 @query("stream_bins", "SELECT CAST(time_bucket(INTERVAL '6 hours', ts) AS TIMESTAMP) AS start, event_type, count(*) AS c FROM events GROUP BY 1, 2")
 def stream_bins(spark, d):
     """Tumbling counts over the event stream, read to the end in one go; the whole result is kept (complete mode)."""
