@@ -508,6 +508,37 @@ def test_links_connect_all_near_values(spark, cap):
     assert join([(r.a, r.b) for r in found]) == join(true)
 
 
+@pytest.mark.parametrize("piece", [1, 7, 40, 1 << 19])
+def test_long_texts_in_pieces(monkeypatch, piece):
+    """Shingles, fingerprints and sets of a text don't depend on how it is cut."""
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    texts = [t for t in TEXTS if t is not None] + ["a b", "\x20" * 50, "x" * 90 + " y z " + "w" * 90, " lead and trail  "]
+    for k in (1, 3, 5):
+        for t in texts:
+            raw = np.frombuffer(t.encode(), np.uint8)
+            tidy, s, e, _ = simhash.shingle_spans(textops.lower(raw), np.array([0, len(raw)]), k)
+            want = [tidy[i:j] for i, j in zip(s.tolist(), e.tolist())]
+            assert [x for part in simhash.long_shingles(raw, k) for x in part] == want
+            assert simhash.long_fingerprint(raw, k) == (simhash.fingerprint_column(pa.array([t]), k).view(np.uint64)[0] if want else 0)
+            h, low = nearcopies._long_set(raw, k)
+            _, _, _, sets = nearcopies.sketch(pa.array([t]), k)
+            assert h.view(np.int64).tolist() == sorted(sets[0].view(np.uint64).tolist()) or (h == np.sort(sets[0].view(np.uint64))).all()
+            assert len(low) == bool(want)
+
+
+def test_memory_of_a_very_long_text():
+    """A text of some megabytes is hashed in memory near its own size."""
+    import tracemalloc
+
+    column = pa.array(["".join(f"word{i % 977} " for i in range(900_000))])
+    for hashed in (lambda: simhash.fingerprint_column(column, 3), lambda: nearcopies.sketch(column, 5)):
+        tracemalloc.start()
+        hashed()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 12 * column.nbytes
+
+
 def test_popcount_distance_is_a_lower_bound(spark):
     rows = [(R.randrange(1 << 62), R.randrange(1 << 62)) for _ in range(50)]
     df = spark.createDataFrame(rows, "a long, b long")
@@ -600,6 +631,43 @@ def test_gradients_through_time():
         assert (sides[0] - sides[1]) / 2e-5 == pytest.approx(g[at], abs=1e-6)
 
 
+def test_probabilities_are_pooled_over_all_positions():
+    """The mean of each byte's distribution, one byte at a time, windows of 64 bytes apart."""
+    network = langid.Network(["de", "en", "fr"], seed=9)
+    texts = ["short", "é" * 50 + " mixed text", "".join(R.choice("abc dé") for _ in range(300)), "123 456", None, ""]
+    best, score = network.documents(pa.array(texts))
+    for n, t in enumerate(texts):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        if not any(c.isalpha() for c in t or ""):
+            assert (best[n], score[n]) == (-1, 0.0)
+            continue
+        total = np.zeros(3)
+        for a in range(0, len(raw), langid.WINDOW):
+            window = raw[a : a + langid.WINDOW]
+            states = []
+            for layer, order in ((network.left, window), (network.right, window[::-1])):
+                h, own = np.zeros((1, langid.HIDDEN), np.float32), []
+                for byte in order:
+                    h, _ = layer.step(np.array([byte]), h)
+                    own.append(h)
+                states.append(own)
+            for i in range(len(window)):
+                z = (states[0][i] @ network.w_left + states[1][len(window) - 1 - i] @ network.w_right + network.b)[0]
+                total += np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        mean = total / len(raw)
+        assert best[n] == mean.argmax() and abs(score[n] - mean.max()) < 1e-5
+
+
+def test_languages_of_any_number_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ALL", 6)
+    rows = [(None if i % 5 == 0 else i % 7, f"text {chr(97 + i % 26) * 9} {i}", f"l{i % 12:02}", i) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
+    network = langid.train(docs)
+    assert network.languages == sorted({f"l{i % 12:02}" for i in range(60) if zlib.crc32(str(rows[i][0] if rows[i][0] is not None else "").encode()) % 5})
+    got = langid.predict(docs, network).collect()
+    assert len(got) == 60 and all(r.lang_pred in network.languages and 0 <= r.score <= 1 for r in got)
+
+
 def test_language_on_held_out_rows(spark):
     kinds = {"aa": ["la", "ra", "ta"], "bb": ["ski", "pli", "tri"], "cc": ["og", "ug", "ng"]}
     rows = [(i, " ".join(R.choice(kinds[k]) + R.choice(kinds[k]) for _ in range(20)), k) for i, k in enumerate(list(kinds) * 40)]

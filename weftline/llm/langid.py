@@ -5,9 +5,9 @@ the left, another from the right; at every position both states give class
 probabilities, so every byte gets a label distribution. A document's
 probabilities are the means over all its positions. The network is trained in
 numpy by backpropagation through time on windows of a bounded sample of
-labelled documents (``SAMPLE_DOCS`` of each language, in the order of a hash);
-its size doesn't depend on the corpus. Every language that is learned can be
-predicted; a table with more than ``MAX_LANGUAGES`` is refused with an error.
+labelled documents (``SAMPLE_DOCS`` of each language, in the order of a hash; of many
+languages fewer each, ``SAMPLE_ALL`` in total, but one at least). Every language that is
+learned can be predicted, however many there are.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
 a text of any length is read whole; of equal probabilities the language that is
@@ -32,8 +32,8 @@ WINDOW = 64
 #: The training sample: so many documents of each language, and so many windows of each, at most.
 SAMPLE_DOCS = 400
 SAMPLE_WINDOWS = 8
-#: Different values of ``lang``; the driver holds the training windows of each.
-MAX_LANGUAGES = 1000
+#: Documents of the sample in total, of all languages, as long as that leaves one for each.
+SAMPLE_ALL = 400_000
 UNKNOWN = "und"
 _LETTER = np.zeros(256, bool)
 _LETTER[list(range(65, 91)) + list(range(97, 123))] = True
@@ -129,7 +129,8 @@ class Network:
         moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.parameters()]
         loss = 0.0
         for step in range(1, steps + 1):
-            pick = np.concatenate([rng.choice(x, max(1, batch // len(by))) for x in by])
+            here = by if len(by) <= batch else [by[k] for k in rng.choice(len(by), batch, replace=False)]
+            pick = np.concatenate([rng.choice(x, max(1, batch // len(here))) for x in here])
             loss, grads = self.gradients(windows[pick], labels[pick])
             size = np.sqrt(sum(float((g * g).sum()) for g in grads))
             scale = min(1.0, 1.0 / (size + 1e-9))
@@ -220,16 +221,15 @@ def train(docs: DataFrame, held_out_fold: int = 0, folds: int = 5) -> Network:
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(folds) != held_out_fold)).withColumn("h", F.xxhash64("text"))
     # Ranks are cut in each task before rows are shuffled, so a frequent language sends few rows.
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
-    chosen = known.select("lang", "doc_id", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE_DOCS).select("lang", "doc_id", "h")
-    picked = chosen.limit(SAMPLE_DOCS * (MAX_LANGUAGES + 1)).collect()
-    languages = sorted({r["lang"] for r in picked})
-    if not languages:
+    kinds = known.select("lang").distinct().count()
+    if not kinds:
         return Network([])
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_ALL // kinds))
+    picked = known.select("lang", "doc_id", "h").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each).select("lang", "doc_id", "h").collect()
+    languages = sorted({r["lang"] for r in picked})
     keys = docs.sparkSession.createDataFrame(sorted({(r["doc_id"], r["h"], r["lang"]) for r in picked}, key=str), "doc_id long, h long, lang string")
     same = known["doc_id"].eqNullSafe(keys["doc_id"]) & (known["h"] == keys["h"]) & (known["lang"] == keys["lang"])
-    rows = known.join(F.broadcast(keys), same, "left_semi").dropDuplicates(["doc_id", "h", "lang"])  # SAMPLE_DOCS a language
+    rows = known.join(F.broadcast(keys), same, "left_semi").dropDuplicates(["doc_id", "h", "lang"])  # the sample only
     found = rows.select("text", "lang").mapInArrow(_windows, "window binary, lang string").toArrow()
     index = {x: i for i, x in enumerate(sorted(languages))}
     network = Network(sorted(languages))

@@ -16,13 +16,14 @@ number of rows in proportion to the nodes. Either way no link is lost.
 
 Defined results: null and empty texts and texts of white space have fingerprint
 zero and link like others; fewer words than a shingle make one shingle; a text
-of any length is hashed whole; a bit set in exactly half of the hashes is 0; rows
+of any length is hashed whole, a long one piece by piece; a bit set in exactly half of the hashes is 0; rows
 that repeat are linked; a null ``doc_id`` counts for no component id. An empty
 table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -67,16 +68,62 @@ def shingle_spans(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[bytes,
     return tidy, s[order], e[order], r[order]
 
 
+#: Bytes of a text from which its shingles are taken in pieces of about as many.
+PIECE = 1 << 19
+
+
+def long_shingles(raw: np.ndarray, k: int, limit: int | None = None) -> Iterator[list[bytes]]:
+    """The k-word shingles of one long text, some at a time.
+
+    The text is cut at white space, and each piece begins with the last k - 1 words of the one before.
+    """
+    limit = limit or PIECE
+    carried, words_before, a = b"", 0, 0
+    while a < len(raw):
+        b = min(len(raw), a + limit)
+        while b < len(raw) and not _SPACE[raw[b]]:
+            ahead = np.flatnonzero(_SPACE[raw[b : b + limit]])
+            b = b + int(ahead[0]) if len(ahead) else min(len(raw), b + limit)
+        piece = np.frombuffer(carried + b" " + lower(raw[a:b]).tobytes(), np.uint8)
+        tidy, s, e, _ = shingle_spans(piece, np.array([0, len(piece)]), k)
+        a = b
+        held = tidy.split()
+        n = len(held)
+        if n >= k:
+            yield [tidy[i:j] for i, j in zip(s.tolist(), e.tolist())]
+            words_before, held = k, held[n - k + 1 :]
+        elif a == len(raw) and words_before < k and n:
+            yield [b" ".join(held)]
+        carried = b" ".join(held)
+
+
+def _hashes(shingles: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles))
+
+
+def long_fingerprint(raw: np.ndarray, k: int) -> np.uint64:
+    """The fingerprint of one long text: counts of set bits add up over its pieces."""
+    count, total = np.zeros(64, np.int64), 0
+    for shingles in long_shingles(raw, k):
+        bits = np.unpackbits(_hashes(shingles).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        count += bits.sum(axis=0, dtype=np.int64)
+        total += len(shingles)
+    return np.packbits(2 * count > total).view(">u8").astype(np.uint64)[0]
+
+
 def fingerprint_column(column: pa.Array, k: int) -> np.ndarray:
     """Signed 64-bit fingerprints of the texts of one batch."""
     out = np.zeros(len(column), np.uint64)
     offsets, data = column_bytes(column)
     for a, b in slices(offsets, 1 << 20):
         at = offsets[a : b + 1]
+        if at[-1] - at[0] > 1 << 20:
+            out[a] = long_fingerprint(data[at[0] : at[-1]], k)
+            continue
         tidy, s, e, row = shingle_spans(lower(data[at[0] : at[-1]]), at - at[0], k)
         if not len(s):
             continue
-        h = np.fromiter(map(xxhash.xxh64_intdigest, [tidy[i:j] for i, j in zip(s.tolist(), e.tolist())], repeat(SEED)), np.uint64, len(s))
+        h = _hashes([tidy[i:j] for i, j in zip(s.tolist(), e.tolist())])
         head = np.flatnonzero(np.diff(row, prepend=-1))
         size = np.diff(np.append(head, len(row)))
         bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
