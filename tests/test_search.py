@@ -97,3 +97,25 @@ def test_information_given_the_class_against_matrices(spark):
 def test_digamma_as_text(spark):
     rows = spark.range(1, 60).select((F.col("id") / 2).alias("x")).withColumn("d", F.expr(digamma_sql("x"))).collect()
     assert all(math.isclose(r.d, digamma(r.x), rel_tol=1e-12, abs_tol=1e-12) for r in rows)
+
+
+def test_mixture_of_shapes_against_one_machine(spark):
+    """Ranks, medians and deviations of each class, an odd and an even one, without ties and with."""
+    g = np.random.default_rng(6)
+    label = np.array([0] * 41 + [1] * 60 + [2] * 25)
+    x = np.stack([g.normal(size=126) + label, g.normal(size=126) * (1 + label), np.round(g.normal(size=126), 1)], axis=1)
+    rows = spark.createDataFrame([(n, int(label[n]), k, float(x[n, k])) for n in range(126) for k in range(3)], "row int, label int, roi int, v double").repartition(5)
+    got = {r.roi: r.mi for r in multivariate.mixture_of_shapes(multivariate.class_shapes(rows)).collect()}
+    assert all(abs(got[k] - multivariate.copula_mixture_information(x[:, [k]], label)) < 1e-9 for k in range(3))
+    model = {r.roi: r.mi for r in multivariate.model_information(rows).collect()}
+    from statistics import NormalDist
+
+    for k in range(3):
+        rank = np.argsort(np.argsort(x[:, k], kind="stable"), kind="stable") + 1
+        z = np.array([NormalDist().inv_cdf(r / 127) for r in rank])[:, None]
+        assert abs(model[k] - multivariate.class_information(z, label, False)) < 1e-9
+
+
+def test_mixture_of_a_class_without_spread_is_null(spark):
+    rows = spark.createDataFrame([(n, n % 2, 0, 1.0 if n % 2 else float(n)) for n in range(20)], "row int, label int, roi int, v double")
+    assert multivariate.mixture_of_shapes(multivariate.class_shapes(rows)).first().mi is None

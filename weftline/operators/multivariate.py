@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.numeric import digamma, digamma_sql, probit_sql
+from weftline.operators.ranking import ranked
+from weftline.sources.stored import stored
 
 
 def gaussian_entropy(cov: np.ndarray, n: int, bias: bool = True) -> float:
@@ -171,3 +173,59 @@ def class_conditional_groups(products: DataFrame, x: list[int], y: list[int], cl
 
     own = products.where(F.col("i").isin(every) & F.col("j").isin(every)).groupBy(cls).applyInPandas(one, "n long, mi double")
     return own.agg((F.sum(F.col("n") * F.col("mi")) / F.sum("n")).alias("cmi"))
+
+
+def model_information(rows: DataFrame, dim: str = "roi", cls: str = "label") -> DataFrame:
+    """``(dim, mi)`` in bits, without bias terms, between each dimension's normal scores and the class; rows ``(row, dim, cls, v)``.
+
+    Ranks are taken by ranges, so no task holds a dimension. Classes of one row are left out.
+    """
+    placed = ranked(rows, [dim], [F.col("v"), F.col("row")])
+    z = F.expr(probit_sql("_p"))
+    whole = rows.groupBy(dim).agg(F.count(F.lit(1)).alias("_all"))
+    scores = placed.join(whole, dim).withColumn("_p", F.col("rank") / (F.col("_all") + 1)).select(dim, cls, z.alias("z"))
+    own = stored(scores.groupBy(dim, cls).agg(F.count(F.lit(1)).alias("n"), F.sum("z").alias("s"), F.sum(F.col("z") * F.col("z")).alias("ss")), "moments")
+    spread = lambda n, s, ss: (ss - s * s / n) / (n - 1)
+    total = own.groupBy(dim).agg(F.sum("n").alias("tn"), F.sum("s").alias("ts"), F.sum("ss").alias("tss")).where("tn > 1")
+    total = total.select(dim, "tn", spread(F.col("tn"), F.col("ts"), F.col("tss")).alias("tv"))
+    part = own.where("n > 1").join(total, dim).withColumn("h", F.col("n") / F.col("tn") * 0.5 * F.log(spread(F.col("n"), F.col("s"), F.col("ss"))))
+    return part.groupBy(dim).agg(((0.5 * F.log(F.first("tv")) - F.sum("h")) / math.log(2)).alias("mi"))
+
+
+def _middle(placed: DataFrame, sizes: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """``(keys.., name)``: the exact median of ``value``, from its one or two middle ranks."""
+    at = placed.join(sizes, keys).where((F.col("rank") == F.floor((F.col("n") + 1) / 2)) | (F.col("rank") == F.floor((F.col("n") + 2) / 2)))
+    return at.groupBy(*keys).agg(F.avg(value).alias(name))
+
+
+def class_shapes(rows: DataFrame, dim: str = "roi", cls: str = "label") -> DataFrame:
+    """``(dim, cls, n, mean, sd)`` of each class's normal scores put back to its median and scaled median deviation.
+
+    Medians are values at their ranks and ranks are taken by ranges, so a class of any size is spread over tasks.
+    """
+    keys = [dim, cls]
+    sizes = stored(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    placed = stored(ranked(rows.select(*keys, "row", F.col("v").cast("double").alias("v")), keys, [F.col("v"), F.col("row")]), "placed")
+    median = stored(_middle(placed, sizes, keys, "v", "median"), "medians")
+    away = placed.join(median, keys).select(*keys, "row", F.abs(F.col("v") - F.col("median")).alias("a"))
+    deviation = _middle(ranked(away, keys, [F.col("a"), F.col("row")]), sizes, keys, "a", "mad")
+    z = placed.join(sizes, keys).withColumn("_p", F.col("rank") / (F.col("n") + 1)).select(*keys, F.expr(probit_sql("_p")).alias("z"))
+    moments = z.groupBy(*keys).agg(F.avg("z").alias("m"), F.stddev_samp("z").alias("s"))
+    width = F.col("mad") * MAD_SCALE
+    return sizes.join(median, keys).join(deviation, keys).join(moments, keys).select(*keys, "n", (F.col("median") + width * F.col("m")).alias("mean"), (width * F.col("s")).alias("sd"))
+
+
+def mixture_of_shapes(shapes: DataFrame, dim: str = "roi", cls: str = "label") -> DataFrame:
+    """``(dim, mi)`` in bits: the mixture's entropy at the sigma points of each class (one deviation to both sides) less the classes' own.
+
+    Null where a class has no spread.
+    """
+    whole = shapes.groupBy(dim).agg(F.sum("n").alias("_all"))
+    own = stored(shapes.join(whole, dim).withColumn("w", F.col("n") / F.col("_all")).select(dim, cls, "w", "mean", F.when(F.col("sd") > 0, F.col("sd")).alias("sd")), "shapes")
+    points = own.select(dim, F.col(cls).alias("k"), F.col("w").alias("wk"), F.explode(F.array(F.col("mean") - F.col("sd"), F.col("mean") + F.col("sd"))).alias("x"))
+    part = points.join(own, dim).withColumn("l", F.log("w") - F.pow((F.col("x") - F.col("mean")) / F.col("sd"), 2) / 2 - F.log("sd") - 0.5 * math.log(2 * math.pi))
+    top = part.groupBy(dim, "k", "wk", "x").agg(F.max("l").alias("top"), F.collect_list("l").alias("ls"))  # one value a class
+    density = F.col("top") + F.log(F.aggregate("ls", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top"))))
+    mixed = top.groupBy(dim).agg((-F.sum(F.col("wk") * density) / 2).alias("mixed"))
+    alone = own.groupBy(dim).agg(F.sum(F.col("w") * (F.log("sd") + 0.5 * math.log(2 * math.pi * math.e))).alias("alone"), F.count_if(F.col("sd").isNull()).alias("flat"))
+    return alone.join(mixed, dim, "left").select(dim, F.when(F.col("flat") == 0, (F.col("mixed") - F.col("alone")) / math.log(2)).alias("mi"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from weftline.operators import chunks, copula, features, interaction, metrics, m
 from weftline.sources.stored import stored
 from weftline.streaming import streams
 
+from . import signals
 from . import tables as T
 
 QUERIES: dict = {}
@@ -358,35 +358,57 @@ def combinadic_rank(spark, d):
     return t.select("i", "j", "k", numeric.combination_rank([F.col("i"), F.col("j"), F.col("k")]).alias("rank"))
 
 
-@query("gcmi_model_cd", f"WITH raw AS (SELECT vec_id, label, unnest(range({T.ROIS})) AS roi, unnest(embedding[1:{T.ROIS}]) AS v FROM embeddings), z AS (SELECT roi, label, {T.probit_sql('p')} AS z FROM (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY v, vec_id) / CAST(count(*) OVER (PARTITION BY roi) + 1 AS DOUBLE) AS p FROM raw)), tot AS (SELECT roi, count(*) AS n, var_samp(z) AS v FROM z GROUP BY roi), cls AS (SELECT roi, label, count(*) AS n, var_samp(z) AS v FROM z GROUP BY 1, 2) SELECT CAST(t.roi AS INT) AS roi, {R6.format('(0.5 * ln(any_value(t.v)) - sum(c.n / CAST(t.n AS DOUBLE) * 0.5 * ln(c.v))) / ln(2)')} AS mi FROM tot t JOIN cls c ON c.roi = t.roi WHERE c.n > 1 GROUP BY t.roi")
-def gcmi_model_cd(spark, d):
-    """Information between each dimension and the class, without bias terms (one variable: variances suffice)."""
-    rows = T.read(spark, d, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, T.ROIS)).alias("roi", "v"))
-    z = copula.normal_scores(rows, ["roi"], "v", "vec_id")
-    total = z.groupBy("roi").agg(F.count(F.lit(1)).alias("n"), F.var_samp("z").alias("v"))
-    own = z.groupBy("roi", "label").agg(F.count(F.lit(1)).alias("nc"), F.var_samp("z").alias("vc")).where("nc > 1")
-    part = F.sum(F.col("nc") / F.col("n") * 0.5 * F.log("vc"))
-    return own.join(total, "roi").groupBy("roi").agg(r6((0.5 * F.log(F.first("v")) - part) / math.log(2)).alias("mi"))
+MODEL_SQL = f"""WITH raw AS (
+  SELECT vec_id, label, unnest(range({T.ROIS})) AS roi, unnest(embedding[1:{T.ROIS}]) AS v FROM embeddings
+), z AS (
+  SELECT roi, label, {T.probit_sql('p')} AS z
+  FROM (SELECT *, row_number() OVER (PARTITION BY roi ORDER BY v, vec_id) / CAST(count(*) OVER (PARTITION BY roi) + 1 AS DOUBLE) AS p FROM raw)
+), tot AS (SELECT roi, count(*) AS n, var_samp(z) AS v FROM z GROUP BY roi), cls AS (SELECT roi, label, count(*) AS n, var_samp(z) AS v FROM z GROUP BY 1, 2)
+SELECT CAST(t.roi AS INT) AS roi, {R6.format('(0.5 * ln(any_value(t.v)) - sum(c.n / CAST(t.n AS DOUBLE) * 0.5 * ln(c.v))) / ln(2)')} AS mi
+FROM tot t JOIN cls c ON c.roi = t.roi WHERE c.n > 1 GROUP BY t.roi"""
 
 
-@query("mixture_mi")
-def mixture_mi(spark, d):
-    import pandas as pd
+def _by_class(spark, d):
+    return T.read(spark, d, "embeddings").select(F.col("vec_id").alias("row"), "label", F.posexplode(F.slice("embedding", 1, T.ROIS)).alias("roi", "v"))
 
-    rows = T.read(spark, d, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, T.ROIS)).alias("roi", "v"))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[["v"]].to_numpy(float)
-        return pd.DataFrame({"roi": [pdf.roi.iloc[0]], "mi": [multivariate.copula_mixture_information(x, pdf.label.to_numpy())]})
-
-    return rows.groupBy("roi").applyInPandas(one, "roi int, mi double")
+@query("gcmi_model_cd", MODEL_SQL)
+def gcmi_model_cd(spark, d):
+    """Information between each dimension and the class, without bias terms (one variable: variances suffice)."""
+    return multivariate.model_information(_by_class(spark, d)).withColumn("mi", r6(F.col("mi")))
+
+
+MIXTURE_SQL = f"""WITH raw AS (
+  SELECT vec_id, label, unnest(range({T.ROIS})) AS roi, CAST(unnest(embedding[1:{T.ROIS}]) AS DOUBLE) AS v FROM embeddings
+), placed AS (
+  SELECT *, {T.probit_sql('p')} AS z FROM (
+    SELECT *, row_number() OVER (PARTITION BY roi, label ORDER BY v, vec_id) / CAST(count(*) OVER (PARTITION BY roi, label) + 1 AS DOUBLE) AS p, median(v) OVER (PARTITION BY roi, label) AS med FROM raw)
+), shapes AS MATERIALIZED (
+  SELECT roi, label, n / sum(n) OVER (PARTITION BY roi) AS w, med + {multivariate.MAD_SCALE!r}::DOUBLE * mad * m AS mean, {multivariate.MAD_SCALE!r}::DOUBLE * mad * s AS sd
+  FROM (SELECT roi, label, count(*) AS n, any_value(med) AS med, median(abs(v - med)) AS mad, avg(z) AS m, stddev_samp(z) AS s FROM placed GROUP BY 1, 2)
+), points AS (SELECT roi, label, w, unnest([mean - sd, mean + sd]) AS x FROM shapes),
+dens AS (
+  SELECT p.roi, p.label, any_value(p.w) AS w, p.x, ln(sum(s.w * exp(-(((p.x - s.mean) / s.sd) ^ 2) / 2) / (s.sd * sqrt(2 * pi())))) AS l
+  FROM points p JOIN shapes s ON s.roi = p.roi GROUP BY p.roi, p.label, p.x
+), mixed AS (SELECT roi, -sum(w * l) / 2 AS h FROM dens GROUP BY 1), alone AS (SELECT roi, sum(w * (ln(sd) + 0.5 * ln(2 * pi() * exp(1)))) AS h FROM shapes GROUP BY 1)
+SELECT CAST(roi AS INT) AS roi, {R6.format("(mixed.h - alone.h) / ln(2)")} AS mi FROM mixed JOIN alone USING (roi)"""
+
+
+@query("mixture_mi", MIXTURE_SQL)
+def mixture_mi(spark, d):
+    return multivariate.mixture_of_shapes(multivariate.class_shapes(_by_class(spark, d))).withColumn("mi", r6(F.col("mi")))
 
 
 def _spins(spark, d):
     return raster.spins(T.full(spark, d))
 
 
-@query("boot_interval")
+INTERVAL_SQL = f"""WITH {signals.BOOT}, v AS (SELECT win_id, i, j, k, {signals.GC} AS o FROM bt), q AS (
+  SELECT CAST(win_id AS INT) AS win_id, i, j, k, quantile_cont(o, 0.025) AS low, quantile_cont(o, 0.975) AS high FROM v GROUP BY 1, 2, 3, 4)
+SELECT win_id, i, j, k, {R6.format("low")} AS low, {R6.format("high")} AS high, NOT (low <= 0 AND high >= 0) AS significant FROM q"""
+
+
+@query("boot_interval", INTERVAL_SQL)
 def boot_interval(spark, d):
     """Percentile intervals of triplet interactions over block bootstrap replicates."""
     drawn = interaction.bootstrap_pairs(interaction.block_sums(T.scores(spark, d), 10), interaction.picks(spark, T.WINDOWS, T.WIDTH // 10, 100))
