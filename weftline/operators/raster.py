@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.numeric import spin
+from weftline.operators.ranking import ranked
 
 
 def quantized(seconds: Column) -> Column:
@@ -19,12 +20,9 @@ def quantized(seconds: Column) -> Column:
 
 
 def pooled_units(events: DataFrame, original: str = "orig_id") -> DataFrame:
-    """``unit_id`` 0..N-1 in the order of the original ids; the distinct ids are ranked, not the events."""
-    from pyspark.sql import Window
-
-    ids = events.select(original).where(F.col(original).isNotNull()).distinct()
-    ids = ids.withColumn("unit_id", F.row_number().over(Window.orderBy(original)) - 1)
-    return events.join(ids, original)
+    """``unit_id`` 0..N-1 in the order of the original ids; the distinct ids are ranked, by ranges, not the events."""
+    ids = ranked(events.select(original).where(F.col(original).isNotNull()).distinct(), [], [F.col(original)], "unit_id")
+    return events.join(ids.withColumn("unit_id", (F.col("unit_id") - 1).cast("int")), original)
 
 
 def bin_of(t_ms: Column, bin_ms: float, n_bins: int) -> Column:

@@ -430,6 +430,13 @@ def ising_fit(spark, d):
     return models.ising_fit(_spins(spark, d))
 
 
+@query("ising_sparse")
+def ising_sparse(spark, d):
+    """Couplings with an elastic-net penalty: those that aren't needed are zero."""
+    fit = models.sparse_fit(_spins(spark, d), 0.1)
+    return fit.withColumns({"coupling": r6(F.col("coupling")), "field": r6(F.col("field"))})
+
+
 @query("gibbs_surrogate")
 def gibbs_surrogate(spark, d):
     return models.surrogates(models.ising_fit(_spins(spark, d)), T.WIDTH)

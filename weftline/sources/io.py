@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.ranking import ranked
 from weftline.operators.raster import quantized
 
 
@@ -62,6 +63,39 @@ def series_columns(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("n", F.posexplode(F.split("line", r"\s+")).alias("roi", "x")).select("roi", F.col("n").cast("int").alias("t"), F.col("x").cast("double").alias("v"))
 
 
+def coupled_map_rows(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, n, x, marker)``: the lines of coupled-map files as arrays; the first line of a file, and lines that begin with two zeros, are markers."""
+    x = F.transform(F.split("line", r"\s+"), lambda v: v.cast("double"))
+    rows = numbered_lines(spark, path).select("path", "n", x.alias("x"))
+    return rows.withColumn("marker", (F.col("n") == 0) | ((F.col("x")[0] == 0) & (F.col("x")[1] == 0)))
+
+
+def coupled_map_series(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, roi, t, v)`` of coupled-map files: markers are left out, as is the first column; times go on over frames."""
+    kept = ranked(coupled_map_rows(spark, path).where("NOT marker"), ["path"], [F.col("n")], "place")
+    cells = kept.select("path", (F.col("place") - 1).cast("int").alias("t"), F.posexplode(F.slice("x", F.lit(2), F.size("x") - 1)).alias("roi", "v"))
+    return cells.select("path", "roi", "t", "v")
+
+
+def coupled_map_frames(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, frame, start, eps)``: the last value of each marker, and the time that its frame's number times the length of the frame before gives."""
+    placed = ranked(coupled_map_rows(spark, path).where("marker"), ["path"], [F.col("n")], "place")
+    order = Window.partitionBy("path").orderBy("n")  # markers only
+    length = F.coalesce(F.col("n") - F.lag("n").over(order) - 1, F.lit(0))
+    return placed.select("path", (F.col("place") - 1).cast("int").alias("frame"), ((F.col("place") - 1) * length).cast("long").alias("start"), F.element_at("x", -1).alias("eps"))
+
+
+def write_any(df: DataFrame, path: str) -> None:
+    """A table by its extension (csv, tsv, parquet, json, orc); text kinds have a header, json is one record a line."""
+    kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if kind in ("csv", "tsv"):
+        df.write.mode("overwrite").csv(path, header=True, sep="\t" if kind == "tsv" else ",")
+    elif kind in ("parquet", "json", "orc"):
+        df.write.mode("overwrite").format(kind).save(path)
+    else:
+        raise ValueError(f"no writer for .{kind}")
+
+
 def boundary_text(spark: SparkSession, path: str) -> DataFrame:
     """``(col, dim, rows)`` of an ascii boundary matrix: a dimension and row indices a line, ``#`` comments."""
     kept = numbered_lines(spark, path, ~F.col("line").startswith("#"))
