@@ -12,7 +12,7 @@ all of a batch at once.
 Defined results: a null text is the empty text, which has no ids and decodes to
 the empty text; a text of any length is encoded whole; a special token's string
 in a text becomes its id; of equally frequent words the lexicon takes the first
-by their bytes; repeated rows are encoded each time; an empty table gives an empty result; other columns
+by their bytes; a null ``doc_id`` stays null; repeated rows are encoded each time; an empty table gives an empty result; other columns
 are ignored or passed through as stated.
 """
 

@@ -22,7 +22,8 @@ Only the equality classes of the ranks and the earliest start of each are kept
 (64-bit hashes of the strings): that is what removal needs of the order.
 
 Defined results: a null text is the empty text; texts shorter than ``SPAN``
-bytes lose nothing; documents order by ``doc_id``, rows that repeat a
+bytes lose nothing; a text of any length is cut whole, in one task, in memory of
+about 90 bytes a byte of it; documents order by ``doc_id``, rows that repeat a
 ``doc_id`` by text (equal rows: one of them counts as first and the others
 lose all that can be lost), a null ``doc_id`` first; an empty table gives an
 empty result; other columns are ignored.
