@@ -9,7 +9,7 @@ from .common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, label)`` for every node of ``edges(a, b)``; label: the smallest node reachable.
+    """``(node, label)`` for every node of ``edges(a, b)``, as a written table; label: the smallest node reachable.
 
     Each round takes the smallest label among a node and its neighbours and
     then the label of that label, so long chains close in few rounds. Rounds
@@ -35,4 +35,6 @@ def components(edges: DataFrame) -> DataFrame:
         discard(step)
         if not labels.where("label <> was").limit(1).count():
             discard(both)
-            return labels.select("node", "label")
+            found = labels.select("node", "label")
+            found._written_at = labels._written_at
+            return found
