@@ -350,3 +350,12 @@ def test_registered_interval_takes_all_replicates(spark, data, monkeypatch):
     monkeypatch.setattr(structure.interaction, "picks", lambda spark, windows, blocks, reps: taken.append(reps) or picks(spark, windows, blocks, reps))
     assert set(structure.boot_interval(spark, data).columns) >= {"win_id", "i", "j", "k", "low", "high"}
     assert taken == [100]
+
+
+def test_a_unit_without_variance_has_no_correlation(spark):
+    """Silent units of a drawn surrogate have equal mean ranks; their pairs and triplets are null, not an error."""
+    rows = [(0, u, t, c) for t in range(20) for u, c in enumerate((t % 3, (t * 7) % 5, 0))]
+    pairs = copula.pair_correlations(copula.normal_scores(spark.createDataFrame(rows, "win_id int, unit int, t int, c int"), ["win_id", "unit"], ties="average")).cache()
+    got = {(r.i, r.j): r.r for r in pairs.collect()}
+    assert got[0, 2] is None and got[1, 2] is None and -1 < got[0, 1] < 1
+    assert [r.omega for r in interaction.omega(pairs, 20).collect()] == [None]

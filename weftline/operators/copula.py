@@ -25,8 +25,9 @@ def normal_scores(values: DataFrame, keys: list[str], value: str = "c", time: st
 
 
 def pair_correlations(scores: DataFrame, value: str = "z", by: list[str] | None = None) -> DataFrame:
-    """``(by.., i, j, n, r)`` for i < j: one equi-join on window and time, then partial sums."""
+    """``(by.., i, j, n, r)`` for i < j: one equi-join on window and time, then partial sums; r is null where a unit doesn't vary."""
     by = by or ["win_id"]
     x = scores.select(*by, "t", F.col("unit").alias("i"), F.col(value).alias("x"))
     y = scores.select(*by, "t", F.col("unit").alias("j"), F.col(value).alias("y"))
-    return x.join(y, [*by, "t"]).where("i < j").groupBy(*by, "i", "j").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
+    r = F.try_divide(F.covar_pop("x", "y"), F.sqrt(F.var_pop("x") * F.var_pop("y")))
+    return x.join(y, [*by, "t"]).where("i < j").groupBy(*by, "i", "j").agg(F.count(F.lit(1)).alias("n"), r.alias("r"))
