@@ -359,3 +359,17 @@ def test_a_unit_without_variance_has_no_correlation(spark):
     got = {(r.i, r.j): r.r for r in pairs.collect()}
     assert got[0, 2] is None and got[1, 2] is None and -1 < got[0, 1] < 1
     assert [r.omega for r in interaction.omega(pairs, 20).collect()] == [None]
+
+
+def test_indicators_make_no_row_for_a_direction(spark):
+    """One exchange by frame and kind; distances as by sorted projections in numpy."""
+    g = np.random.default_rng(3)
+    points = [(t, float(b), float(b + x)) for t in range(3) for b, x in zip(g.normal(size=12), g.random(12))]
+    out = topology.diagram_indicators(spark.createDataFrame(points, "t long, birth double, death double"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+    angles = np.arange(50) * np.pi / 50 - np.pi / 2
+    for r in out.where("kind = 'all'").collect():
+        b, d = np.array([p[1:] for p in points if p[0] == r.t]).T
+        want = np.mean([np.abs(np.sort(b * np.cos(a) + d * np.sin(a)) - np.sort((b + d) / 2 * (np.cos(a) + np.sin(a)))).sum() for a in angles])
+        assert r.distance == pytest.approx(want)

@@ -263,21 +263,23 @@ def diagram_indicators(diagram: DataFrame, directions: int = 50) -> DataFrame:
 
     Fully coherent points have birth and death below zero (weights above it),
     transitions change sign, fully decoherent points lie above zero; a birth of
-    zero is in none. Endless deaths are to be ``cleaned`` first.
+    zero is in none. Endless deaths are to be ``cleaned`` first. Points are gathered
+    once a frame and projected in its row, so no row is made for a direction.
     """
     finite = diagram.where(F.col("death") != float("inf"))
-    theta = F.explode(F.sequence(F.lit(0), F.lit(directions - 1))).alias("d")
-    angle = F.col("d") * F.lit(3.141592653589793) / directions - F.lit(3.141592653589793 / 2)
-    mid = (F.col("birth") + F.col("death")) / 2
-    spread = finite.select("t", "birth", "death", theta)
-    on, off = F.col("birth") * F.cos(angle) + F.col("death") * F.sin(angle), mid * F.cos(angle) + mid * F.sin(angle)
     kind = F.when((F.col("birth") < 0) & (F.col("death") <= 0), "fc").when((F.col("birth") < 0) & (F.col("death") > 0), "ct").when(F.col("birth") > 0, "fd")
-    lists = spread.select("t", "d", kind.alias("kind"), on.alias("x"), off.alias("y"))
-    lists = lists.unionByName(lists.withColumn("kind", F.lit("all"))).where("kind IS NOT NULL")
-    by = Window.partitionBy("t", "kind", "d")
-    x = lists.select("t", "kind", "d", "x", F.row_number().over(by.orderBy("x")).alias("n"))
-    y = lists.select("t", "kind", "d", "y", F.row_number().over(by.orderBy("y")).alias("n"))
-    return x.join(y, ["t", "kind", "d", "n"]).groupBy("t", "kind").agg((F.sum(F.abs(F.col("x") - F.col("y"))) / directions).alias("distance"))
+    kinds = F.explode(F.array_compact(F.array(F.lit("all"), kind))).alias("kind")
+    points = finite.select("t", kinds, F.struct("birth", "death").alias("p")).groupBy("t", "kind").agg(F.collect_list("p").alias("points"))
+
+    def gap(d):
+        angle = d * F.lit(3.141592653589793) / directions - F.lit(3.141592653589793 / 2)
+        mid = lambda p: (p["birth"] + p["death"]) / 2
+        on = F.array_sort(F.transform("points", lambda p: p["birth"] * F.cos(angle) + p["death"] * F.sin(angle)))
+        off = F.array_sort(F.transform("points", lambda p: mid(p) * F.cos(angle) + mid(p) * F.sin(angle)))
+        return F.aggregate(F.zip_with(on, off, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x)
+
+    gaps = F.transform(F.sequence(F.lit(0), F.lit(directions - 1)), gap)
+    return points.select("t", "kind", (F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / directions).alias("distance"))
 
 
 #: Coordinates that the grid of ``rips_edges`` is laid over; a cell has 3 ** GRID neighbours.
