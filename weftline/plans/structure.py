@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import numeric
 from weftline.functions.numeric import rounded as r6
-from weftline.operators import chunks, copula, features, interaction, metrics, models, multivariate, raster, selection, topology
+from weftline.operators import chunks, copula, features, interaction, metrics, models, multivariate, raster, rips, selection, topology
 from weftline.sources.stored import stored
 from weftline.streaming import streams
 
@@ -212,9 +212,8 @@ def rips_complex(spark, d):
 
 @query("rips_persistence")
 def rips_persistence(spark, d):
-    """Loops of the Rips complex of all points: one filtration, reduced in blocks."""
-    whole = stored(topology.clique_filtration(topology.rips_complex(_points(spark, d), 4 * REACH)), "complex")
-    return _rounded(chunks.persistence(whole)).drop("t")
+    """Loops of the Rips complex of all points: one filtration, from the links of its edges."""
+    return _rounded(rips.loops(_points(spark, d), 4 * REACH))
 
 
 def _boundary(spark, d):
