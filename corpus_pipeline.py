@@ -23,8 +23,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import bpe, decontaminate, nearcopies, pii, quality
+from weftline.llm import bpe, decontaminate, nearcopies, pii, quality, simhash
 from weftline.llm.common import columns_of, discard, free_name, key, small_or_shuffled, table, text_hash, written
+from weftline.llm.graph import components
 
 #: Shingles of the near-duplicate stage.
 SHINGLE_WORDS = 5
@@ -38,13 +39,37 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model, name).where(F.col(name) >= 0.5).select(*columns_of(docs))
 
 
+def near_groups(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text_hash, label)`` of every document, as a written table; a group has one label.
+
+    Texts are linked by their SimHash fingerprints, as op9 links them (2 of 64 bits at most), and by a shingle
+    similarity of at least ``SIMILARITY``, which such fingerprints miss; a group is what is reachable over either.
+    """
+    copies = nearcopies.near_copies(docs, SHINGLE_WORDS, SIMILARITY)
+    # Texts go by their hash, as ids may be null or repeat.
+    prints = simhash.near_duplicates(docs.select(text_hash().alias("doc_id"), "text"))
+    prints = written(prints.select(F.col("doc_id").alias("text_hash"), "component_id").distinct(), "prints")
+    both = copies.select("text_hash", "label").distinct().join(prints, "text_hash").groupBy("component_id", "label").agg(F.lit(1).alias("one"))
+    both = written(both.select("component_id", "label"), "both")
+    several = both.groupBy("component_id").agg(F.min("label").alias("a"), F.max("label").alias("last")).where("a <> last").select("component_id", "a")
+    links = written(both.join(several, "component_id").where("label <> a").select("a", F.col("label").alias("b")).distinct(), "links")
+    discard(prints, both)
+    if not links.limit(1).count():
+        discard(links)
+        return copies
+    labels = components(links)
+    joined = labels.select(F.col("node").alias("label"), F.col("label").alias("group"))
+    out = written(copies.join(joined, "label", "left").select("doc_id", "text_hash", F.coalesce("group", "label").alias("label")), "groups")
+    discard(copies, links, labels)
+    return out
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each near-duplicate group, as the docstring of the module says.
 
-    Groups are texts reachable over pairs with a shingle similarity of at least ``SIMILARITY``.
-    Ids and hashes of texts decide; whole rows are only compared where both repeat.
+    Groups are those of ``near_groups``. Ids and hashes of texts decide; whole rows are only compared where both repeat.
     """
-    copies = nearcopies.near_copies(docs, SHINGLE_WORDS, SIMILARITY)
+    copies = near_groups(docs)
     found = copies.withColumn("place", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash"))
     groups = found.groupBy("label").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("label", "first")
     groups = written(groups, "groups")

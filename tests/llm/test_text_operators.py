@@ -713,3 +713,17 @@ def test_pipeline_stages(spark, tmp_path):
     ids = {r.doc_id for r in held.select("doc_id").collect()}
     assert 900 not in ids and 901 in ids and not ids & set(range(125, 180))
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == ids
+
+
+def test_pipeline_links_texts_by_their_fingerprints(spark):
+    """Two texts of one op9 component with few shingles in common, and a near copy of one of them, are one group."""
+    import corpus_pipeline
+    from weftline.llm import simhash
+
+    chorus = "alpha beta gamma delta epsilon zeta eta " * 60
+    tail = lambda sign: " ".join(f"{sign}{n}" for n in range(60))
+    texts = [chorus + tail("a"), chorus + tail("b"), chorus + tail("b") + " end", tail("c"), None, ""]
+    docs = frame(spark, texts)
+    prints = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert prints[0] == prints[1] == 0 and prints[3] == 3
+    assert {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect()} == {0, 3, 4}
