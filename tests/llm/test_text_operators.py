@@ -556,6 +556,43 @@ def test_components_of_a_chain(spark):
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100}
 
 
+def test_components_read_the_edges_within_a_group_once(spark, monkeypatch):
+    """A crowded group beside a chain that takes several rounds; then links are added to what is known."""
+    r, rows = random.Random(5), []
+
+    def counted(df, label):
+        out = common.written(df, label)
+        rows.append(out.count()) if label == "edges" else None
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    crowd = {(min(p), max(p)) for p in (r.sample(range(1000, 1100), 2) for _ in range(2000))}
+    chain = [(i, i + 1) for i in range(40)]
+    labels = graph.components(spark.createDataFrame([*crowd, *chain, (7, 7)], "a long, b long"))
+    assert dict(map(tuple, labels.collect())) == {i: 0 for i in range(41)} | {i: 1000 for i in range(1000, 1100)}
+    assert rows[0] == 2 * (len(crowd) + len(chain)) and len(rows) > 2 and sum(rows[1:]) < 200
+    rows.clear()
+    more = spark.createDataFrame([(1001, 900), (1050, 900), (1002, 1003), (2000, 2001), (2001, 2002)], "a long, b long")
+    got = dict(map(tuple, graph.extended(labels, more).collect()))
+    assert got == {i: 0 for i in range(41)} | {i: 900 for i in [900, *range(1000, 1100)]} | {i: 2000 for i in range(2000, 2003)}
+    assert rows[0] == 2 * 3
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_against_union(spark, seed):
+    r = random.Random(seed)
+    edges = [(r.randrange(60), r.randrange(60)) for _ in range(20 + 15 * seed)]
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    half = len(edges) // 2
+    first = graph.components(spark.createDataFrame(edges[:half], "a long, b long"))
+    assert dict(map(tuple, graph.extended(first, spark.createDataFrame(edges[half:], "a long, b long")).collect())) == label
+    assert dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect())) == label
+
+
 def shingles_brute(text, k=5):
     words = lowered(text).split()
     return {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()

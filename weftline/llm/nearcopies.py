@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, doc_text, small_or_shuffled, written
-from .graph import components
+from .graph import components, extended
 from .simhash import SEED, _hashes, long_shingles, shingle_spans
 from .textops import column_bytes, giving_back, lower, slices
 
@@ -270,17 +270,15 @@ def linked(docs: DataFrame, nodes: DataFrame, k: int = 5, similarity: float = SI
         more = written(star.where(F.col("common") / (F.col("all") + F.col("size") - F.col("common")) >= similarity).where("a <> b").select("a", "b"), "links")
         used += [own, least, star, more]
         if more.limit(1).count():
-            discard(labels, placed, split)
-            links = links.unionByName(more)
-            labels = components(links)
+            discard(placed, split)
+            labels = extended(labels, more)
             placed, split = _split(met_again, labels)
         seen = star.withColumnRenamed("b", "node").join(own.select("node", "own"), "node")
         rest = written(_across(placed.join(split, "key").join(least, "key").join(seen, ["a", "node"]), similarity), "pairs")
         more = written(verified(rest, sets, similarity), "links")
         used += [rest, more]
         if more.limit(1).count():
-            discard(labels)
-            labels = components(links.unionByName(more))
+            labels = extended(labels, more)
     discard(placed, split, *used)
     return labels
 
