@@ -21,38 +21,53 @@ def _between(edges: DataFrame, labels: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``(node, label)`` for every node of ``edges(a, b)``, as a written table; label: the smallest node reachable.
 
-    Each round takes the first node among a node and its neighbours, in an order by hash that changes with the round
-    (in the order of numbers a chain of rising ones would take a round for every two), and
-    then the first of that one's. What is left are the links between the nodes that
-    were taken, so later rounds don't read the edges within a group again. Rounds
+    Each node first goes to the smallest one among its neighbours' and its own,
+    and to that one's; only the links between the nodes that are left are labelled in rounds,
+    so rounds don't read the many edges within a crowded group again.
+    """
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("low"))
+    hop = written(low.join(low.select(F.col("node").alias("low"), F.col("low").alias("label")), "low").select("node", "label"), "hop")
+    between = written(_between(both, hop), "edges")
+    discard(both)
+    if not between.limit(1).count():
+        discard(between)
+        return hop
+    labels = _rounds(between)
+    out = _renamed(hop, labels)
+    discard(labels)
+    return out
+
+
+def _rounds(both: DataFrame) -> DataFrame:
+    """``components`` of a written table that has each edge both ways, in place of it.
+
+    Each round takes the smallest label among a node and its neighbours and
+    then the label of that label, so long chains close in few rounds. Rounds
     are written tables in the shared folder, and a round's tables are deleted when
     the next one is written; only a count comes to the driver.
     Minima combine before the shuffle, and the jump is an inner join of two
     plain tables, which adaptive execution splits where one label is frequent.
     """
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    hops: list[DataFrame] = []
-    n = 0
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
     while True:
-        place = lambda c: F.struct(F.xxhash64(c, F.lit(n)).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
-        near = both.groupBy(F.col("a").alias("node")).agg(F.min(place("b")).alias("m"))
-        first = near.select("node", F.least(place("node"), "m")["node"].alias("first"))
-        hop = written(first.join(first.select(F.col("node").alias("first"), F.col("first").alias("label")), "first").select("node", "label"), "hop")
-        following = written(_between(both, hop), "edges")
-        discard(both)
-        both, n = following, n + 1
-        hops.append(hop)
-        if not both.limit(1).count():
-            break
-    # From the last round back, as the tables of rounds get smaller.
-    last = hops[-1]
-    for hop in hops[-2::-1]:
-        last = _named(hop, last)
-    found = written(last, "labels")
-    smallest = written(found.groupBy(F.col("label").alias("node")).agg(F.min("node").alias("label")), "smallest")
-    labels = _renamed(found, smallest)
-    discard(both, smallest, *hops)
-    return labels
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(False).alias("own"))
+        own = labels.select("node", "label", F.lit(True).alias("own"))
+        step = (
+            near.unionByName(own)
+            .groupBy("node")
+            .agg(F.min("label").alias("label"), F.max(F.when(F.col("own"), F.col("label"))).alias("was"))
+        )
+        step = written(step, "labels")
+        discard(labels)
+        jump = step.join(step.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.col("next").alias("label"), "was")
+        labels = written(jump, "labels")
+        discard(step)
+        if not labels.where("label <> was").limit(1).count():
+            discard(both)
+            found = labels.select("node", "label")
+            found._written_at = labels._written_at
+            return found
 
 
 def _named(labels: DataFrame, hop: DataFrame) -> DataFrame:
