@@ -12,15 +12,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.numeric import coherence_sign
+from weftline.functions.numeric import coherence_sign, exact_moments
 from weftline.operators import rips
 from weftline.operators.ranking import ranked
 
 
+def _scored(rows: DataFrame, keys: list[str], x: str, top: str) -> DataFrame:
+    """``rows`` with ``z``: ``x`` less its group's mean, by the population deviation (null if constant).
+
+    Both are exact sums (``top`` bounds a group's absolute values): groups of the same values have the same scores, and neither
+    ties nor rounded digits hang on the order of rows.
+    """
+    m, s = exact_moments(F.col(x), F.col(top))
+    stats = rows.groupBy(*keys).agg(m.alias("_m"), s.alias("_s"))
+    return rows.join(stats, keys).withColumn("z", (F.col(x) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0)))
+
+
 def standardized(series: DataFrame) -> DataFrame:
-    """``(roi, t, v)`` with each roi's mean taken off and divided by its population deviation (null if constant)."""
-    stats = series.groupBy("roi").agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
-    return series.join(stats, "roi").select("roi", "t", ((F.col("v") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).alias("v"))
+    """``(roi, t, v, top)`` with each roi's mean taken off and divided by its population deviation (null if constant); no absolute value exceeds ``top``."""
+    ends = series.groupBy("roi").agg(F.min("v").alias("_low"), (F.max("v") - F.min("v")).alias("_range"))
+    rows = series.join(ends, "roi").withColumn("v", F.col("v") - F.col("_low"))
+    far = F.greatest(F.col("_m"), F.col("_range") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
+    return _scored(rows, ["roi"], "v", "_range").select("roi", "t", F.col("z").alias("v"), far.alias("top"))
 
 
 def shuffled(series: DataFrame, seed: int = 0) -> DataFrame:
@@ -32,27 +45,25 @@ def shuffled(series: DataFrame, seed: int = 0) -> DataFrame:
     return times.join(values, ["roi", "_n"]).select("roi", "t", "v")
 
 
-def _scored(products: DataFrame, keys: list[str]) -> DataFrame:
-    stats = products.groupBy(*keys).agg(F.avg("p").alias("_m"), F.stddev_pop("p").alias("_s"))
-    return products.join(stats, keys).withColumn("z", (F.col("p") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))).drop("_m", "_s", "p")
+def _side(series: DataFrame, key: str) -> DataFrame:
+    """``series`` under the names of one side; a series that isn't ``standardized`` gets its bounds here."""
+    if "top" not in series.columns:
+        series = series.join(series.groupBy("roi").agg(F.max(F.abs("v")).alias("top")), "roi")
+    return series.select("t", F.col("roi").alias(key), F.col("v").alias(f"v{key}"), F.col("top").alias(f"m{key}"))
 
 
 def edges(series: DataFrame) -> DataFrame:
     """``(t, i, j, z, w)``: z-scored products of pairs over time; w is +|z| for coherent signs, else -|z|."""
-    x = series.select("t", F.col("roi").alias("i"), F.col("v").alias("vi"))
-    y = series.select("t", F.col("roi").alias("j"), F.col("v").alias("vj"))
-    both = x.join(y, "t").where("i < j").withColumn("p", F.col("vi") * F.col("vj"))
-    return _scored(both, ["i", "j"]).select("t", "i", "j", "z", (coherence_sign(F.col("vi"), F.col("vj")) * F.abs("z")).alias("w"))
+    both = _side(series, "i").join(_side(series, "j"), "t").where("i < j").withColumns({"p": F.col("vi") * F.col("vj"), "top": F.col("mi") * F.col("mj")})
+    return _scored(both, ["i", "j"], "p", "top").select("t", "i", "j", "z", (coherence_sign(F.col("vi"), F.col("vj")) * F.abs("z")).alias("w"))
 
 
 def triangles(series: DataFrame) -> DataFrame:
     """``(t, i, j, k, z, w)`` of triplets, likewise."""
-    x = series.select("t", F.col("roi").alias("i"), F.col("v").alias("vi"))
-    y = series.select("t", F.col("roi").alias("j"), F.col("v").alias("vj"))
-    z = series.select("t", F.col("roi").alias("k"), F.col("v").alias("vk"))
-    all3 = x.join(y, "t").where("i < j").join(z, "t").where("j < k").withColumn("p", F.col("vi") * F.col("vj") * F.col("vk"))
+    all3 = _side(series, "i").join(_side(series, "j"), "t").where("i < j").join(_side(series, "k"), "t").where("j < k")
+    all3 = all3.withColumns({"p": F.col("vi") * F.col("vj") * F.col("vk"), "top": F.col("mi") * F.col("mj") * F.col("mk")})
     signed = coherence_sign(F.col("vi"), F.col("vj"), F.col("vk")) * F.abs("z")
-    return _scored(all3, ["i", "j", "k"]).select("t", "i", "j", "k", "z", signed.alias("w"))
+    return _scored(all3, ["i", "j", "k"], "p", "top").select("t", "i", "j", "k", "z", signed.alias("w"))
 
 
 def with_faces(edge: DataFrame, triangle: DataFrame) -> DataFrame:
@@ -156,6 +167,8 @@ class Frame:
         at = lambda x: np.searchsorted(self.nodes, x)
         self.edges = list(zip(i[edge].tolist(), j[edge].tolist()))
         self.edge_w, self.edge_arrival, self.tri_w, self.tri_arrival = w[edge], arrival[edge], w[tri], arrival[tri]
+        weightless = table["w"].is_null().to_numpy()[order][edge]
+        self.edge_value = [None if none else -x for x, none in zip(self.edge_w.tolist(), weightless.tolist())]
         self.top = float(table["node_weight"][0].as_py()) if "node_weight" in table.column_names else 0.0
         self.ends = [(1 << a) | (1 << b) for a, b in zip(at(i[edge]).tolist(), at(j[edge]).tolist())]
         bit = {e: 1 << n for n, e in enumerate(self.edges)}
@@ -198,13 +211,13 @@ def persistence(kept: DataFrame, dim: int | tuple[int, ...] = 1, weights: DataFr
         if 0 in dims:
             for n in range(len(frame.nodes)):
                 c = joined[n][0] if n in joined else None
-                out.append((0, -frame.top + 0.0, float("inf") if c is None else -frame.edge_w[c], 0, -1 if c is None else frame.edge_arrival[c]))
+                out.append((0, -frame.top + 0.0, float("inf") if c is None else frame.edge_value[c], 0, -1 if c is None else frame.edge_arrival[c]))
         if 1 in dims:
             negative = {c for c, _ in joined.values()}
             for e in range(len(frame.edges)):
                 c = killed[e][0] if e in killed else None
                 if e not in negative and (c is None or frame.tri_arrival[c] != frame.edge_arrival[e]):
-                    out.append((1, -frame.edge_w[e], float("inf") if c is None else -frame.tri_w[c], frame.edge_arrival[e], -1 if c is None else frame.tri_arrival[c]))
+                    out.append((1, frame.edge_value[e], float("inf") if c is None else -frame.tri_w[c], frame.edge_arrival[e], -1 if c is None else frame.tri_arrival[c]))
         columns = [[frame.t] * len(out), *([r[n] for r in out] for n in range(5))]
         kinds = (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.int64())
         return pa.Table.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["t", "dim", "birth", "death", "birth_arrival", "death_arrival"])
