@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import topology
-from weftline.plans import catalog
+from weftline.plans import catalog, tables
 
 NAMES = ("t", "dim", "birth", "death", "birth_arrival", "death_arrival")
 
@@ -53,3 +53,19 @@ def test_scores_are_the_same_in_any_order(spark):
         assert np.allclose([got[c, n] for n in range(500)], (own - own.mean()) / own.std(), atol=1e-9)
     same = topology.standardized(df.withColumn("v", F.lit(0.1)))
     assert {r.v for r in same.collect()} == {None}
+
+
+def test_scores_keep_their_digits_beside_peaks(spark, tmp_path):
+    """One peak in each dimension, at different times: products stay far below the product of the largest values."""
+    own = np.random.default_rng(5).normal(size=(3000, 3)).astype("float32")
+    for c in range(3):
+        own[10 + c, c] = 1e6
+    pq.write_table(pa.table({"vec_id": pa.array(range(3000), pa.int64()), "embedding": pa.array(own.tolist(), pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    v = own.astype(float)
+    p = ((v - v.mean(axis=0)) / v.std(axis=0)).prod(axis=1)
+    want = (p - p.mean()) / p.std()
+    query = {r.t: r.z for r in topology.triangles(topology.standardized(tables.series(spark, str(tmp_path)))).collect()}
+    text = f"WITH {tables.EXACT_TRIANGLES} SELECT t, z FROM tri".replace("FROM embeddings", f"FROM '{tmp_path}/embeddings.parquet'")
+    sql = dict(duckdb.connect().sql(text).fetchall())
+    assert query == sql
+    assert np.allclose([query[t] for t in range(3000)], want, rtol=1e-9, atol=1e-9)

@@ -143,8 +143,8 @@ def _unit(top: Column) -> Column:
 def exact_moments(x: Column, top: Column) -> tuple[Column, Column]:
     """Aggregates: mean and population deviation of ``x``, the same bits whatever the order of rows.
 
-    ``top``, one number for a group, is no less than any absolute value of it: values become whole numbers of some 40 bits,
-    whose sums are exact. Where it isn't finite, they are plain sums.
+    ``top`` is the largest absolute value of the group: values become whole numbers of some 40 bits, whose sums are exact. A
+    larger ``top`` would cost digits. Where it isn't finite, they are plain sums.
     """
     u, n, q = F.max(_unit(top)), F.count(x), F.floor(x * _unit(top) + 0.5).cast("decimal(13,0)")
     div = lambda a, b: F.call_function("div", a, b)
@@ -158,10 +158,11 @@ def exact_moments(x: Column, top: Column) -> tuple[Column, Column]:
     return F.when(finite, (whole.cast("double") + part) / u).otherwise(F.avg(x)), F.when(finite, deviation).otherwise(F.stddev_pop(x))
 
 
-def exact_moments_sql(name: str, rows: str, by: str, x: str, top: str) -> str:
+def exact_moments_sql(name: str, rows: str, by: str, x: str) -> str:
     """CTE ``name``: ``exact_moments`` by group as ``m`` and ``s``."""
-    return f"""{name}_q AS (
-  SELECT {by}, {x} AS x, {top} AS top, u, TRY_CAST(floor({x} * u + 0.5) AS HUGEINT) AS q FROM (SELECT *, pow(2::DOUBLE, 40 - round(log2(greatest({top}, {2.0**-300!r}::DOUBLE)))) AS u FROM {rows})), {name}_s AS (
+    return f"""{name}_t AS (
+  SELECT {by}, max(abs({x})) AS top, pow(2::DOUBLE, 40 - round(log2(greatest(max(abs({x})), {2.0**-300!r}::DOUBLE)))) AS u FROM {rows} GROUP BY {by}), {name}_q AS (
+  SELECT {by}, {x} AS x, top, u, TRY_CAST(floor({x} * u + 0.5) AS HUGEINT) AS q FROM {rows} JOIN {name}_t USING ({by})), {name}_s AS (
   SELECT {by}, max(top) AS top, max(u) AS u, count(x) AS n, sum(q) AS total, sum(q) // count(x) AS whole, sum(q) % count(x) AS rest, sum(q * q) AS squares, avg(x) AS m, stddev_pop(x) AS s FROM {name}_q GROUP BY {by}), {name}_d AS (
   SELECT *, squares - whole * (total + rest) AS d, CAST(rest AS DOUBLE) / CAST(n AS DOUBLE) AS part FROM {name}_s), {name} AS (
   SELECT {by}, CASE WHEN top < 'infinity'::DOUBLE THEN (CAST(CAST(whole AS BIGINT) AS DOUBLE) + part) / u ELSE m END AS m, CASE WHEN top < 'infinity'::DOUBLE THEN sqrt(greatest(

@@ -17,23 +17,23 @@ from weftline.operators import rips
 from weftline.operators.ranking import ranked
 
 
-def _scored(rows: DataFrame, keys: list[str], x: str, top: str) -> DataFrame:
+def _scored(rows: DataFrame, keys: list[str], x: str, top: str | None = None) -> DataFrame:
     """``rows`` with ``z``: ``x`` less its group's mean, by the population deviation (null if constant).
 
-    Both are exact sums (``top`` bounds a group's absolute values): groups of the same values have the same scores, and neither
-    ties nor rounded digits hang on the order of rows.
+    Both are exact sums in units of the group's largest absolute value (``top``, where rows have it): groups of the same values
+    have the same scores, and neither ties nor rounded digits hang on the order of rows.
     """
-    m, s = exact_moments(F.col(x), F.col(top))
-    stats = rows.groupBy(*keys).agg(m.alias("_m"), s.alias("_s"))
+    m, s = exact_moments(F.col(x), F.col(top or "_top"))
+    known = rows if top else rows.join(rows.groupBy(*keys).agg(F.max(F.abs(x)).alias("_top")), keys)
+    stats = known.groupBy(*keys).agg(m.alias("_m"), s.alias("_s"))
     return rows.join(stats, keys).withColumn("z", (F.col(x) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0)))
 
 
 def standardized(series: DataFrame) -> DataFrame:
-    """``(roi, t, v, top)`` with each roi's mean taken off and divided by its population deviation (null if constant); no absolute value exceeds ``top``."""
+    """``(roi, t, v)`` with each roi's mean taken off and divided by its population deviation (null if constant)."""
     ends = series.groupBy("roi").agg(F.min("v").alias("_low"), (F.max("v") - F.min("v")).alias("_range"))
     rows = series.join(ends, "roi").withColumn("v", F.col("v") - F.col("_low"))
-    far = F.greatest(F.col("_m"), F.col("_range") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
-    return _scored(rows, ["roi"], "v", "_range").select("roi", "t", F.col("z").alias("v"), far.alias("top"))
+    return _scored(rows, ["roi"], "v", "_range").select("roi", "t", F.col("z").alias("v"))
 
 
 def shuffled(series: DataFrame, seed: int = 0) -> DataFrame:
@@ -46,24 +46,21 @@ def shuffled(series: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def _side(series: DataFrame, key: str) -> DataFrame:
-    """``series`` under the names of one side; a series that isn't ``standardized`` gets its bounds here."""
-    if "top" not in series.columns:
-        series = series.join(series.groupBy("roi").agg(F.max(F.abs("v")).alias("top")), "roi")
-    return series.select("t", F.col("roi").alias(key), F.col("v").alias(f"v{key}"), F.col("top").alias(f"m{key}"))
+    return series.select("t", F.col("roi").alias(key), F.col("v").alias(f"v{key}"))
 
 
 def edges(series: DataFrame) -> DataFrame:
     """``(t, i, j, z, w)``: z-scored products of pairs over time; w is +|z| for coherent signs, else -|z|."""
-    both = _side(series, "i").join(_side(series, "j"), "t").where("i < j").withColumns({"p": F.col("vi") * F.col("vj"), "top": F.col("mi") * F.col("mj")})
-    return _scored(both, ["i", "j"], "p", "top").select("t", "i", "j", "z", (coherence_sign(F.col("vi"), F.col("vj")) * F.abs("z")).alias("w"))
+    both = _side(series, "i").join(_side(series, "j"), "t").where("i < j").withColumn("p", F.col("vi") * F.col("vj"))
+    return _scored(both, ["i", "j"], "p").select("t", "i", "j", "z", (coherence_sign(F.col("vi"), F.col("vj")) * F.abs("z")).alias("w"))
 
 
 def triangles(series: DataFrame) -> DataFrame:
     """``(t, i, j, k, z, w)`` of triplets, likewise."""
     all3 = _side(series, "i").join(_side(series, "j"), "t").where("i < j").join(_side(series, "k"), "t").where("j < k")
-    all3 = all3.withColumns({"p": F.col("vi") * F.col("vj") * F.col("vk"), "top": F.col("mi") * F.col("mj") * F.col("mk")})
+    all3 = all3.withColumn("p", F.col("vi") * F.col("vj") * F.col("vk"))
     signed = coherence_sign(F.col("vi"), F.col("vj"), F.col("vk")) * F.abs("z")
-    return _scored(all3, ["i", "j", "k"], "p", "top").select("t", "i", "j", "k", "z", signed.alias("w"))
+    return _scored(all3, ["i", "j", "k"], "p").select("t", "i", "j", "k", "z", signed.alias("w"))
 
 
 def with_faces(edge: DataFrame, triangle: DataFrame) -> DataFrame:

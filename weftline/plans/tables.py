@@ -114,11 +114,11 @@ REDUCED = ARRIVALS + """, eo AS MATERIALIZED (
 #: first, and to which side a weight is rounded. A constant has no score, and a vector has as many nodes as components.
 EXACT_TRIANGLES = f"""raw AS (
   SELECT vec_id AS t, CAST(unnest(range(len(embedding[1:{ROIS}]))) AS INT) AS roi, CAST(unnest(embedding[1:{ROIS}]) AS DOUBLE) AS v FROM embeddings), based AS (
-  SELECT roi, t, v - min(v) OVER (PARTITION BY roi) AS v, max(v) OVER (PARTITION BY roi) - min(v) OVER (PARTITION BY roi) AS span FROM raw), {exact_moments_sql("sm", "based", "roi", "v", "span")}, std AS (
-  SELECT roi, t, (v - m) / nullif(s, 0) AS v, greatest(m, span - m) / nullif(s, 0) AS top FROM based JOIN sm USING (roi)), ep AS (
-  SELECT x.t, x.roi AS i, y.roi AS j, x.v AS vi, y.v AS vj, x.v * y.v AS p, x.top * y.top AS top FROM std x JOIN std y ON x.t = y.t AND x.roi < y.roi), {exact_moments_sql("em", "ep", "i, j", "p", "top")}, edges AS (
+  SELECT roi, t, v - min(v) OVER (PARTITION BY roi) AS v FROM raw), {exact_moments_sql("sm", "based", "roi", "v")}, std AS (
+  SELECT roi, t, (v - m) / nullif(s, 0) AS v FROM based JOIN sm USING (roi)), ep AS (
+  SELECT x.t, x.roi AS i, y.roi AS j, x.v AS vi, y.v AS vj, x.v * y.v AS p FROM std x JOIN std y ON x.t = y.t AND x.roi < y.roi), {exact_moments_sql("em", "ep", "i, j", "p")}, edges AS (
   SELECT t, i, j, z, CASE WHEN abs(sign(vi) + sign(vj)) = 2 THEN abs(z) ELSE -abs(z) END AS w FROM (SELECT *, (p - m) / nullif(s, 0) AS z FROM ep JOIN em USING (i, j))), tp AS (
-  SELECT ep.t, ep.i, ep.j, s.roi AS k, vi, vj, s.v AS vk, ep.p * s.v AS p, ep.top * s.top AS top FROM ep JOIN std s ON s.t = ep.t AND s.roi > ep.j), {exact_moments_sql("tm", "tp", "i, j, k", "p", "top")}, tri AS (
+  SELECT ep.t, ep.i, ep.j, s.roi AS k, vi, vj, s.v AS vk, ep.p * s.v AS p FROM ep JOIN std s ON s.t = ep.t AND s.roi > ep.j), {exact_moments_sql("tm", "tp", "i, j, k", "p")}, tri AS (
   SELECT t, i, j, k, z, CASE WHEN abs(sign(vi) + sign(vj) + sign(vk)) = 3 THEN abs(z) ELSE -abs(z) END AS w FROM (SELECT *, (p - m) / nullif(s, 0) AS z FROM tp JOIN tm USING (i, j, k)))"""
 EXACT_REDUCED = EXACT_TRIANGLES + REDUCED.removeprefix(TRIANGLES)
 PREDICTIONS = """preds AS (
