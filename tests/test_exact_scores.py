@@ -69,3 +69,9 @@ def test_scores_keep_their_digits_beside_peaks(spark, tmp_path):
     sql = dict(duckdb.connect().sql(text).fetchall())
     assert query == sql
     assert np.allclose([query[t] for t in range(3000)], want, rtol=1e-9, atol=1e-9)
+
+
+def test_plan_of_a_filtration_stays_small(spark, data):
+    """The driver holds the plan: what is known of the groups of scores is read, not repeated wherever scores meet."""
+    kept = catalog.structure._filtration(spark, data)
+    assert kept._jdf.queryExecution().analyzed().collectLeaves().size() < 50

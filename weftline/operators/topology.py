@@ -15,23 +15,25 @@ from pyspark.sql import functions as F
 from weftline.functions.numeric import coherence_sign, exact_moments
 from weftline.operators import rips
 from weftline.operators.ranking import ranked
+from weftline.sources.stored import stored
 
 
 def _scored(rows: DataFrame, keys: list[str], x: str, top: str | None = None) -> DataFrame:
     """``rows`` with ``z``: ``x`` less its group's mean, by the population deviation (null if constant).
 
     Both are exact sums in units of the group's largest absolute value (``top``, where rows have it): groups of the same values
-    have the same scores, and neither ties nor rounded digits hang on the order of rows.
+    have the same scores, and neither ties nor rounded digits hang on the order of rows. What is known of the groups is written
+    once, or plans that join scores with scores would repeat it many times.
     """
     m, s = exact_moments(F.col(x), F.col(top or "_top"))
-    known = rows if top else rows.join(rows.groupBy(*keys).agg(F.max(F.abs(x)).alias("_top")), keys)
-    stats = known.groupBy(*keys).agg(m.alias("_m"), s.alias("_s"))
+    known = rows if top else rows.join(stored(rows.groupBy(*keys).agg(F.max(F.abs(x)).alias("_top")), "largest"), keys)
+    stats = stored(known.groupBy(*keys).agg(m.alias("_m"), s.alias("_s")), "moments")
     return rows.join(stats, keys).withColumn("z", (F.col(x) - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0)))
 
 
 def standardized(series: DataFrame) -> DataFrame:
     """``(roi, t, v)`` with each roi's mean taken off and divided by its population deviation (null if constant)."""
-    ends = series.groupBy("roi").agg(F.min("v").alias("_low"), (F.max("v") - F.min("v")).alias("_range"))
+    ends = stored(series.groupBy("roi").agg(F.min("v").alias("_low"), (F.max("v") - F.min("v")).alias("_range")), "ends")
     rows = series.join(ends, "roi").withColumn("v", F.col("v") - F.col("_low"))
     return _scored(rows, ["roi"], "v", "_range").select("roi", "t", F.col("z").alias("v"))
 

@@ -60,7 +60,8 @@ def max_weight(spark, d):
 
 
 def _admitted(spark, d):
-    return topology.admissions(_edges(spark, d), _triangles(spark, d))
+    series = topology.standardized(T.series(spark, d))
+    return topology.admissions(topology.edges(series), topology.triangles(series))
 
 
 @query("violations", f"WITH {T.ADMITTED} SELECT t, i, j, k, {R6.format('w')} AS w, missing FROM adm WHERE missing > 0 AND w >= 0")
@@ -79,7 +80,9 @@ def edge_projection(spark, d):
 
 
 def _filtration(spark, d):
-    return topology.filtration(_edges(spark, d), _admitted(spark, d))
+    series = topology.standardized(T.series(spark, d))
+    edge = topology.edges(series)
+    return topology.filtration(edge, topology.admissions(edge, topology.triangles(series)))
 
 
 @query("arrival_index", f"WITH {T.ARRIVALS} SELECT t, dim, i, j, k, CAST(arrival AS BIGINT) AS arrival FROM arr WHERE kept")
